@@ -52,8 +52,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words, 0 for null: each run of words and spaces shrinks to what starts it."""
-    return F.coalesce(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "\x01")) - F.when(text.rlike(r"^[\x20\x09-\x0D]"), F.length(F.regexp_extract(text, r"^[\x20\x09-\x0D]+", 0))).otherwise(0), F.lit(0)).cast("long")
+    """Number of words, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

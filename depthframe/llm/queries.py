@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix
 from .substring_dedup import substring_dedup
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -24,6 +25,41 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op1_mixing"] = r"""
+WITH r AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(CAST(doc_id AS VARCHAR)) AS k FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s
+), c AS (
+  SELECT *, 2 * source_size / CAST(weight AS DOUBLE) AS ratio FROM w
+), l AS (
+  SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS position,
+    CAST((SELECT sum(source_size) FROM s) * 150
+      - 100 * coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / CAST(100 * sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM c
+), f AS (
+  SELECT level AS fill FROM l WHERE level <= ratio ORDER BY position LIMIT 1
+), t AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * f.fill) AS target FROM l, f
+), p AS (
+  SELECT r.doc_id, r.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    CAST(coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + least(size, greatest(0, budget % source_size - start)) END AS BIGINT) AS taken
+FROM p
+"""
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
