@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix
+from . import secret_scan
 from .substring_dedup import substring_dedup
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -87,3 +88,52 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0)
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def _secrets_sql() -> str:
+    kinds = [*secret_scan.KINDS, secret_scan.CANDIDATE]
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, unnest(i) AS i, unnest(regexp_split_to_array(t, {p})[1:n]) AS gap,
+  unnest(regexp_extract_all(t, {p})) AS hit, unnest(regexp_extract_all(t, {p}, {group})) AS v, {least} AS least
+FROM (SELECT doc_id, source, t, n, range(1, n + 1) AS i FROM (SELECT doc_id, source, coalesce(text, '') AS t,
+  len(regexp_extract_all(coalesce(text, ''), {p})) AS n FROM documents) WHERE n > 0)"""
+        )
+    union = "\nUNION ALL\n".join(parts)
+    return f"""
+WITH m AS ({union}),
+p AS (
+  SELECT *, CAST(sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS s FROM m
+  WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), k AS (
+  SELECT doc_id, source, rank, kind, s, s + length(hit) AS e, v FROM p
+  WHERE length(v) >= least AND (rank < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+    AND len(list_distinct(string_split(v, ''))) >= 10 AND length(regexp_replace(v, '[^0-9]', '', 'g')) * 12 >= length(v)))
+), o AS (
+  SELECT v, count(DISTINCT coalesce('=' || source, 'null')) AS owners,
+    count(DISTINCT coalesce('=' || source, 'null') || ' ' || doc_id) AS repositories FROM k GROUP BY v
+), j AS (
+  SELECT k.*, o.owners = 1 AND o.repositories <= {secret_scan.MAX_REPOSITORIES} AS live FROM k JOIN o ON k.v = o.v
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3), '') AS base,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3 OR live), '') AS spans,
+    count(*) FILTER (rank = 3 AND live) AS n_live, count(DISTINCT v) FILTER (NOT live) AS n_examples
+  FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_examples, 0) AS BIGINT) AS n_examples
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+ORACLES["op9_secret_scan"] = _secrets_sql()
