@@ -169,12 +169,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -
 
     marks = lively.select("copy", F.explode(F.arrays_zip("hashes", "places")).alias("m")).select("copy", "m.hashes", "m.places")
     often = marks.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hashes")
+    often = materialize(often, "substr-often")  # both sides of the join are plain shuffles then, which Spark can split
     places = materialize(marks.join(often, "hashes", "left_semi").groupBy("copy").agg(F.collect_list("places").alias("places")), "substr-places")
 
     windows = rows.select("doc_id", "copy", "packed").join(places, "copy").mapInArrow(_candidates(window, piece), "h1 bigint, h2 bigint, doc_id bigint, copy bigint, start int")
     windows = materialize(windows, "substr-windows")
     here = F.struct("doc_id", "copy", "start")
     earliest = windows.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    earliest = materialize(earliest, "substr-earliest")
     later = windows.join(earliest, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
     starts = materialize(later.groupBy("copy").agg(F.sort_array(F.collect_list("start")).alias("starts")), "substr-starts")
 
