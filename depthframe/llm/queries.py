@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix
 from . import secret_scan
+from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -137,3 +138,9 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 ORACLES["op9_secret_scan"] = _secrets_sql()
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
