@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix
-from . import secret_scan
+from . import quality, secret_scan, toxicity
 from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -144,3 +144,13 @@ ORACLES["op9_secret_scan"] = _secrets_sql()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
