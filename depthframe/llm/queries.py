@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import matches
 from .fingerprints import with_next
 from .mixing import mix
 from . import chat, quality, secret_scan, toxicity
@@ -192,3 +193,8 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
