@@ -13,6 +13,7 @@ from .mixing import mix
 from . import chat, quality, secret_scan, toxicity
 from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
+from .warc import derivatives, responses
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +199,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
