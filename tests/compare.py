@@ -12,7 +12,14 @@ def canonical(frame):
     import pandas as pd
 
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: "NULL" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else f"{v:.9g}" if isinstance(v, float) else str(list(v)) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else str(v)
+
+    def plain(v):
+        if hasattr(v, "tolist"):
+            v = v.tolist()
+        if isinstance(v, list):
+            return str(v)
+        return "NULL" if pd.isna(v) else f"{v:.15g}" if isinstance(v, float) else str(v)
+
     return sorted(tuple(plain(v) for v in row) for row in frame.itertuples(index=False, name=None))
 
 
@@ -33,7 +40,8 @@ def difference(spark, con, sf_dir, make, sql):
     a, b = canonical(ours), canonical(theirs)
     if a == b:
         return None
-    left, right = [x for x in a if x not in set(b)], [x for x in b if x not in set(a)]
+    in_a, in_b = set(a), set(b)
+    left, right = [x for x in a if x not in in_b], [x for x in b if x not in in_a]
     return f"{len(a)} and {len(b)} rows; only ours {len(left)}: {left[:3]}; only theirs {len(right)}: {right[:3]}"
 
 
