@@ -50,7 +50,7 @@ def fixed_from_string(text: Column, decimals: int) -> Column:
     """
     cut = F.regexp_replace(text, rf"^(-?[0-9]*[.][0-9]{{{decimals + 1}}})[0-9]+$", "$1")
     # Leading zeros and a bare point are legal; digits beyond the cast's range are out of range anyway.
-    number = F.regexp_replace(F.regexp_replace(cut, r"^(-?)0+(?=[0-9])", "$1"), r"^(-?)[.]", "${1}0.")
+    number = F.regexp_replace(F.regexp_replace(cut, r"^(-?)0+(?=[0-9])", "$1"), r"^(-?)[.]", "$10.")
     scaled = F.round(number.try_cast(f"decimal(38,{decimals + 1})"), decimals) * F.lit(10**decimals).cast("decimal(11,0)")
     return F.when(text.rlike(NUMBER), narrow(scaled.cast(WIDE)))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthframe.types import INVALIDATE
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time, as its clock shows it."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def last_actions(levels: DataFrame) -> DataFrame:
     """book, venue, kind of each venue's last message."""
     return levels.groupBy("book", "venue").agg(F.max_by("kind", "seq").alias("kind"))
@@ -34,15 +39,15 @@ def live_venues_at_ticks(levels: DataFrame, step: int) -> DataFrame:
 
 
 def silent_spells(messages: DataFrame, timeouts: DataFrame, default_seconds: int) -> DataFrame:
-    """venue, silent_from, silent_until, seconds: where a venue said nothing for longer than its timeout.
+    """venue, silent_from, silent_until, silent_us, timeout: where a venue said nothing for longer than its timeout.
 
     messages: venue, ts. timeouts: venue, seconds (overrides; others have the default).
     """
     before = F.lag("ts").over(Window.partitionBy("venue").orderBy("ts"))
     gaps = messages.select("venue", "ts", before.alias("silent_from")).where("silent_from IS NOT NULL")
-    gaps = gaps.withColumn("seconds", F.unix_micros("ts") / 1e6 - F.unix_micros("silent_from") / 1e6)
+    gaps = gaps.withColumn("silent_us", micros(F.col("ts")) - micros(F.col("silent_from")))
     limits = with_timeout(gaps, timeouts, default_seconds)
-    return limits.where(F.col("seconds") > F.col("timeout")).select("venue", "silent_from", F.col("ts").alias("silent_until"), "seconds", "timeout")
+    return limits.where(F.col("silent_us") > F.col("timeout").cast("bigint") * 1_000_000).select("venue", "silent_from", F.col("ts").alias("silent_until"), "silent_us", "timeout")
 
 
 def with_timeout(rows: DataFrame, timeouts: DataFrame, default_seconds: int) -> DataFrame:

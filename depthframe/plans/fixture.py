@@ -37,21 +37,51 @@ def faulty_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence ids of one update for each order: venue, symbol, conn_epoch, recv_seq, kind and ids. Some are lost (a jump
-    of the ids), some are snapshots, and a connection ends now and then."""
-    k = F.expr("o_orderkey div 4")
-    lost = F.when(k % 50 == 0, 1).otherwise(0)
-    return read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("bigint").alias("recv_seq"),
-        F.lit("v").alias("venue"),
-        (F.col("o_orderkey") % 4).cast("int").alias("symbol"),
-        F.expr("o_orderkey div 1000").cast("bigint").alias("conn_epoch"),
-        F.when(k % 25 == 2, "SNAPSHOT").otherwise("DELTA").alias("kind"),
-        (k * 3 + 1 + lost).cast("bigint").alias("first_id"),
-        (k * 3 + 3).cast("bigint").alias("final_id"),
-        (k * 3 + lost).cast("bigint").alias("prev_final_id"),
-        (k * 3 + 2).cast("bigint").alias("last_update_id"),
-    )
+    """Sequence ids of one update for each order, and of some snapshots: venue, symbol, conn_epoch, recv_seq, kind, ids.
+
+    Ids grow by three an update; every 50th leaves one out; ``unit_id`` numbers updates one by one, with such a jump too.
+    """
+    return spark.sql(UPDATES_SQL.format(div="div", orders="{orders}"), orders=read(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+#: The messages of ``updates`` as SQL.
+UPDATES_SQL = """
+SELECT 'v' AS venue, CAST(o_orderkey % 4 AS INT) AS symbol, CAST(o_orderkey {div} 1000 AS BIGINT) AS conn_epoch, CAST(o_orderkey * 2 AS BIGINT) AS recv_seq,
+  'DELTA' AS kind, CAST(k * 3 + 1 + lost AS BIGINT) AS first_id, CAST(k * 3 + 3 AS BIGINT) AS final_id, CAST(k * 3 + lost AS BIGINT) AS prev_final_id,
+  CAST(NULL AS BIGINT) AS last_update_id, CAST(k + k {div} 50 AS BIGINT) AS unit_id
+FROM (SELECT o_orderkey, o_orderkey {div} 4 AS k, CASE WHEN (o_orderkey {div} 4) % 50 = 0 THEN 1 ELSE 0 END AS lost FROM {orders})
+UNION ALL
+SELECT 'v', CAST(o_orderkey % 4 AS INT), CAST(o_orderkey {div} 1000 AS BIGINT), CAST(o_orderkey * 2 + 1 AS BIGINT),
+  'SNAPSHOT', NULL, NULL, NULL, CAST((o_orderkey {div} 4) * 3 + 2 AS BIGINT), CAST(NULL AS BIGINT)
+FROM {orders} WHERE (o_orderkey {div} 4) % 25 = 2
+"""
+
+#: Raw venue texts, one for each order, in all shapes that the normaliser tells apart.
+SHAPES = 20
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthframe.functions.symbols import VENUES
+
+    names = F.array(*[F.lit(v) for v in VENUES.values()])
+    key = F.col("o_orderkey")
+    shape = (F.expr("o_orderkey div 6") % SHAPES).cast("int")
+    price = F.concat((key % 1000 + 1).cast("string"), F.lit("."), F.lpad((key % 100).cast("string"), 2, "0"))
+    size = F.concat((key % 7).cast("string"), F.lit(".5"))
+    quoted = F.concat(F.lit('["'), price, F.lit('","'), size, F.lit('"]'))
+    pair = F.when(shape == 2, F.concat(F.lit("["), price, F.lit(","), size, F.lit("]"))).otherwise(quoted)
+    bids, first, last = F.concat(F.lit("["), pair, F.lit("]")), (key * 3 + 1).cast("string"), (key * 3 + 3).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    rest = F.col("venue").startswith("binance") & (shape == 3)
+    binance = F.when(rest, text('{"lastUpdateId":', last, ',"bids":', bids, ',"asks":[]}')).otherwise(text('{"e":"depthUpdate","s":"AB","U":', first, ',"u":', last, ',"pu":', first, ',"b":', bids, ',"a":[]}'))
+    kind = F.when(shape == 3, "snapshot")
+    bybit = text('{"topic":"orderbook.50.AB","type":"', F.coalesce(kind, F.lit("delta")), '","data":{"s":"AB","b":', bids, ',"a":[],"u":', last, "}}")
+    okx = text('{"arg":{"instId":"A-B"},"action":"', F.coalesce(kind, F.lit("update")), '","data":[{"bids":[["', price, '","', size, '","0","1"]],"asks":[],"seqId":', last, ',"prevSeqId":', first, "}]}")
+    okx = F.when(shape == 2, text('{"arg":{"instId":"A-B"},"action":"update","data":[]}')).otherwise(okx)
+    body = F.when(F.col("venue").startswith("binance"), binance).when(F.col("venue").startswith("bybit"), bybit).otherwise(okx)
+    made = F.when(shape == 0, F.concat(F.lit("{broken "), body)).when(shape == 1, F.when(F.col("venue").startswith("okx"), "pong").otherwise('{"result":null,"id":1}')).otherwise(body)
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.element_at(names, (key % 6 + 1).cast("int")).alias("venue"))
+    return rows.select(key.alias("recv_seq"), F.lit(None).cast("timestamp").alias("recv_ts"), "venue", F.lit(0).cast("bigint").alias("conn_epoch"), F.when(rest, "REST").otherwise("WS").alias("source"), F.when(rest, "AB").alias("request_symbol"), made.alias("text"))
 
 
 def client_stream(diffs: DataFrame, drop_every: int = 501) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthframe.operators import bands, bbo, book, client, liveness
+from depthframe.functions import fixed, labels, symbols
+from depthframe.operators import bands, bbo, book, client, liveness, normalize, routing, sync
+from depthframe.streaming.book import live_book
 
 from . import fixture
 from . import oracles as sql
@@ -180,3 +184,262 @@ def bbo_l2_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{sql.FULL}, {sql.CLIENT} SELECT book, CAST(0 AS BIGINT) AS snapshots, count(*) AS diffs, count(*) FILTER (book_seq <> previous + 1) AS gaps, CAST(sum(levels) AS BIGINT) AS levels, max(book_seq) AS last_book_seq FROM upd GROUP BY book")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.run_summary(fixture.client_stream(_diffs(spark, sf_dir)))
+
+
+# Sequence rules
+
+_UPD = f"upd AS ({fixture.UPDATES_SQL.format(div='//', orders='orders')})"
+_LAG = "lag(final_id) OVER (PARTITION BY venue, symbol, conn_epoch ORDER BY recv_seq)"
+_UNIT = "upd AS (SELECT * REPLACE (unit_id AS final_id, unit_id AS first_id) FROM upd0)"
+
+
+def _gaps_sql(condition: str, unit: bool = False) -> str:
+    source = f"{_UPD.replace('upd AS', 'upd0 AS', 1)}, {_UNIT}" if unit else _UPD
+    return f"WITH {source}, g AS (SELECT *, {_LAG} AS previous_id FROM upd WHERE kind = 'DELTA') SELECT venue, symbol, conn_epoch, recv_seq, previous_id, first_id, final_id FROM g WHERE NOT ({condition})"
+
+
+def _unit_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.updates(spark, sf_dir).withColumn("final_id", F.col("unit_id")).withColumn("first_id", F.col("unit_id"))
+
+
+@query(_gaps_sql("prev_final_id = previous_id"))
+def seq_gaps_futures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sequence_gaps(fixture.updates(spark, sf_dir), "futures")
+
+
+@query(_gaps_sql("first_id = previous_id + 1"))
+def seq_gaps_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sequence_gaps(fixture.updates(spark, sf_dir), "spot")
+
+
+@query(_gaps_sql("final_id = previous_id + 1", unit=True))
+def seq_gaps_bybit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sequence_gaps(_unit_updates(spark, sf_dir), "bybit")
+
+
+@query(_gaps_sql("prev_final_id = previous_id"))
+def seq_gaps_okx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sequence_gaps(fixture.updates(spark, sf_dir), "okx")
+
+
+_BRIDGE = f"""{_UPD}, ids AS (SELECT venue, symbol, conn_epoch, recv_seq, unnest(range(first_id, final_id + 1)) AS id FROM upd WHERE kind = 'DELTA'),
+bridge AS (SELECT s.venue, s.symbol, s.conn_epoch, s.recv_seq AS snapshot_seq, s.last_update_id, min(i.recv_seq) AS bridge_seq
+  FROM upd s JOIN ids i ON s.venue = i.venue AND s.symbol = i.symbol AND s.conn_epoch = i.conn_epoch AND s.last_update_id = i.id WHERE s.kind = 'SNAPSHOT' GROUP BY ALL)"""
+
+
+@query(f"WITH {_BRIDGE} SELECT * FROM bridge")
+def snapshot_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.snapshot_bridges(fixture.updates(spark, sf_dir), "futures")
+
+
+@query(f"""WITH {_BRIDGE}, g AS (SELECT *, {_LAG} AS previous_id FROM upd WHERE kind = 'DELTA'),
+r AS (SELECT *, sum(CASE WHEN prev_final_id <> previous_id THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, conn_epoch ORDER BY recv_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g),
+n AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY venue, symbol, conn_epoch, run) AS n, max(recv_seq) OVER (PARTITION BY venue, symbol, conn_epoch, run) AS last_seq FROM r WINDOW w AS (PARTITION BY venue, symbol, conn_epoch, run ORDER BY recv_seq))
+SELECT b.venue, b.symbol, b.conn_epoch, b.snapshot_seq, b.last_update_id, b.bridge_seq, n.last_seq, n.n - n.nth + 1 AS updates
+FROM bridge b JOIN n ON b.venue = n.venue AND b.symbol = n.symbol AND b.conn_epoch = n.conn_epoch AND b.bridge_seq = n.recv_seq""")
+def sync_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_episodes(fixture.updates(spark, sf_dir), "futures")
+
+
+@query()
+def sync_actions_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_actions(fixture.updates(spark, sf_dir), "futures")
+
+
+@query(f"WITH {_UPD}, f AS (SELECT venue, symbol, conn_epoch, min(recv_seq) AS recv_seq FROM upd GROUP BY ALL) SELECT venue, symbol, recv_seq FROM (SELECT *, lag(conn_epoch) OVER (PARTITION BY venue, symbol ORDER BY conn_epoch) AS p FROM f) WHERE p IS NOT NULL")
+def disconnect_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.disconnect_resets(fixture.updates(spark, sf_dir))
+
+
+# Messages
+
+_FAULTY = f"""{sql.LV}, bad AS (SELECT * REPLACE (CASE WHEN seq % 211 = 0 AND pos = 1 THEN -1 ELSE size_raw END AS size_raw, CASE WHEN seq % 307 = 0 AND pos = 2 THEN 0 ELSE price_raw END AS price_raw) FROM lv)"""
+
+
+@query(f"WITH {_FAULTY} SELECT book, venue, seq, count(*) FILTER (kind <> 'INVALIDATE' AND (price_raw <= 0 OR size_raw < 0)) AS bad_levels, count(*) AS levels FROM bad GROUP BY ALL HAVING count(*) FILTER (kind <> 'INVALIDATE' AND (price_raw <= 0 OR size_raw < 0)) > 0")
+def reject_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.split_rejected(fixture.faulty_levels(spark, sf_dir))[1]
+
+
+_VENUE_NAMES = "['binance_spot', 'binance_futures', 'bybit_spot', 'bybit_linear', 'okx_spot', 'okx_swap']"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS k, ({_VENUE_NAMES})[o_orderkey % 6 + 1] AS venue, (o_orderkey // 6) % 20 AS shape FROM orders),
+s AS (SELECT *, CASE WHEN shape = 0 OR shape = 2 THEN 'MALFORMED' WHEN shape = 1 THEN 'IGNORED' WHEN shape = 3 THEN 'SNAPSHOT' ELSE 'DELTA' END AS status FROM m)
+SELECT venue, status, count(*) AS n,
+  CAST(sum(CASE WHEN status = 'SNAPSHOT' THEN k * 3 + 3 WHEN status = 'DELTA' THEN CASE WHEN venue LIKE 'binance%' THEN k * 3 + 1 ELSE k * 3 + 3 END ELSE 0 END) AS BIGINT) AS ids,
+  CAST(sum(CASE WHEN status IN ('SNAPSHOT', 'DELTA') THEN (k % 1000 + 1) * 1000000000 + (k % 100) * 10000000 ELSE 0 END) AS BIGINT) AS prices,
+  CAST(sum(CASE WHEN status IN ('SNAPSHOT', 'DELTA') THEN (k % 7) * 1000000 + 500000 ELSE 0 END) AS BIGINT) AS sizes
+FROM s GROUP BY ALL""")
+def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize.normalize_messages(fixture.raw_messages(spark, sf_dir))
+    first = F.get("bids", F.lit(0))
+    return rows.groupBy("venue", "status").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(n) for n, c in (("ids", F.coalesce("last_update_id", "first_id")), ("prices", first["price_raw"]), ("sizes", first["size_raw"]))])
+
+
+@query(f"WITH {sql.LV} SELECT seq AS recv_seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY side DESC, pos) AS INT) AS pos, side, price_raw, size_raw FROM lv WHERE kind = 'DELTA'")
+def level_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.levels(spark, sf_dir).where("kind = 'DELTA'")
+    side = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "price_raw", "size_raw")))), lambda x: F.struct(x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw")))
+    messages = rows.groupBy(F.col("seq").alias("recv_seq")).agg(side("BID").alias("bids"), side("ASK").alias("asks"))
+    return normalize.explode_levels(messages)
+
+
+# Names
+
+_EXCHANGES = "['BINANCE', 'BYBIT', 'OKX']"
+_BASES = "['BTC', 'ETH', 'SOL', 'XRP']"
+
+
+def _instruments(rows: DataFrame, key: str, bases: int) -> DataFrame:
+    k = F.col(key)
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    out = rows.select(k, pick(("BINANCE", "BYBIT", "OKX"), k % 3).alias("exchange"), pick(("SPOT", "PERP"), F.expr(f"{key} div 3") % 2).alias("market"), pick(("BTC", "ETH", "SOL", "XRP"), F.expr(f"{key} div 6") % bases).alias("base"), F.lit("USDT").alias("quote"))
+    columns = [F.col(c) for c in ("exchange", "base", "quote", "market")]
+    return out.withColumn("venue", symbols.venue_to_string(F.col("exchange"), F.col("market"))).withColumn("native_symbol", symbols.native_symbol(*columns))
+
+
+def _instruments_sql(source: str, key: str, bases: int) -> str:
+    return f"""SELECT *, CASE WHEN exchange = 'OKX' THEN base || '-' || quote || CASE WHEN market = 'PERP' THEN '-SWAP' ELSE '' END ELSE base || quote END AS native_symbol,
+  CASE exchange WHEN 'BINANCE' THEN CASE market WHEN 'SPOT' THEN 'binance_spot' ELSE 'binance_futures' END WHEN 'BYBIT' THEN CASE market WHEN 'SPOT' THEN 'bybit_spot' ELSE 'bybit_linear' END ELSE CASE market WHEN 'SPOT' THEN 'okx_spot' ELSE 'okx_swap' END END AS venue
+  FROM (SELECT {key}, ({_EXCHANGES})[{key} % 3 + 1] AS exchange, (['SPOT', 'PERP'])[({key} // 3) % 2 + 1] AS market, ({_BASES})[({key} // 6) % {bases} + 1] AS base, 'USDT' AS quote FROM {source})"""
+
+
+@query(f"WITH m AS ({_instruments_sql('orders', 'o_orderkey', 4)}), s AS (SELECT DISTINCT venue, native_symbol, base, quote, market FROM ({_instruments_sql('supplier', 's_suppkey', 3)})) SELECT m.venue, m.native_symbol, s.base, s.quote, s.market, count(*) AS n FROM m JOIN s ON m.venue = s.venue AND m.native_symbol = s.native_symbol GROUP BY ALL")
+def route_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _instruments(fixture.read(spark, sf_dir, "orders"), "o_orderkey", 4).select("venue", "native_symbol")
+    books = _instruments(fixture.read(spark, sf_dir, "supplier"), "s_suppkey", 3).select("venue", "native_symbol", "base", "quote", "market").distinct()
+    return routing.route_symbols(messages, books).groupBy("venue", "native_symbol", "base", "quote", "market").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT venue FROM ({_instruments_sql('supplier', 's_suppkey', 3)}) WHERE venue NOT IN (SELECT venue FROM ({_instruments_sql('(SELECT r_regionkey AS n FROM region)', 'n', 3)}))")
+def venues_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wired = _instruments(fixture.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n")), "n", 3)
+    return routing.venues_missing(_instruments(fixture.read(spark, sf_dir, "supplier"), "s_suppkey", 3), wired)
+
+
+@query(f"SELECT DISTINCT base, quote, market FROM ({_instruments_sql('orders', 'o_orderkey', 4)})")
+def list_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.list_books(_instruments(fixture.read(spark, sf_dir, "orders"), "o_orderkey", 4))
+
+
+@query(f"SELECT exchange, market, base, quote, native_symbol, venue, count(*) AS n FROM ({_instruments_sql('customer', 'c_custkey', 4)}) GROUP BY ALL")
+def native_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _instruments(fixture.read(spark, sf_dir, "customer"), "c_custkey", 4)
+    return rows.groupBy("exchange", "market", "base", "quote", "native_symbol", "venue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey, 'C' || c_custkey || '_N' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '.PERP' WHEN c_custkey % 3 = 1 THEN '.SPOT' ELSE '.OTHER' END AS name,
+CASE WHEN c_custkey % 3 < 2 THEN 'C' || c_custkey END AS base, CASE WHEN c_custkey % 3 < 2 THEN 'N' || c_nationkey END AS quote, CASE c_custkey % 3 WHEN 0 THEN 'PERP' WHEN 1 THEN 'SPOT' END AS market FROM customer""")
+def book_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 3
+    name = symbols.book_to_string(F.concat(F.lit("C"), F.col("c_custkey")), F.concat(F.lit("N"), F.col("c_nationkey")), F.when(k == 0, "PERP").when(k == 1, "SPOT").otherwise("OTHER"))
+    return rows.select("c_custkey", name.alias("name")).withColumn("id", symbols.parse_book_id(F.col("name"))).select("c_custkey", "name", "id.base", "id.quote", "id.market")
+
+
+# Numbers
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 6
+  WHEN 0 THEN l_orderkey * 1000000000 + l_partkey // 10 + CASE WHEN l_partkey % 10 >= 5 THEN 1 ELSE 0 END
+  WHEN 1 THEN -(l_orderkey * 1000000000 + l_partkey // 10 + CASE WHEN l_partkey % 10 >= 5 THEN 1 ELSE 0 END)
+  WHEN 2 THEN l_partkey * 1000000000 WHEN 3 THEN NULL WHEN 4 THEN NULL
+  ELSE CAST(rpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS BIGINT) END AS raw FROM lineitem""")
+def fixed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order, part, supplier = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    tenths = F.concat(order, F.lit("."), F.lpad(part, 10, "0"))
+    texts = [F.concat(tenths, F.lit("4999")), F.concat(F.lit("-"), tenths), F.concat(part, F.lit(".")), F.concat(order, F.lit("e5")), F.concat(F.lit(" "), order), F.concat(F.lit("."), supplier)]
+    text = F.element_at(F.array(*texts), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fixed.fixed_from_string(text, 9).alias("raw"))
+
+
+_V = "(CASE WHEN size_raw > 0 THEN size_raw END)"
+
+
+@query(f"""WITH {sql.LV} SELECT seq, pos, CAST({sql.NOTIONAL} AS BIGINT) AS notional_raw,
+  CAST({sql.half_away('CAST(price_raw AS HUGEINT) * 1000000', _V)} AS BIGINT) AS price_per_size,
+  CAST(CASE WHEN side = 'ASK' THEN CAST(price_raw AS HUGEINT) * 10037 // 10000 ELSE (CAST(price_raw AS HUGEINT) * 9963 + 9999) // 10000 END AS BIGINT) AS boundary_raw FROM lv""")
+def notional_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, size = F.col("price_raw"), F.col("size_raw")
+    return fixture.levels(spark, sf_dir).select("seq", "pos", fixed.notional(price, size).alias("notional_raw"), fixed.over(price, size).alias("price_per_size"), fixed.offset_by_bps(price, F.lit(37), F.col("side")).alias("boundary_raw"))
+
+
+@query("""WITH t AS (SELECT c_custkey, c_nationkey, CAST(c_custkey AS HUGEINT) * CASE c_custkey % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 1000000000000 WHEN 2 THEN 500000000 ELSE 1000000000000000 END AS raw FROM customer WHERE c_custkey > 0),
+u AS (SELECT *, raw // 1000000000 AS units FROM t),
+l AS (SELECT c_custkey, c_nationkey, CASE WHEN raw % 1000000000 <> 0 THEN CAST(units AS VARCHAR) || '.5'
+  WHEN units % 1000000000 = 0 THEN CAST(units // 1000000000 AS VARCHAR) || 'B' WHEN units % 1000000 = 0 THEN CAST(units // 1000000 AS VARCHAR) || 'M'
+  WHEN units % 1000 = 0 THEN CAST(units // 1000 AS VARCHAR) || 'K' ELSE CAST(units AS VARCHAR) END AS label FROM u)
+SELECT c_custkey, label || CASE WHEN lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) IS NULL THEN '+' ELSE '' END AS label FROM l""")
+def band_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    unit = F.when(k % 4 == 0, 10**9).when(k % 4 == 1, 10**12).when(k % 4 == 2, 5 * 10**8).otherwise(10**15)
+    rows = fixture.read(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", "c_nationkey", (k * unit).cast("bigint").alias("raw"))
+    return rows.select("c_custkey", labels.open_ended(labels.notional_label(F.col("raw")), k, "c_nationkey").alias("label"))
+
+
+# Time
+
+_TIMEOUT_SQL = "CASE WHEN venue < 3 THEN 3600 * (venue + 1) ELSE 1800 END"
+
+
+def _timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.read(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("int").alias("venue"), ((F.col("r_regionkey") + 1) * 3600).cast("int").alias("seconds"))
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.read(spark, sf_dir, "events").select((F.col("user_id") % 6).cast("int").alias("venue"), "ts", "event_id", "value")
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id % 6 AS INT) AS venue, epoch_us(ts) AS t FROM events), g AS (SELECT venue, t, lag(t) OVER (PARTITION BY venue ORDER BY t) AS p FROM e)
+SELECT venue, p AS from_us, t - p AS silent_us, CAST({_TIMEOUT_SQL} AS INT) AS timeout FROM g WHERE t - p > {_TIMEOUT_SQL} * CAST(1000000 AS BIGINT)""")
+def silent_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = liveness.silent_spells(_talk(spark, sf_dir), _timeouts(spark, sf_dir), 1800)
+    return found.select("venue", liveness.micros(F.col("silent_from")).alias("from_us"), "silent_us", "timeout")
+
+
+@query(f"WITH v AS (SELECT DISTINCT CAST(user_id % 6 AS INT) AS venue FROM events) SELECT venue, CAST({_TIMEOUT_SQL} AS INT) AS timeout FROM v")
+def idle_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return liveness.with_timeout(_talk(spark, sf_dir).select("venue").distinct(), _timeouts(spark, sf_dir), 1800)
+
+
+@query("""SELECT CAST(user_id % 4 AS INT) AS book, epoch_us(ts) // 600000000 * 600 AS window_s, max(event_id) AS last_event, arg_max(value, event_id) AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 4, epoch_us(ts) // 600000000 ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 GROUP BY ALL""")
+def bbo_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.read(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("int").alias("book"), "ts", "event_id", "value")
+    newest = bbo.conflate(rows, "10 minutes", order=("ts", "event_id")).withColumn("window_us", liveness.micros(F.col("window_start")))
+    return newest.select("book", F.expr("window_us div 1000000").alias("window_s"), F.col("event_id").alias("last_event"), "value")
+
+
+# Streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the live book emits for the whole table: its level rows, written as files and read as a stream."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='depthframe-')}"
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+    source = fixture.levels(spark, sf_dir)
+    source.repartition("book").write.parquet(f"{root}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = live_book(spark.readStream.schema(source.schema).parquet(f"{root}/in"))
+        run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        if before:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(rows.schema).parquet(f"{root}/out")
+
+
+@query(f"{sql.FULL} SELECT * FROM diffs")
+def stream_l2_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).where("row_kind = 'DIFF'").select("book", "seq", "book_seq", "side", "price_raw", "size_raw")
+
+
+@query()
+def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).where("row_kind = 'LIVE'").select("book", "seq", "live_venues")
