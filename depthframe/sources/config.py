@@ -13,6 +13,13 @@ from depthframe.functions.symbols import book_to_string, native_symbol, parse_ex
 DEFAULT_SECONDS, MAX_SECONDS = 30, 86_400
 
 
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one row of a JSON file; _bad is set if it isn't JSON of that schema."""
+    text = spark.read.text(path, wholetext=True)
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    return text.select(F.from_json("value", schema + ", _bad STRING", options).alias("d")).select("d.*")
+
+
 def _reject(rows: DataFrame, message) -> None:
     bad = rows.select(message.alias("message")).where("message IS NOT NULL").head(1)
     if bad:
@@ -28,8 +35,8 @@ def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
 
     File: {"books": [{"symbol": "BASE_QUOTE", "type": "SPOT" or "PERP", "venues": ["BINANCE", ...]}]}.
     """
-    schema = "books ARRAY<STRUCT<symbol STRING, type STRING, venues ARRAY<STRING>>>, _bad STRING"
-    doc = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    schema = "books ARRAY<STRUCT<symbol STRING, type STRING, venues ARRAY<STRING>>>"
+    doc = _document(spark, path, schema)
     _reject(doc, F.when(F.col("_bad").isNotNull() | F.col("books").isNull(), "malformed subscription file"))
     books = doc.select(F.posexplode("books").alias("entry", "b")).select("entry", "b.*")
     field = F.coalesce("symbol", F.lit("?"))
@@ -53,8 +60,8 @@ def read_idle_timeouts(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
     File: {"idle_timeout_seconds": 30, "idle_timeout_overrides": [{"venue": ..., "type": ..., "seconds": ...}]}; both may lack.
     """
-    schema = "idle_timeout_seconds BIGINT, idle_timeout_overrides ARRAY<STRUCT<venue STRING, type STRING, seconds BIGINT>>, _bad STRING"
-    doc = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    schema = "idle_timeout_seconds BIGINT, idle_timeout_overrides ARRAY<STRUCT<venue STRING, type STRING, seconds BIGINT>>"
+    doc = _document(spark, path, schema)
     _reject(doc, F.when(F.col("_bad").isNotNull(), "malformed timeout file"))
     outside = lambda c: (F.col(c) < 1) | (F.col(c) > MAX_SECONDS)
     _reject(doc, F.when(outside("idle_timeout_seconds"), F.concat(F.lit("timeout out of range: "), F.col("idle_timeout_seconds").cast("string"))))
