@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, mix64, text_slices
 from .components import connected_components
 
 SHINGLE = 3
@@ -44,11 +44,11 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number; 0 without words."""
+def fingerprints(text: str | None, shingle: int = SHINGLE, families: int = 1) -> list[int]:
+    """Signed 64-bit fingerprints, 0 without words. The first is of the shingles' XXH64; each further family hashes these anew."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * families
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends + 1).tolist()]
@@ -56,14 +56,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)
-    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
+    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return [majority(hashes if f == 0 else mix64(hashes + np.uint64(f * 0x9E3779B97F4A7C15 % (1 << 64)))) for f in range(families)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprints(text, shingle)[0]
 
 
-def _scan(shingle: int):
+def _scan(shingle: int, families: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            prints = pa.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in batch.schema.names if c != "text"], prints], names=[*[c for c in batch.schema.names if c != "text"], "fingerprint"])
+            prints = [fingerprints(t, shingle, families) for t in batch["text"].to_pylist()]
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in others], pa.array([p[0] for p in prints], pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=[*others, "fingerprint", "prints"])
 
     return run
 
@@ -116,28 +122,57 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fingerprint (long), component_id of every row, and the columns named in ``keep``."""
+def _family_links(rows: DataFrame, families: int, distance: int, hot: int) -> DataFrame:
+    """Links (a, b) between texts' lists of fingerprints, by way of the single fingerprints that they share or that are linked.
+
+    A list is a node, and so is each single fingerprint of a family that several lists hold or that has a link; the
+    others join nothing.
+    """
+    node, out = F.concat_ws(",", F.col("prints").cast("array<string>")), []
+    lists = materialize(rows.select("prints").distinct(), "simhash-lists")
+    for f in range(families):
+        own = lists.select("prints", F.get("prints", F.lit(f)).alias("fingerprint"))
+        hub = lambda c, f=f: F.concat(F.lit(f"{f}:"), F.col(c).cast("string"))
+        found = materialize(links(own, distance, hot), "simhash-links")
+        shared = own.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+        used = shared.unionByName(found.select(F.col("a").alias("fingerprint"))).unionByName(found.select(F.col("b").alias("fingerprint"))).distinct()
+        out += [found.select(hub("a").alias("a"), hub("b").alias("b")), own.join(used, "fingerprint").select(node.alias("a"), hub("fingerprint").alias("b"))]
+    edges = out[0]
+    for more in out[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, hot: int = HOT, keep: tuple[str, ...] = (), families: int = 1) -> DataFrame:
+    """doc_id, fingerprint (long), component_id of every row, and the columns named in ``keep``.
+
+    With several families a text has as many fingerprints, and one that is near enough links two texts.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(["doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long"])
-    rows = materialize(rows.mapInArrow(_scan(shingle), schema), "simhash-prints")
-    groups = connected_components(links(rows, distance, hot)).select(F.col("node").alias("fingerprint"), "component")
-    smallest = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).join(groups, "fingerprint", "left")
-    smallest = materialize(smallest.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")), "simhash-first")
+    schema = ", ".join(["doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long, prints array<bigint>"])
+    rows = rows.mapInArrow(_scan(shingle, families), schema)
+    if families == 1:
+        rows = materialize(rows.drop("prints").withColumn("node", F.col("fingerprint")), "simhash-prints")
+        groups = connected_components(links(rows, distance, hot))
+    else:
+        rows = materialize(rows.withColumn("node", F.concat_ws(",", F.col("prints").cast("array<string>"))), "simhash-prints")
+        groups = connected_components(_family_links(rows, families, distance, hot))
+    smallest = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left")
+    smallest = materialize(smallest.select("node", "first", F.coalesce("component", "node").alias("component")), "simhash-first")
     ids = materialize(smallest.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-ids")
-    named = materialize(smallest.join(ids, "component").select("fingerprint", "component_id"), "simhash-named")
-    return rows.join(named, "fingerprint").select("doc_id", *keep, "fingerprint", "component_id")
+    named = materialize(smallest.join(ids, "component").select("node", "component_id"), "simhash-named")
+    return rows.join(named, "node").select("doc_id", *keep, "fingerprint", "component_id")
 
 
 def hexadecimal(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, families: int = 1) -> DataFrame:
     """docs with one row of each group of near copies: of the smallest doc_id (no doc_id: last), and of rows that share
     it, the one whose columns hash lowest (equal rows: one of them)."""
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    found = near_duplicates(docs.withColumn("__row", row), shingle, distance, keep=("__row",))
+    found = near_duplicates(docs.withColumn("__row", row), shingle, distance, keep=("__row",), families=families)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")
     lead = found.groupBy("component_id").agg(F.min(order).alias("lead")).select(F.coalesce("lead.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("lead.__row").alias("__row"))
     lead = materialize(lead.distinct(), "simhash-lead")

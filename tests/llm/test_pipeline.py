@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from depthframe.llm import quality
 from depthframe.llm.common import materialize
 from depthframe.llm.decontamination import Matcher
-from depthframe.llm.simhash import fingerprint
+from depthframe.llm.simhash import fingerprints
 
 from test_mixing import brute as mixing_brute
 
@@ -18,6 +18,7 @@ def rows(df):
 
 
 def groups(prints, distance):
+    """prints: a list of fingerprints for each text; texts with one within the distance are linked."""
     p = np.array(prints, np.int64).view(np.uint64)
     parent = list(range(len(p)))
 
@@ -27,7 +28,7 @@ def groups(prints, distance):
         return i
 
     for i in range(len(p)):
-        for j in np.flatnonzero(np.bitwise_count(p[i + 1 :] ^ p[i]) <= distance) + i + 1:
+        for j in np.flatnonzero((np.bitwise_count(p[i + 1 :] ^ p[i]) <= distance).any(axis=1)) + i + 1:
             a, b = root(i), root(int(j))
             parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(p))]
@@ -49,7 +50,7 @@ def test_pipeline(spark, testdata):
 
     kept = rows(outs[1])
     kept.sort(key=lambda r: r[0])
-    root = groups([fingerprint(r[1], cp.SHINGLE) for r in kept], cp.DISTANCE)
+    root = groups([fingerprints(r[1], cp.SHINGLE, cp.FAMILIES) for r in kept], cp.DISTANCE)
     assert rows(outs[2]) == sorted((r for i, r in enumerate(kept) if root[i] == i), key=str)
 
     matcher = Matcher([r.text for r in bench.collect()])
