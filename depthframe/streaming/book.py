@@ -110,13 +110,6 @@ def live_book(levels: DataFrame) -> DataFrame:
     return levels.groupBy("book").transformWithStateInPandas(BookProcessor(), OUTPUT, "append", "none")
 
 
-def heartbeats(live: DataFrame, interval: str = "1 second", time: str = "ts") -> DataFrame:
-    """The newest LIVE row of every book in every interval."""
-    rows = live.where("row_kind = 'LIVE'")
-    newest = F.max_by("live_venues", F.struct("seq")).alias("live_venues")
-    return rows.groupBy("book", F.window(time, interval).alias("window")).agg(newest)
-
-
 def silent_sessions(messages: DataFrame, watermark: str = "1 minute", timeout: str = "timeout") -> DataFrame:
     """Spells in which a venue kept talking: a session ends when it was silent for its timeout (a column, in seconds)."""
     gap = F.concat(F.col(timeout).cast("string"), F.lit(" seconds"))
