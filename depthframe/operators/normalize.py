@@ -100,43 +100,43 @@ def parse_levels(pairs: Column) -> Column:
     return F.transform(pairs, lambda x: F.struct(fixed_from_string(F.get(x, F.lit(0)), PRICE_DECIMALS).alias("price_raw"), fixed_from_string(F.get(x, F.lit(1)), SIZE_DECIMALS).alias("size_raw")))
 
 
+FIELDS = ("first_id", "final_id", "prev_final_id", "last_update_id")
+
+
+def _message(schema: str, rule: Callable[[Column, Column], Message], parsed: Column) -> Column:
+    """What one venue's rule makes of a text: struct<status, native_symbol, ids, bids, asks>."""
+    m, text = rule(parsed, F.coalesce("source", F.lit("WS"))), F.col("text")
+    bids, asks = parse_levels(m.bids), parse_levels(m.asks)
+    hole = lambda c: c.isNull() | F.exists(c, lambda x: x["price_raw"].isNull() | x["size_raw"].isNull())
+    bare = F.concat(*[F.coalesce(F.get_json_object(text, p), F.lit("")) for p in m.paths]).rlike(BARE)
+    broken = parsed.isNull() if schema.startswith("MAP") else parsed.isNull() | parsed["_bad"].isNotNull()
+    complete = F.lit(True)
+    for c in m.needed:
+        complete = complete & c
+    status = F.when(F.trim(text) == "pong", IGNORED).when(broken, MALFORMED).when(m.kind.isNull(), IGNORED).when(~F.coalesce(complete, F.lit(False)) | hole(bids) | hole(asks) | bare, MALFORMED).otherwise(m.kind)
+    ids = [c.cast(ID).alias(n) for n, c in zip(FIELDS, (m.first_id, m.final_id, m.prev_final_id, m.last_update_id), strict=True)]
+    return F.struct(status.alias("status"), m.symbol.alias("native_symbol"), *ids, bids.alias("bids"), asks.alias("asks"))
+
+
 def normalize_messages(raw: DataFrame) -> DataFrame:
-    """The L2 message table of raw messages, status included. Texts of unknown venues are IGNORED."""
-    out = []
+    """The L2 message table of raw messages, status included, in one pass. Texts of unknown venues are IGNORED.
+
+    A text is parsed once, with its own venue's schema.
+    """
+    schemas = list(dict.fromkeys(schema for schema, _, _ in VENUES.values()))
+    parsed = {}
+    for k, schema in enumerate(schemas):
+        full = schema if schema.startswith("MAP") else schema + ", _bad STRING"
+        own = [v for v, (s, _, _) in VENUES.items() if s == schema]
+        parsed[f"__{k}"] = F.when(F.col("venue").isin(*own), F.from_json("text", full, {"columnNameOfCorruptRecord": "_bad"}))
+    rows = raw.withColumns(parsed)
+    message = F.lit(None)
     for venue, (schema, rule, _) in VENUES.items():
-        plain = schema.startswith("MAP")
-        rows = raw.where(F.col("venue") == venue).withColumn("j", F.from_json("text", schema if plain else schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
-        m = rule(F.col("j"), F.coalesce("source", F.lit("WS")))
-        bids, asks = parse_levels(m.bids), parse_levels(m.asks)
-        hole = lambda c: c.isNull() | F.exists(c, lambda x: x["price_raw"].isNull() | x["size_raw"].isNull())
-        text = F.col("text")
-        bare = F.concat(*[F.coalesce(F.get_json_object(text, p), F.lit("")) for p in m.paths]).rlike(BARE)
-        broken = F.col("j").isNull() if plain else F.col("j").isNull() | F.col("j._bad").isNotNull()
-        complete = F.lit(True)
-        for c in m.needed:
-            complete = complete & c
-        status = F.when(F.trim(text) == "pong", IGNORED).when(broken, MALFORMED).when(m.kind.isNull(), IGNORED).when(~F.coalesce(complete, F.lit(False)) | hole(bids) | hole(asks) | bare, MALFORMED).otherwise(m.kind)
-        rows = rows.withColumn("status", status)
-        good = F.col("status").isin(SNAPSHOT, DELTA)
-        keep = lambda c, good=good: F.when(good, c)
-        out.append(
-            rows.select(
-                "recv_seq",
-                "recv_ts",
-                "venue",
-                "conn_epoch",
-                keep(m.symbol).alias("native_symbol"),
-                "status",
-                keep(F.col("status")).alias("kind"),
-                *[keep(c).cast(ID).alias(n) for n, c in (("first_id", m.first_id), ("final_id", m.final_id), ("prev_final_id", m.prev_final_id), ("last_update_id", m.last_update_id))],
-                keep(bids).alias("bids"),
-                keep(asks).alias("asks"),
-            )
-        )
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+        message = F.when(F.col("venue") == venue, _message(schema, rule, F.col(f"__{schemas.index(schema)}"))).otherwise(message)
+    rows = rows.withColumn("__m", message).withColumn("status", F.coalesce("__m.status", F.lit(IGNORED)))
+    good = F.col("status").isin(SNAPSHOT, DELTA)
+    keep = lambda n: F.when(good, F.col(f"__m.{n}")).alias(n)
+    return rows.select("recv_seq", "recv_ts", "venue", "conn_epoch", keep("native_symbol"), "status", F.when(good, F.col("status")).alias("kind"), *[keep(n) for n in FIELDS], keep("bids"), keep("asks"))
 
 
 def status_counts(messages: DataFrame) -> DataFrame:

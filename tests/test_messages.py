@@ -41,6 +41,7 @@ def test_texts(spark):
         ("okx_spot", "WS", None, okx % "x", "IGNORED"),
         ("okx_spot", "WS", None, '{"arg":{"instId":"A-B"},"action":"update","data":[]}', "MALFORMED"),
         ("okx_spot", "WS", None, '{"event":"subscribe","arg":{"instId":"A-B"}}', "IGNORED"),
+        ("unheard_of", "WS", None, futures, "IGNORED"),
     ]
     got = {r.recv_seq: r for r in normalize_messages(raw(spark, *[c[:4] for c in cases])).collect()}
     assert [got[i].status for i in range(len(cases))] == [c[4] for c in cases]
