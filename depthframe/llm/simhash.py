@@ -144,7 +144,8 @@ def _family_links(rows: DataFrame, families: int, distance: int, hot: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, hot: int = HOT, keep: tuple[str, ...] = (), families: int = 1) -> DataFrame:
-    """doc_id, fingerprint (long), component_id of every row, and the columns named in ``keep``.
+    """doc_id, fingerprint (long), component_id, component of every row, and the columns named in ``keep``. A component is
+    a node of the group, which tells groups apart where their smallest doc_ids are equal or null.
 
     With several families a text has as many fingerprints, and one that is near enough links two texts.
     """
@@ -160,8 +161,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     smallest = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left")
     smallest = materialize(smallest.select("node", "first", F.coalesce("component", "node").alias("component")), "simhash-first")
     ids = materialize(smallest.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-ids")
-    named = materialize(smallest.join(ids, "component").select("node", "component_id"), "simhash-named")
-    return rows.join(named, "node").select("doc_id", *keep, "fingerprint", "component_id")
+    named = materialize(smallest.join(ids, "component").select("node", "component_id", "component"), "simhash-named")
+    return rows.join(named, "node").select("doc_id", *keep, "fingerprint", "component_id", "component")
 
 
 def hexadecimal(fingerprint: Column) -> Column:
@@ -174,7 +175,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     found = near_duplicates(docs.withColumn("__row", row), shingle, distance, keep=("__row",), families=families)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")
-    lead = found.groupBy("component_id").agg(F.min(order).alias("lead")).select(F.coalesce("lead.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("lead.__row").alias("__row"))
+    lead = found.groupBy("component").agg(F.min(order).alias("lead")).select(F.coalesce("lead.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("lead.__row").alias("__row"))
     lead = materialize(lead.distinct(), "simhash-lead")
     marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__row": row})
     nth = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__row"))

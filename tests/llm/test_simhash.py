@@ -89,6 +89,12 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 9]
 
 
+def test_keep_one_tells_groups_of_equal_ids_apart(spark):
+    rows = [(None, "one two three four"), (None, "quite other words here"), (7, "five six seven eight"), (7, "unlike in every word"), (7, "unlike in every word")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(set(rows), key=str)
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     df = spark.range(n - 1).selectExpr("id * 7 % 1009 AS a", "(id + 1) * 7 % 1009 AS b")
