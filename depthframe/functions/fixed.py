@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from depthframe.types import INT64_MAX, INT128_MAX, SIZE_SCALE
 
 WIDE = "decimal(38,0)"
-NUMBER = r"^-?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+#: \z, not $, which would let a line end follow.
+NUMBER = r"^-?([0-9]+[.]?[0-9]*|[.][0-9]+)\z"
 
 
 def wide(c: Column | int) -> Column:

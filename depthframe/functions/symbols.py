@@ -21,7 +21,7 @@ VENUES = {
 def split_base_quote(symbol: Column) -> Column:
     """struct<base, quote> of BASE_QUOTE; NULL unless exactly one underscore parts two non-empty names."""
     parts = F.split(symbol, "_")
-    return F.when(symbol.rlike("^[^_]+_[^_]+$"), F.struct(parts[0].alias("base"), parts[1].alias("quote")))
+    return F.when(symbol.rlike(r"^[^_]+_[^_]+\z"), F.struct(parts[0].alias("base"), parts[1].alias("quote")))
 
 
 def book_to_string(base: Column, quote: Column, market: Column) -> Column:
@@ -30,7 +30,7 @@ def book_to_string(base: Column, quote: Column, market: Column) -> Column:
 
 def parse_book_id(text: Column) -> Column:
     """struct<base, quote, market> of BASE_QUOTE.SPOT or .PERP."""
-    pattern = r"^([^_]+)_([^_]+)\.(SPOT|PERP)$"
+    pattern = r"^([^_]+)_([^_]+)\.(SPOT|PERP)\z"
     part = lambda k: F.regexp_extract(text, pattern, k)
     return F.when(text.rlike(pattern), F.struct(part(1).alias("base"), part(2).alias("quote"), part(3).alias("market")))
 

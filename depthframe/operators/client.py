@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .book import bbo
+from .blocks import with_previous
+from .book import BLOCK, bbo
 
 
-def updates(stream: DataFrame) -> DataFrame:
+def updates(stream: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each update, with the revision before it: book, arrival, book_seq, row_kind, previous."""
     once = stream.groupBy("book", "arrival").agg(F.max("book_seq").alias("book_seq"), F.max("row_kind").alias("row_kind"), F.count(F.lit(1)).alias("levels"))
-    return once.withColumn("previous", F.lag("book_seq").over(Window.partitionBy("book").orderBy("arrival")))
+    return with_previous(once, ["book"], "arrival", "book_seq", F.expr(f"arrival div {block}"), "previous")
 
 
 def gaps(stream: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def run_summary(stream: DataFrame) -> DataFrame:
     )
 
 
-def bbo_at_diffs(diffs: DataFrame, changes: DataFrame, block: int = 4096) -> DataFrame:
+def bbo_at_diffs(diffs: DataFrame, changes: DataFrame, block: int = BLOCK) -> DataFrame:
     """The best prices that hold at every revision: the last change at or before it.
 
     Revisions and changes are brought together in blocks; what a block starts with comes from a running value over the

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depthframe.types import INVALIDATE
 
+from .blocks import with_previous
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a time, as its clock shows it."""
@@ -38,13 +40,14 @@ def live_venues_at_ticks(levels: DataFrame, step: int) -> DataFrame:
     return at.groupBy("book", (F.col("tick") * step).alias("tick")).agg(F.sort_array(F.collect_list("venue")).alias("live_venues"))
 
 
-def silent_spells(messages: DataFrame, timeouts: DataFrame, default_seconds: int) -> DataFrame:
+def silent_spells(messages: DataFrame, timeouts: DataFrame, default_seconds: int, block_seconds: int = 3600) -> DataFrame:
     """venue, silent_from, silent_until, silent_us, timeout: where a venue said nothing for longer than its timeout.
 
-    messages: venue, ts. timeouts: venue, seconds (overrides; others have the default).
+    messages: venue, ts. timeouts: venue, seconds (overrides; others have the default). Messages are sorted within blocks
+    of time, so a venue with many isn't sorted in one task.
     """
-    before = F.lag("ts").over(Window.partitionBy("venue").orderBy("ts"))
-    gaps = messages.select("venue", "ts", before.alias("silent_from")).where("silent_from IS NOT NULL")
+    block = F.floor(micros(F.col("ts")) / F.lit(block_seconds * 1_000_000))
+    gaps = with_previous(messages.select("venue", "ts"), ["venue"], "ts", "ts", block, "silent_from").where("silent_from IS NOT NULL")
     gaps = gaps.withColumn("silent_us", micros(F.col("ts")) - micros(F.col("silent_from")))
     limits = with_timeout(gaps, timeouts, default_seconds)
     return limits.where(F.col("silent_us") > F.col("timeout").cast("bigint") * 1_000_000).select("venue", "silent_from", F.col("ts").alias("silent_until"), "silent_us", "timeout")

@@ -85,6 +85,10 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_stream(diffs: DataFrame, drop_every: int = 501) -> DataFrame:
-    """What a consumer receives of the diffs: every ``drop_every``th revision is lost."""
-    kept = diffs.where(F.col("book_seq") % drop_every != 0)
-    return kept.select("book", F.col("book_seq").alias("arrival"), "book_seq", F.lit("DIFF").alias("row_kind"), "side", "price_raw", "size_raw", F.lit(1).alias("pos"))
+    """What a consumer receives: the book at revision 1, then diffs. Of all books but those that 4 divides, the revision at two thirds
+    of the history is lost, and every ``drop_every``th from there on."""
+    last = diffs.groupBy("book").agg(F.max("book_seq").alias("last"))
+    beyond = F.col("book_seq") - F.expr("2 * last div 3")
+    lost = (F.col("book_seq") > 1) & (F.col("book") % 4 != 0) & (beyond >= 0) & (beyond % drop_every == 0)
+    kept = diffs.join(last, "book").where(~lost & ((F.col("book_seq") > 1) | (F.col("size_raw") > 0)))
+    return kept.select("book", F.col("book_seq").alias("arrival"), "book_seq", F.when(F.col("book_seq") == 1, "SNAPSHOT").otherwise("DIFF").alias("row_kind"), "side", "price_raw", "size_raw", F.lit(1).alias("pos"))
