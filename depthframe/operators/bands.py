@@ -137,10 +137,6 @@ def at_revisions(diffs: DataFrame, every: int) -> DataFrame:
     return held.select("book", F.explode(steps).alias("book_seq"), "side", "price_raw", "size_raw")
 
 
-def bands_by_revision(diffs: DataFrame, every: int, bps: list[int] = DEFAULT_BPS) -> DataFrame:
-    return price_bands(at_revisions(diffs, every), bps, ("book_seq",))
-
-
 def mid_references(bbo: DataFrame) -> DataFrame:
     """(book, reference): the mid price of books that have both sides, rounded down."""
     return bbo.where("bid_price_raw IS NOT NULL AND ask_price_raw IS NOT NULL").select("book", F.expr("(bid_price_raw + ask_price_raw) div 2").alias("reference"))

@@ -66,8 +66,8 @@ def _replay(block: pd.DataFrame) -> pd.DataFrame:
     return made
 
 
-def bbo_changes(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
-    """The best bid and ask after every revision that changed the price or size of either."""
+def replay_blocks(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
+    """The diffs with their block, and the book before each block as rows with book_seq 0."""
     n = revisions_per_block
     diffs = diffs.withColumn("block", F.expr(f"(book_seq - 1) div {n}"))
     following = Window.partitionBy("book", "side", "price_raw").orderBy("book_seq")
@@ -75,8 +75,12 @@ def bbo_changes(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK
     held = diffs.withColumn("next_block", F.lead("block").over(following)).where("size_raw > 0").join(ends, "book")
     held = held.withColumn("final", F.coalesce("next_block", "last_block")).where("final > block")
     start = held.select("book", F.explode(F.sequence(F.col("block") + 1, F.col("final"))).alias("block"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("book_seq"), "side", "price_raw", "size_raw")
-    rows = start.unionByName(diffs.select(*start.columns))
-    return rows.groupBy("book", "block").applyInPandas(_replay, BBO)
+    return start.unionByName(diffs.select(*start.columns))
+
+
+def bbo_changes(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
+    """The best bid and ask after every revision that changed the price or size of either."""
+    return replay_blocks(diffs, revisions_per_block).groupBy("book", "block").applyInPandas(_replay, BBO)
 
 
 def conflate(bbo: DataFrame, interval: str = "1 second", time: str = "ts", order: tuple[str, ...] = ("book_seq",)) -> DataFrame:
