@@ -1,13 +1,19 @@
-"""The live aggregate book as a stateful stream: level rows in, diffs and best prices out.
+"""The live aggregate book as a stateful stream: level rows in, diffs, best prices and live venues out.
 
 State is keyed by book and lives in the state store: what each venue holds at each price, the aggregate size of each
-price, and the revision. Rows of a micro-batch are replayed in the order of seq; batches must not overlap in seq, which
-a source keyed by book guarantees.
+price, the live venues, the revision, and the seq up to which messages are applied. A micro-batch loads its book's state
+once, applies each message in time that follows the message (best prices come from heaps), and writes back only what
+changed, so a batch costs its rows and one book; sources bound a batch by ``maxFilesPerTrigger`` or the like.
+
+Rows of a micro-batch are applied in the order of seq. Batches must not overlap in seq; rows at or before the applied seq
+come late and are dropped. A message with a bad level on either side is void, and so is what its venue held: it counts
+as an invalidation of the venue.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +23,38 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from depthframe.types import INVALIDATE, SNAPSHOT
 
 OUTPUT = "book int, seq bigint, book_seq bigint, row_kind string, side string, price_raw bigint, size_raw bigint, live_venues string"
+#: Output rows that are handed on at once.
+OUTPUT_ROWS = 50_000
+_COLUMNS = ["seq", "book_seq", "row_kind", "side", "price_raw", "size_raw", "live_venues"]
+_SIGN = {"BID": -1, "ASK": 1}
+
+
+class _Totals:
+    """Aggregate sizes by (side, price), with the best price of each side."""
+
+    def __init__(self, sizes: dict[tuple[str, int], int]):
+        self.sizes = sizes
+        self.heaps = {s: [sign * p for side, p in sizes if side == s] for s, sign in _SIGN.items()}
+        for heap in self.heaps.values():
+            heapify(heap)
+
+    def put(self, place: tuple[str, int], size: int) -> None:
+        if not size:
+            self.sizes.pop(place, None)
+            return
+        if place not in self.sizes:
+            heappush(self.heaps[place[0]], _SIGN[place[0]] * place[1])
+        self.sizes[place] = size
+
+    def best(self) -> tuple:
+        out = []
+        for side, sign in _SIGN.items():
+            heap = self.heaps[side]
+            while heap and (side, sign * heap[0]) not in self.sizes:
+                heappop(heap)
+            price = sign * heap[0] if heap else None
+            out.append((price, self.sizes.get((side, price))))
+        return tuple(out)
 
 
 class BookProcessor(StatefulProcessor):
@@ -27,82 +65,91 @@ class BookProcessor(StatefulProcessor):
         self.held = handle.getMapState("held", "venue int, side string, price bigint", "size bigint")
         self.total = handle.getMapState("total", "side string, price bigint", "size bigint")
         self.live = handle.getMapState("live", "venue int", "on boolean")
-        self.revision = handle.getValueState("revision", "n bigint")
+        self.revision = handle.getValueState("revision", "n bigint, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held: dict[int, dict[tuple[str, int], int]] = {}
         for (venue, side, price), (size,) in self.held.iterator():
             held.setdefault(venue, {})[side, price] = size
-        total = {tuple(k): v[0] for k, v in self.total.iterator()}
+        totals = _Totals({tuple(k): v[0] for k, v in self.total.iterator()})
         live = {k[0] for k, _ in self.live.iterator()}
-        was_held, was_total, was_live = {v: dict(x) for v, x in held.items()}, dict(total), set(live)
-        number = self.revision.get()[0] if self.revision.exists() else 0
-        out: list[tuple] = []
-        known = _best(total)
+        was_live = set(live)
+        number, applied = self.revision.get() if self.revision.exists() else (0, None)
+        old_held: dict[tuple[int, str, int], int] = {}
+        old_total: dict[tuple[str, int], int] = {}
+        known, out = totals.best(), []
         frame = pd.concat(list(rows)).sort_values(["seq", "pos"], kind="stable")
-        for seq, message in frame.groupby("seq", sort=True):
-            seq, kind, venue = int(seq), message.kind.iloc[0], int(message.venue.iloc[0])
+        seqs, kinds, venues = frame.seq.tolist(), frame.kind.tolist(), frame.venue.tolist()
+        sides, prices, sizes = frame.side.tolist(), frame.price_raw.tolist(), frame.size_raw.tolist()
+        end = 0
+        while end < len(seqs):
+            start, seq, kind, venue = end, seqs[end], kinds[end], venues[end]
+            while end < len(seqs) and seqs[end] == seq:
+                end += 1
+            if applied is not None and seq <= applied:
+                continue
+            applied = seq
+            if kind != INVALIDATE and any(not (prices[i] > 0 and sizes[i] >= 0) for i in range(start, end)):
+                kind = INVALIDATE
             own = held.setdefault(venue, {})
-            new = {} if kind in (SNAPSHOT, INVALIDATE) else dict(own)
+            wanted = dict.fromkeys(own, 0) if kind in (SNAPSHOT, INVALIDATE) else {}
             if kind != INVALIDATE:
-                seen = set()
-                for side, price, size in zip(message.side, message.price_raw.tolist(), message.size_raw.tolist(), strict=True):
-                    if kind == SNAPSHOT and (side, price) in seen:
-                        continue  # a snapshot's first row of a price counts
-                    seen.add((side, price))
-                    if size > 0:
-                        new[side, price] = size
-                    else:
-                        new.pop((side, price), None)
+                # A snapshot's first row of a price counts, a delta's last.
+                turn = range(end - 1, start - 1, -1) if kind == SNAPSHOT else range(start, end)
+                wanted.update(((sides[i], prices[i]), int(sizes[i])) for i in turn)
             changed = {}
-            for place in own.keys() | new.keys():
-                delta = new.get(place, 0) - own.get(place, 0)
-                if delta:
-                    changed[place] = total.get(place, 0) + delta
-            held[venue] = new
-            before = set(live)
-            live = live - {venue} if kind == INVALIDATE else live | {venue}
-            if live != before:
-                out.append((seq, number, "LIVE", None, None, None, ",".join(map(str, sorted(live)))))
-            if not changed:
-                continue
-            number += 1
-            for place, size in sorted(changed.items()):
+            for place, size in wanted.items():
+                before = own.get(place, 0)
+                if size == before:
+                    continue
+                old_held.setdefault((venue, *place), before)
+                old_total.setdefault(place, totals.sizes.get(place, 0))
+                changed[place] = totals.sizes.get(place, 0) + size - before
                 if size:
-                    total[place] = size
+                    own[place] = size
                 else:
-                    total.pop(place, None)
-                out.append((seq, number, "DIFF", *place, size, None))
-            now = _best(total)
-            if now != known:
-                out += [(seq, number, "BBO", side, price, size, None) for side, (price, size) in zip(("BID", "ASK"), now, strict=True)]
-                known = now
-        for venue in held.keys() | was_held.keys():
-            old, new = was_held.get(venue, {}), held.get(venue, {})
-            _store(self.held, {(venue, *k): v for k, v in old.items()}, {(venue, *k): v for k, v in new.items()})
-        _store(self.total, was_total, total)
-        _store(self.live, {(v,): True for v in was_live}, {(v,): True for v in live})
-        self.revision.update((number,))
-        made = pd.DataFrame(out, columns=["seq", "book_seq", "row_kind", "side", "price_raw", "size_raw", "live_venues"]).astype({"price_raw": "Int64", "size_raw": "Int64"})
-        made.insert(0, "book", key[0])
-        yield made
+                    del own[place]
+            toggled = (venue in live) == (kind == INVALIDATE)
+            if toggled:
+                live ^= {venue}
+                out.append((seq, number, "LIVE", None, None, None, ",".join(map(str, sorted(live)))))
+            if changed:
+                number += 1
+                for place, size in sorted(changed.items()):
+                    totals.put(place, size)
+                    out.append((seq, number, "DIFF", *place, size, None))
+                now = totals.best()
+                if now != known:
+                    out += [(seq, number, "BBO", side, price, size, None) for side, (price, size) in zip(_SIGN, now, strict=True)]
+                    known = now
+            if len(out) >= OUTPUT_ROWS:
+                yield _frame(key[0], out)
+                out = []
+        for (venue, *place), before in old_held.items():
+            _store(self.held, (venue, *place), before, held[venue].get(tuple(place), 0))
+        for place, before in old_total.items():
+            _store(self.total, place, before, totals.sizes.get(place, 0))
+        for venue in live ^ was_live:
+            _store(self.live, (venue,), venue in was_live, venue in live)
+        self.revision.update((number, applied))
+        yield _frame(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def _best(total: dict[tuple[str, int], int]) -> tuple:
-    bids, asks = [p for s, p in total if s == "BID"], [p for s, p in total if s == "ASK"]
-    bid, ask = max(bids, default=None), min(asks, default=None)
-    return (bid, total.get(("BID", bid))), (ask, total.get(("ASK", ask)))
+def _frame(book: int, rows: list[tuple]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=_COLUMNS).astype({"price_raw": "Int64", "size_raw": "Int64"})
+    made.insert(0, "book", book)
+    return made
 
 
-def _store(state, old: dict, new: dict) -> None:
-    for k in old.keys() - new.keys():
-        state.removeKey(k)
-    for k, v in new.items():
-        if old.get(k) != v:
-            state.updateValue(k, (v,))
+def _store(state, key: tuple, old, new) -> None:
+    if not new:
+        if old:
+            state.removeKey(key)
+    elif new != old:
+        state.updateValue(key, (new,))
 
 
 def live_book(levels: DataFrame) -> DataFrame:
