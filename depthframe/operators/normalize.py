@@ -103,25 +103,24 @@ def parse_levels(pairs: Column) -> Column:
 FIELDS = ("first_id", "final_id", "prev_final_id", "last_update_id")
 
 
-def _message(schema: str, rule: Callable[[Column, Column], Message], parsed: Column) -> Column:
-    """What one venue's rule makes of a text: struct<status, native_symbol, ids, bids, asks>."""
+def _reading(schema: str, rule: Callable[[Column, Column], Message], parsed: Column) -> Column:
+    """What one venue's rule makes of a parsed text, its levels still as texts."""
     m, text = rule(parsed, F.coalesce("source", F.lit("WS"))), F.col("text")
-    bids, asks = parse_levels(m.bids), parse_levels(m.asks)
-    hole = lambda c: c.isNull() | F.exists(c, lambda x: x["price_raw"].isNull() | x["size_raw"].isNull())
-    bare = F.concat(*[F.coalesce(F.get_json_object(text, p), F.lit("")) for p in m.paths]).rlike(BARE)
     broken = parsed.isNull() if schema.startswith("MAP") else parsed.isNull() | parsed["_bad"].isNotNull()
     complete = F.lit(True)
     for c in m.needed:
         complete = complete & c
-    status = F.when(F.trim(text) == "pong", IGNORED).when(broken, MALFORMED).when(m.kind.isNull(), IGNORED).when(~F.coalesce(complete, F.lit(False)) | hole(bids) | hole(asks) | bare, MALFORMED).otherwise(m.kind)
+    # Few texts hold a bare number in any array; only in those are the level arrays looked up again.
+    arrays = F.concat(*[F.coalesce(F.get_json_object(text, p), F.lit("")) for p in m.paths])
+    bare = F.when(text.rlike(BARE), arrays.rlike(BARE)).otherwise(F.lit(False))
     ids = [c.cast(ID).alias(n) for n, c in zip(FIELDS, (m.first_id, m.final_id, m.prev_final_id, m.last_update_id), strict=True)]
-    return F.struct(status.alias("status"), m.symbol.alias("native_symbol"), *ids, bids.alias("bids"), asks.alias("asks"))
+    return F.struct(m.kind.alias("kind"), broken.alias("broken"), F.coalesce(complete, F.lit(False)).alias("complete"), bare.alias("bare"), m.symbol.alias("native_symbol"), *ids, m.bids.cast(PAIRS).alias("bids"), m.asks.cast(PAIRS).alias("asks"))
 
 
 def normalize_messages(raw: DataFrame) -> DataFrame:
     """The L2 message table of raw messages, status included, in one pass. Texts of unknown venues are IGNORED.
 
-    A text is parsed once, with its own venue's schema.
+    A text is parsed once, with its own venue's schema, and its levels once, whatever the venue.
     """
     schemas = list(dict.fromkeys(schema for schema, _, _ in VENUES.values()))
     parsed = {}
@@ -129,13 +128,21 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
         full = schema if schema.startswith("MAP") else schema + ", _bad STRING"
         own = [v for v, (s, _, _) in VENUES.items() if s == schema]
         parsed[f"__{k}"] = F.when(F.col("venue").isin(*own), F.from_json("text", full, {"columnNameOfCorruptRecord": "_bad"}))
-    rows = raw.withColumns(parsed)
-    message = F.lit(None)
+    readings: dict[tuple, list[str]] = {}
     for venue, (schema, rule, _) in VENUES.items():
-        message = F.when(F.col("venue") == venue, _message(schema, rule, F.col(f"__{schemas.index(schema)}"))).otherwise(message)
-    rows = rows.withColumn("__m", message).withColumn("status", F.coalesce("__m.status", F.lit(IGNORED)))
+        readings.setdefault((schema, rule), []).append(venue)
+    message = F.lit(None)
+    for (schema, rule), venues in readings.items():
+        message = F.when(F.col("venue").isin(*venues), _reading(schema, rule, F.col(f"__{schemas.index(schema)}"))).otherwise(message)
+    rows = raw.withColumns(parsed).select("recv_seq", "recv_ts", "venue", "conn_epoch", (F.trim("text") == "pong").alias("__pong"), message.alias("__m"))
+    rows = rows.select("recv_seq", "recv_ts", "venue", "conn_epoch", "__pong", "__m.*")
+    rows = rows.withColumns({c: parse_levels(F.col(c)) for c in ("bids", "asks")})
+    hole = lambda c: F.col(c).isNull() | F.exists(c, lambda x: x["price_raw"].isNull() | x["size_raw"].isNull())
+    faulty = ~F.col("complete") | F.col("bare") | hole("bids") | hole("asks")
+    status = F.when(F.coalesce("__pong", F.lit(False)), IGNORED).when(F.col("broken"), MALFORMED).when(F.col("kind").isNull(), IGNORED).when(faulty, MALFORMED).otherwise(F.col("kind"))
+    rows = rows.withColumn("status", status)
     good = F.col("status").isin(SNAPSHOT, DELTA)
-    keep = lambda n: F.when(good, F.col(f"__m.{n}")).alias(n)
+    keep = lambda n: F.when(good, F.col(n)).alias(n)
     return rows.select("recv_seq", "recv_ts", "venue", "conn_epoch", keep("native_symbol"), "status", F.when(good, F.col("status")).alias("kind"), *[keep(n) for n in FIELDS], keep("bids"), keep("asks"))
 
 

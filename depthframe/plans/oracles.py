@@ -45,8 +45,10 @@ bbo AS (SELECT book, seq, book_seq, bid_price_raw, bid_size_raw, ask_price_raw,
     row_number() OVER (PARTITION BY book ORDER BY book_seq) AS n FROM best)
   WHERE CASE WHEN n = 1 THEN bid_price_raw IS NOT NULL OR ask_price_raw IS NOT NULL
     ELSE row(bid_price_raw, bid_size_raw, ask_price_raw, ask_size_raw) IS DISTINCT FROM p END)"""
-CLIENT = """stream AS (SELECT book, book_seq AS arrival, book_seq, side, price_raw, size_raw FROM diffs WHERE book_seq % 501 <> 0),
-upd AS (SELECT *, lag(book_seq) OVER (PARTITION BY book ORDER BY arrival) AS previous FROM (SELECT book, arrival, book_seq, count(*) AS levels FROM stream GROUP BY ALL)),
+CLIENT = """ends AS (SELECT book, (2 * max(book_seq)) // 3 AS far FROM diffs GROUP BY book),
+stream AS (SELECT d.book, book_seq AS arrival, book_seq, CASE WHEN book_seq = 1 THEN 'SNAPSHOT' ELSE 'DIFF' END AS row_kind, side, price_raw, size_raw FROM diffs d JOIN ends e ON d.book = e.book
+  WHERE NOT (book_seq > 1 AND d.book % 4 <> 0 AND book_seq >= far AND (book_seq - far) % 501 = 0) AND (book_seq > 1 OR size_raw > 0)),
+upd AS (SELECT *, lag(book_seq) OVER (PARTITION BY book ORDER BY arrival) AS previous FROM (SELECT book, arrival, book_seq, row_kind, count(*) AS levels FROM stream GROUP BY ALL)),
 gap AS (SELECT book, arrival, previous + 1 AS expected, book_seq FROM upd WHERE book_seq <> previous + 1)"""
 
 
@@ -72,23 +74,22 @@ FROM ({reference.format(source=source)}), (VALUES {values}) AS t(ord, bps) GROUP
 OWN_BEST = "SELECT *, CASE WHEN side = 'BID' THEN max(price_raw) OVER (PARTITION BY {keys}, side) ELSE min(price_raw) OVER (PARTITION BY {keys}, side) END AS reference FROM {{source}}"
 
 
-def volume_bands(thresholds: tuple[int, ...]) -> str:
+def volume_bands(thresholds: tuple[int, ...], source: str = "agg", keys: str = "book") -> str:
     values = ", ".join(f"({i}, CAST({t} AS HUGEINT))" for i, t in enumerate(thresholds))
     partial = "((n0 + threshold_raw - n0) * CAST(price_raw AS HUGEINT))"
     whole = "(s0 * CAST(price_raw AS HUGEINT) + (threshold_raw - n0) * 1000000)"
     rest = half_away(f"({partial} % {whole}) * 1000000", whole)
     return f"""walked AS (
-  SELECT *, coalesce(sum(n) OVER w, 0) AS n0, coalesce(sum(CAST(size_raw AS HUGEINT)) OVER w, 0) AS s0 FROM (SELECT *, {NOTIONAL} AS n FROM agg)
-  WINDOW w AS (PARTITION BY book, side ORDER BY CASE WHEN side = 'BID' THEN -price_raw ELSE price_raw END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, coalesce(sum(n) OVER w, 0) AS n0, coalesce(sum(CAST(size_raw AS HUGEINT)) OVER w, 0) AS s0 FROM (SELECT *, {NOTIONAL} AS n FROM {source})
+  WINDOW w AS (PARTITION BY {keys}, side ORDER BY CASE WHEN side = 'BID' THEN -price_raw ELSE price_raw END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), crossed AS (
-  SELECT book, side, ord, CASE WHEN threshold_raw - n0 = n THEN {half_away('threshold_raw * 1000000', '(s0 + size_raw)')}
+  SELECT {keys}, side, ord, CASE WHEN threshold_raw - n0 = n THEN {half_away('threshold_raw * 1000000', '(s0 + size_raw)')}
     ELSE ({partial} // {whole}) * 1000000 + {rest} END AS vwap
   FROM walked, (VALUES {values}) AS t(ord, threshold_raw) WHERE n0 < threshold_raw AND threshold_raw <= n0 + n
 ), sides AS (
-  SELECT b.book, s.side FROM (SELECT DISTINCT book FROM agg) b, (VALUES ('BID'), ('ASK')) AS s(side)
-), totals AS (SELECT book, side, sum(n) AS total FROM walked GROUP BY ALL)
-SELECT s.book, s.side, CAST(t.ord AS INT) AS ord, CAST(t.threshold_raw AS BIGINT) AS threshold_raw, CAST(c.vwap AS BIGINT) AS vwap_raw,
+  SELECT * FROM (SELECT DISTINCT {keys} FROM {source}), (VALUES ('BID'), ('ASK')) AS s(side)
+), totals AS (SELECT {keys}, side, sum(n) AS total FROM walked GROUP BY ALL)
+SELECT {keys}, side, CAST(t.ord AS INT) AS ord, CAST(t.threshold_raw AS BIGINT) AS threshold_raw, CAST(c.vwap AS BIGINT) AS vwap_raw,
   CAST(CASE WHEN c.ord IS NOT NULL THEN t.threshold_raw ELSE coalesce(o.total, 0) END AS BIGINT) AS filled_raw, 'OK' AS status
 FROM sides s CROSS JOIN (VALUES {values}) AS t(ord, threshold_raw)
-LEFT JOIN crossed c ON c.book = s.book AND c.side = s.side AND c.ord = t.ord
-LEFT JOIN totals o ON o.book = s.book AND o.side = s.side"""
+LEFT JOIN crossed c USING ({keys}, side, ord) LEFT JOIN totals o USING ({keys}, side)"""

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from depthframe.functions import fixed, labels, symbols
-from depthframe.operators import bands, bbo, book, client, liveness, normalize, routing, sync
+from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync
 from depthframe.streaming.book import live_book
 
-from . import fixture
+from depthframe.sources.messages import read_raw_messages
+from depthframe.sources.shared import scratch
+
+from . import fixture, session_fixture
 from . import oracles as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +46,6 @@ def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
 BPS = (50, 100, 200, 500, 1000)
 #: Notionals of 50, 500, 5,000 and 5,000,000: the last is more than a side holds.
 NOTIONALS = tuple(n * 10**9 for n in (50, 500, 5_000, 5_000_000))
-EVERY = 500
 TICK = 1000
 
 
@@ -144,10 +146,17 @@ def volume_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.volume_bands(_final(spark, sf_dir), NOTIONALS)
 
 
-@query(f"""{sql.FULL}, {sql.HELD}, sampled AS (SELECT book, book_seq, side, price_raw, size_raw FROM alive WHERE book_seq % {EVERY} = 0)
-{sql.price_bands('sampled', 'book, book_seq', sql.OWN_BEST.format(keys='book, book_seq'), BPS)}""")
+_ALIVE = f"{sql.FULL}, {sql.HELD}, every_one AS (SELECT book, book_seq, side, price_raw, size_raw FROM alive)"
+
+
+@query(f"{_ALIVE} {sql.price_bands('every_one', 'book, book_seq', sql.OWN_BEST.format(keys='book, book_seq'), BPS)}")
 def bands_by_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.bands_by_revision(_diffs(spark, sf_dir), EVERY, BPS)
+    return revision_bands.price_bands_by_revision(_diffs(spark, sf_dir), BPS)
+
+
+@query(f"{_ALIVE}, {sql.volume_bands(NOTIONALS, 'every_one', 'book, book_seq')}")
+def volume_bands_by_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revision_bands.volume_bands_by_revision(_diffs(spark, sf_dir), NOTIONALS)
 
 
 @query(f"{sql.BASE}, {sql.AGG} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY book, side ORDER BY CASE WHEN side = 'BID' THEN -price_raw ELSE price_raw END) AS INT) AS depth FROM agg) WHERE depth <= 5")
@@ -181,7 +190,7 @@ def bbo_l2_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.bbo_at_diffs(diffs, bbo.bbo_changes(diffs)).select("book", "book_seq", "bid_price_raw", "ask_price_raw")
 
 
-@query(f"{sql.FULL}, {sql.CLIENT} SELECT book, CAST(0 AS BIGINT) AS snapshots, count(*) AS diffs, count(*) FILTER (book_seq <> previous + 1) AS gaps, CAST(sum(levels) AS BIGINT) AS levels, max(book_seq) AS last_book_seq FROM upd GROUP BY book")
+@query(f"{sql.FULL}, {sql.CLIENT} SELECT book, count(*) FILTER (row_kind = 'SNAPSHOT') AS snapshots, count(*) FILTER (row_kind = 'DIFF') AS diffs, count(*) FILTER (book_seq <> previous + 1) AS gaps, CAST(sum(levels) AS BIGINT) AS levels, max(book_seq) AS last_book_seq FROM upd GROUP BY book")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.run_summary(fixture.client_stream(_diffs(spark, sf_dir)))
 
@@ -251,6 +260,28 @@ def disconnect_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.disconnect_resets(fixture.updates(spark, sf_dir))
 
 
+# The whole chain
+
+_CHAIN = f"WITH {session_fixture.LEVELS_SQL}, {sql.ONCE}, {sql.IV}"
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level table of the fixture's texts, which are first recorded as files, like those of a real session."""
+    root = f"{scratch(spark)}/session-{uuid.uuid4().hex}"
+    session_fixture.raw_texts(spark, sf_dir).write.parquet(root)
+    return session.replay(read_raw_messages(spark, root, "parquet"), session_fixture.subscriptions(spark))
+
+
+@query(f"{_CHAIN}, {sql.DIFF} SELECT * FROM diffs")
+def session_l2_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.l2_diffs(_replayed(spark, sf_dir))
+
+
+@query(f"WITH {session_fixture.LEVELS_SQL} SELECT book, venue, seq, kind, count(price_raw) AS levels FROM lv GROUP BY ALL HAVING kind <> 'DELTA' OR count(price_raw) > 0")
+def session_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir).groupBy("book", "venue", "seq", "kind").agg(F.count("price_raw").alias("levels"))
+
+
 # Messages
 
 _FAULTY = f"""{sql.LV}, bad AS (SELECT * REPLACE (CASE WHEN seq % 211 = 0 AND pos = 1 THEN -1 ELSE size_raw END AS size_raw, CASE WHEN seq % 307 = 0 AND pos = 2 THEN 0 ELSE price_raw END AS price_raw) FROM lv)"""
@@ -415,16 +446,27 @@ def bbo_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+#: Level rows of a micro-batch, about.
+BATCH_ROWS = 100_000
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the live book emits for the whole table: its level rows, written as files and read as a stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='depthframe-')}"
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    """The rows that the live book emits for the whole table: its level rows, written as files and read as a stream.
+
+    Each file holds a range of seq of about BATCH_ROWS rows, and each micro-batch reads one file, in the order of writing.
+    """
+    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     source = fixture.levels(spark, sf_dir)
-    source.repartition("book").write.parquet(f"{root}/in")
+    n, last = source.agg(F.count(F.lit(1)), F.max("seq")).first()
+    width = max(1, (last or 0) * BATCH_ROWS // max(1, n))
+    source.withColumn("block", F.expr(f"seq div {width}")).write.partitionBy("block").parquet(f"{root}/blocks")
+    cut = spark.read.schema(StructType([*source.schema.fields, StructField("block", LongType())])).parquet(f"{root}/blocks")
+    for block in range((last or 0) // width + 1):
+        cut.where(F.col("block") == block).drop("block").coalesce(1).write.mode("append").parquet(f"{root}/in")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = live_book(spark.readStream.schema(source.schema).parquet(f"{root}/in"))
+        rows = live_book(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
         run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
@@ -440,6 +482,9 @@ def stream_l2_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).where("row_kind = 'DIFF'").select("book", "seq", "book_seq", "side", "price_raw", "size_raw")
 
 
-@query()
+@query(f"""WITH {sql.LV}, m AS (SELECT DISTINCT book, venue, seq, kind <> 'INVALIDATE' AS live FROM lv),
+t AS (SELECT * FROM (SELECT *, coalesce(lag(live) OVER (PARTITION BY book, venue ORDER BY seq), false) AS before FROM m) WHERE live <> before),
+f AS (SELECT a.book, a.seq, b.venue, arg_max(b.live, b.seq) AS live FROM t a JOIN t b ON a.book = b.book AND b.seq <= a.seq GROUP BY ALL)
+SELECT book, seq, array_to_string(coalesce(list_sort(list(venue) FILTER (live)), []), ',') AS live_venues FROM f GROUP BY book, seq""")
 def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).where("row_kind = 'LIVE'").select("book", "seq", "live_venues")
