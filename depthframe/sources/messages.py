@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from depthframe.types import RAW_MESSAGES
+from depthframe.functions.fixed import fixed_to_decimal
+from depthframe.functions.labels import bps_label, notional_label, open_ended
+from depthframe.types import NOTIONAL_DECIMALS, PRICE_DECIMALS, RAW_MESSAGES, SIZE_DECIMALS
 
 
 def read_raw_messages(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
@@ -37,11 +39,35 @@ def nested_snapshot(levels: DataFrame) -> DataFrame:
     return sides.select("book", plain("bids"), plain("asks"))
 
 
+def nested_diffs(diffs: DataFrame) -> DataFrame:
+    """One row for each revision: its changed levels as arrays of (price_raw, size_raw), bids downwards, then asks upwards."""
+    level = lambda side, price: F.when(F.col("side") == side, F.struct(price.alias("order"), F.col("price_raw"), F.col("size_raw")))
+    sides = diffs.groupBy("book", "seq", "book_seq").agg(F.sort_array(F.collect_list(level("BID", -F.col("price_raw")))).alias("bids"), F.sort_array(F.collect_list(level("ASK", F.col("price_raw")))).alias("asks"))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw"))).alias(c)
+    return sides.select("book", "seq", "book_seq", plain("bids"), plain("asks"))
+
+
 def band_lines(bands: DataFrame) -> DataFrame:
     """Report lines of price bands: book, side, and 'label: size @ boundary' for each band."""
-    label = F.concat(F.col("bps").cast("string"), F.lit("bps: "))
-    number = lambda c, d: F.format_string(f"%.{d}f", F.col(c) / F.lit(10.0**d))
-    text = F.when(F.col("status") == "OK", F.concat(label, number("cum_size_raw", 6), F.lit(" @ "), number("boundary_raw", 9))).otherwise(F.concat(label, F.lit("ERROR")))
+    return _lines(bands, bps_label(F.col("bps")), F.concat(_number("cum_size_raw", SIZE_DECIMALS), F.lit(" @ "), _number("boundary_raw", PRICE_DECIMALS)))
+
+
+def volume_lines(bands: DataFrame) -> DataFrame:
+    """Report lines of notional bands: book, side, and 'label: average price' for each band, the last one open-ended; where
+    a side is too thin, the notional that it fills."""
+    keys = [c for c in ("book", "book_seq") if c in bands.columns]
+    label = open_ended(notional_label(F.col("threshold_raw")), F.col("ord"), *keys, "side")
+    thin = F.concat(F.lit("only "), _number("filled_raw", NOTIONAL_DECIMALS))
+    return _lines(bands, label, F.coalesce(_number("vwap_raw", PRICE_DECIMALS), thin))
+
+
+def _number(column: str, decimals: int) -> Column:
+    return fixed_to_decimal(F.col(column), decimals).cast("string")
+
+
+def _lines(bands: DataFrame, label: Column, value: Column) -> DataFrame:
+    text = F.concat(label, F.lit(": "), F.when(F.col("status") == "OK", value).otherwise("ERROR"))
+    bands = bands.withColumn("text", text)
     keys = [c for c in ("book", "book_seq") if c in bands.columns]
-    lines = bands.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("ord", text.alias("text")))).alias("x"))
+    lines = bands.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("x"))
     return lines.select(*keys, "side", F.array_join(F.transform("x", lambda x: x["text"]), "  ").alias("line"))

@@ -59,9 +59,13 @@ class _Totals:
 
 class BookProcessor(StatefulProcessor):
     """Emits DIFF rows (new aggregate size, 0: removed), BBO rows when a best price or its size changed, and LIVE rows
-    when the set of live venues changed."""
+    when the set of live venues changed and, with ``heartbeat_ms``, each time that so long has passed on the clock."""
+
+    def __init__(self, heartbeat_ms: int | None = None):
+        self.heartbeat_ms = heartbeat_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getMapState("held", "venue int, side string, price bigint", "size bigint")
         self.total = handle.getMapState("total", "side string, price bigint", "size bigint")
         self.live = handle.getMapState("live", "venue int", "on boolean")
@@ -131,9 +135,18 @@ class BookProcessor(StatefulProcessor):
             _store(self.total, place, before, totals.sizes.get(place, 0))
         for venue in live ^ was_live:
             _store(self.live, (venue,), venue in was_live, venue in live)
+        if self.heartbeat_ms and not self.revision.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
         self.revision.update((number, applied))
         yield _frame(key[0], out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A heartbeat: who is live, and the next one."""
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
+        number, applied = self.revision.get()
+        live = sorted(k[0] for k, _ in self.live.iterator())
+        yield _frame(key[0], [(applied, number, "LIVE", None, None, None, ",".join(map(str, live)))])
+
     def close(self) -> None:
         pass
 
@@ -152,9 +165,10 @@ def _store(state, key: tuple, old, new) -> None:
         state.updateValue(key, (new,))
 
 
-def live_book(levels: DataFrame) -> DataFrame:
+def live_book(levels: DataFrame, heartbeat_ms: int | None = None) -> DataFrame:
     """DIFF, BBO and LIVE rows of a stream of level rows."""
-    return levels.groupBy("book").transformWithStateInPandas(BookProcessor(), OUTPUT, "append", "none")
+    clock = "processingTime" if heartbeat_ms else "none"
+    return levels.groupBy("book").transformWithStateInPandas(BookProcessor(heartbeat_ms), OUTPUT, "append", clock)
 
 
 def silent_sessions(messages: DataFrame, watermark: str = "1 minute", timeout: str = "timeout") -> DataFrame:

@@ -15,7 +15,7 @@ def values(spark, rows, schema, *columns):
 
 def test_decimal_texts(spark):
     cases = {"1": 10**9, "-1.5": -1_500_000_000, ".5": 500_000_000, "5.": 5 * 10**9, "0.0000000005": 1, "0.00000000049999": 0, "-0.0000000005": -1, "9223372036.854775807": 2**63 - 1, "000000000000000000000000000000000000000000001": 10**9}
-    bad = ["", ".", "-", "1e5", "+1", " 1", "1 ", "1,0", "0x1", "1.2.3", "9223372036.854775808", "-9223372036.854775808", "99999999999999999999999999999999999999999999", None, "--1", "nan"]
+    bad = ["", ".", "-", "1e5", "+1", " 1", "1 ", "1,0", "0x1", "1.2.3", "9223372036.854775808", "-9223372036.854775808", "99999999999999999999999999999999999999999999", None, "--1", "nan", "1.5\n", "1\n", "\n1", "1.5\r"]
     got = values(spark, [(t,) for t in [*cases, *bad]], "t string", fixed.fixed_from_string(F.col("t"), 9))
     assert [g[0] for g in got] == [*cases.values(), *[None] * len(bad)]
 
@@ -57,6 +57,8 @@ def test_names(spark):
     pair, book = symbols.split_base_quote(t), symbols.parse_book_id(t)
     got = values(spark, [("BTC_USDT",), ("_USDT",), ("A_B_C",), ("BTC",), ("BTC_USDT.PERP",), ("BTC_USDT.FUT",), (None,)], "t string", pair["base"], book["market"])
     assert got == [("BTC", None), (None, None), (None, None), (None, None), ("BTC", "PERP"), ("BTC", None), (None, None)]
+    assert values(spark, [("A_B\n",), ("A_B.SPOT\n",)], "t string", book["market"]) == [(None,), (None,)]
+    assert values(spark, [("A_B\n",)], "t string", symbols.split_base_quote(t)["base"]) == [("A",)]
     e, m = F.col("e"), F.col("m")
     got = values(spark, [("OKX", "PERP"), ("OKX", "SPOT"), ("BYBIT", "PERP"), ("X", "SPOT")], "e string, m string", symbols.venue_to_string(e, m), symbols.native_symbol(e, F.lit("BTC"), F.lit("USDT"), m))
     assert got == [("okx_swap", "BTC-USDT-SWAP"), ("okx_spot", "BTC-USDT"), ("bybit_linear", "BTCUSDT"), (None, None)]
