@@ -1,55 +1,24 @@
-"""Helpers that several operators share: shared-folder tables and whole-batch word splitting."""
+"""Helpers that several operators share: word counts, slices of batches, hashes. Tables in the shared folder are of ``sources.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space: a word is a maximal run of anything else.
-SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+from depthframe.sources.shared import materialize
+
+__all__ = ["Powers", "RollingHash", "STEP_BYTES", "WORD", "materialize", "mix64", "text_slices", "word_count"]
+
+#: A word is a maximal run of anything but ASCII white space, as bytes.split() has it too.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step turns into numpy arrays at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir; a new one under /tmp where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        Path("/tmp/checkpoints").mkdir(exist_ok=True)
-        base = f"file://{tempfile.mkdtemp(dir='/tmp/checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. The shuffle files of the write go at once."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
@@ -68,28 +37,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP
             yield batch.slice(a, b - a)
 
 
-def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts of an Arrow column end to end, and where each begins (and the last ends). Null: empty."""
-    array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) else "")
-    wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
-    _, offsets, data = array.buffers()
-    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
-    return raw, off - off[0]
-
-
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the number of words before it (one entry more at the end)."""
-    inside = ~_IS_SPACE[raw]
-    before, after = np.zeros_like(inside), np.zeros_like(inside)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    first = off[:-1][off[:-1] < len(raw)]
-    before[first] = False
-    after[first[first > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, off)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -20,27 +20,35 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, RollingHash, materialize, mix64, text_slices, utf8, word_bounds
+from .common import Powers, RollingHash, materialize, mix64, text_slices
 
 WINDOW = 20
 #: Words in a minimizer piece; a window has WINDOW - PIECE + 1 of them.
 PIECE = 8
 
-_BYTES = [Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)]
 _WORDS = [Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)]
 
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    spans = RollingHash(_BYTES[k], raw.astype(np.uint64) + np.uint64(1)).spans(starts, ends)
-    return mix64(spans + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+def _word_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """Each word as a 64-bit token, by the k-th of two XXH3 seeds. Windows are polynomials over these: a polynomial over
+    the words' bytes would give some long words (complementary Thue-Morse words) one hash modulo 2**64 under any base."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(k)), np.uint64, len(words))
+
+
+def _batch_words(texts: list[bytes]) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:
+    """The words of each text, those of all texts in one list, and the number of words before each text (and after the last)."""
+    each = [t.split() for t in texts]
+    return each, [w for words in each for w in words], np.cumsum([0, *map(len, each)])
 
 
 def _windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +74,14 @@ def _scan(window: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in text_slices(batches, "text"):
-            raw, off = utf8(batch["text"])
-            starts, ends, first = word_bounds(raw, off)
+            each, words, first = _batch_words([(t or "").encode() for t in batch["text"].to_pylist()])
             win, doc = _windows(first, window)
-            low, pieces = _minimizers(_word_hashes(raw, starts, ends, 0), win, window, piece)
+            low, pieces = _minimizers(_word_hashes(words, 0), win, window, piece)
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
             low, doc = low[new], doc[new]
             per = np.searchsorted(doc, np.arange(len(first)))
-            joined = [b" ".join(raw[a:b].tobytes().split()) for a, b in zip(off, off[1:], strict=False)]
+            joined = [b" ".join(words) for words in each]
             lists = lambda x: pa.ListArray.from_arrays(pa.array(per, pa.int32()), x)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,9 +98,9 @@ def _scan(window: int, piece: int):
     return run
 
 
-def _unpack(packed: pa.Array) -> pa.Array:
+def _unpack(packed: pa.Array) -> list[bytes]:
     open_ = zstandard.ZstdDecompressor()
-    return pa.array([open_.decompress(x) for x in packed.to_pylist()], pa.large_binary())
+    return [open_.decompress(x) for x in packed.to_pylist()]
 
 
 def _candidates(window: int, piece: int):
@@ -101,12 +108,11 @@ def _candidates(window: int, piece: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "packed", 1 << 19):
-            raw, off = utf8(_unpack(batch["packed"]))
-            starts, ends, first = word_bounds(raw, off)
+            _, flat_words, first = _batch_words(_unpack(batch["packed"]))
             win, doc = _windows(first, window)
-            words = [_word_hashes(raw, starts, ends, k) for k in (0, 1)]
+            words = [_word_hashes(flat_words, k) for k in (0, 1)]
             low, _ = _minimizers(words[0], win, window, piece)
-            listed = np.zeros(len(starts) + 1, bool)
+            listed = np.zeros(len(flat_words) + 1, bool)
             places = batch["places"]
             flat = np.asarray(places.flatten())
             counts = np.asarray(pc.list_value_length(places))
@@ -132,7 +138,7 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "packed", 1 << 19):
             gone, digest, spans = [], [], []
-            texts = _unpack(batch["packed"]).to_pylist()
+            texts = _unpack(batch["packed"])
             for text, starts in zip(texts, batch["starts"].to_pylist(), strict=True):
                 words = text.split()
                 mask = _removed(np.asarray(starts, np.int64), len(words), window)
@@ -153,9 +159,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -
     rows = materialize(rows.withColumn("copy", F.monotonically_increasing_id()), "substr-rows")
 
     # One row of each word sequence takes part: of the smallest doc_id; ``copy`` tells apart rows that share one.
+    # Texts that occur once are left out of the join, and its sides are plain shuffles, where Spark splits a text of many copies.
     known = rows.select("doc_id", "copy", "n_words", "sha256")
-    lead = known.groupBy("sha256").agg(F.min(F.struct("doc_id", "copy")).alias("lead"))
-    flagged = materialize(known.join(lead, "sha256").withColumn("is_lead", F.col("copy") == F.col("lead.copy")).drop("lead"), "substr-lead")
+    lead = known.groupBy("sha256").agg(F.min(F.struct("doc_id", "copy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = known.join(materialize(lead, "substr-several"), "sha256", "left")
+    flagged = materialize(several.withColumn("is_lead", F.coalesce(F.col("copy") == F.col("lead.copy"), F.lit(True))).drop("lead"), "substr-lead")
     empty = F.lit([]).cast("array<struct<start:bigint,end:bigint>>")
     long_enough = F.col("n_words") >= window
     copies = flagged.where("NOT is_lead").select(

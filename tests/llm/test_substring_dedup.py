@@ -51,6 +51,25 @@ def test_same_id_and_empty_table(spark):
     assert substring_dedup(df.where("false")).count() == 0
 
 
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses(spark):
+    """Complementary Thue-Morse words: equal under any base modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {word}"), (2, f"{lead} {other}"), (3, f"x {lead} {word}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(substring_dedup(df)) == brute(rows)
+
+
+def test_a_very_long_text_and_many_copies(spark):
+    long = " ".join(f"v{i % 997}" for i in range(60_000))
+    rows = [(1, long), (2, "z " + long), *[(10 + k, " ".join(f"c{i}" for i in range(30))) for k in range(300)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(substring_dedup(df)) == brute(rows)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_whole_table(spark, testdata, sf):
     docs = spark.read.parquet(f"{testdata}/{sf}/documents.parquet")
