@@ -1,13 +1,19 @@
-"""SimHash near-dedup: 64-bit fingerprints over word shingles, linked at Hamming distance 2 (or 3) or less.
+"""SimHash near-dedup: 64-bit fingerprints over word shingles, linked at Hamming distance 2 or less.
 
 Method: deletion-variant signatures. A fingerprint is cut into two halves, fewer than the three that plain pigeonhole
 asks for, so that of two linked ones some half differs in one bit at most. The index holds each half, and each half with
-one bit left out; equal keys are joined and the pairs verified by counting bits.
+one bit left out; fingerprints whose keys meet another's are candidates, and links among these are verified by bits.
+
+No pairs of a key's holders are made. Two fingerprints within two bits have a midpoint, a value within one bit of both;
+and any two within one bit of the same value are within two of each other. So every candidate is written under the 65
+values within one bit of it, and linked with the smallest that stands under the same value: what is linked so is within
+the distance, all that is within it is connected so, and one value has 65 fingerprints at most.
 
 How it scales. Texts are read once, for their fingerprints. Copies fall together first: only distinct fingerprints
-are indexed. A count with partial sums drops the keys that one fingerprint holds, so almost no index rows are joined.
-Groups are connected components over fingerprints; documents take their group's smallest doc_id in a last join, which
-Spark can split where one fingerprint holds many documents. No step holds a group in one task.
+are indexed. A count with partial sums drops the keys that one fingerprint holds, so few fingerprints are candidates. The
+work follows the number of fingerprints, whatever keys they share. Groups are connected components over fingerprints;
+documents take their group's smallest doc_id in a last join, which Spark can split where one fingerprint holds many
+documents. No step holds a group in one task.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text under the shingle's
 length is one shingle; only A to Z are lower-cased; equal doc_ids are separate rows; a group without any doc_id has a
@@ -24,15 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_slices
+from .common import materialize, text_slices
 from .components import connected_components
 
 SHINGLE = 3
 SEED = 42
 #: Fingerprints that differ in so many bits at most are linked.
 DISTANCE = 2
-#: A key with more holders than this is hot.
-HOT = 256
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -44,11 +48,11 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(text: str | None, shingle: int = SHINGLE, families: int = 1) -> list[int]:
-    """Signed 64-bit fingerprints, 0 without words. The first is of the shingles' XXH64; each further family hashes these anew."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of a text, 0 without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * families
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends + 1).tolist()]
@@ -56,124 +60,63 @@ def fingerprints(text: str | None, shingle: int = SHINGLE, families: int = 1) ->
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    return [majority(hashes if f == 0 else mix64(hashes + np.uint64(f * 0x9E3779B97F4A7C15 % (1 << 64)))) for f in range(families)]
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return fingerprints(text, shingle)[0]
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def _scan(shingle: int, families: int):
+def _scan(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            prints = [fingerprints(t, shingle, families) for t in batch["text"].to_pylist()]
+            prints = [fingerprint(t, shingle) for t in batch["text"].to_pylist()]
             others = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in others], pa.array([p[0] for p in prints], pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=[*others, "fingerprint", "prints"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in others], pa.array(prints, pa.int64())], names=[*others, "fingerprint"])
 
     return run
 
 
-def segment_keys(distance: int) -> Column:
-    """The index keys of ``lo`` and ``hi``, the halves of a fingerprint: each half as it is, and with one bit left out.
-
-    Two fingerprints that differ in up to 3 bits have a half that differs in one at most; for 2 bits, either the lower
-    half does, or the upper halves are equal. A key holds which half and bit it is about above the half's 32 bits.
-    """
-    keys = ["array((32L << 32) | lo, (33L << 32) | hi)", "transform(sequence(0, 31), j -> (CAST(j AS BIGINT) << 32) | (lo & ~(1L << j)))"]
-    if distance == 3:
-        keys.append("transform(sequence(0, 31), j -> (CAST(j + 34 AS BIGINT) << 32) | (hi & ~(1L << j)))")
-    return F.expr(f"concat({', '.join(keys)})")
+#: The index keys of ``lo`` and ``hi``, the halves of a fingerprint: each as it is, and the lower with one bit left out.
+#: Of fingerprints within 2 bits either the lower halves differ in one bit at most, or the upper halves are equal. A key
+#: holds which half and bit it is about above the half's 32 bits.
+VARIANTS = "concat(array((32L << 32) | lo, (33L << 32) | hi), transform(sequence(0, 31), j -> (CAST(j AS BIGINT) << 32) | (lo & ~(1L << j))))"
+#: All values within one bit of ``fingerprint``.
+AROUND = "concat(array(fingerprint), transform(sequence(0, 63), j -> fingerprint ^ (1L << j)))"
 
 
-def _left_out(a: str) -> str:
-    """Whether the bit that the key leaves out is set in the fingerprint; NULL for keys of whole halves."""
-    at = "CAST(key >> 32 AS INT)"
-    return f"CASE WHEN {at} < 32 THEN ({a} >> {at}) & 1 WHEN {at} >= 34 THEN ({a} >> ({at} - 2)) & 1 END"
-
-
-def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) that link all distinct fingerprints within ``distance`` bits, directly or (in hot buckets) by a star.
-
-    Most keys are held by one fingerprint and go after a count. Holders of a key are joined with each other, those that
-    have the left-out bit with those that lack it, and verified by counting bits. Of a key with more than ``hot`` holders
-    no pairs are made: every holder is written under each choice of ``distance`` left-out bits instead, and linked
-    with the smallest fingerprint of the same rest. All with the same rest are within the distance, and any two within it
-    share a rest, so nothing is lost.
-    """
+def links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) within DISTANCE bits that connect all distinct fingerprints that are so near."""
     halves = prints.select("fingerprint").distinct().selectExpr("fingerprint", "fingerprint & 4294967295L AS lo", "shiftrightunsigned(fingerprint, 32) AS hi")
     halves = materialize(halves, "simhash-halves")
-    keyed = halves.select("fingerprint", F.explode(segment_keys(distance)).alias("key"))
+    keyed = halves.select("fingerprint", F.explode(F.expr(VARIANTS)).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
-    held = materialize(keyed.join(shared, "key"), "simhash-held")
-    held = held.withColumn("bit", F.expr(_left_out("fingerprint")))
-    few = held.where(F.col("n") <= hot)
-    left = few.where("bit IS NULL OR bit = 0").select("key", F.col("fingerprint").alias("a"), "bit")
-    right = few.where("bit IS NULL OR bit = 1").select("key", F.col("fingerprint").alias("b"))
-    pairs = left.join(right, "key").where(f"(bit IS NOT NULL OR a < b) AND bit_count(a ^ b) <= {distance}").select("a", "b")
-
-    many = held.where(F.col("n") > hot).select("fingerprint").distinct()
-    masks = "array(0L)"
-    for k in range(distance):
-        masks = f"flatten(transform({masks}, m{k} -> transform(filter(sequence(0, 63), j{k} -> m{k} = 0 OR (1L << j{k}) > m{k} OR ((1L << j{k}) < 0 AND m{k} > 0)), j{k} -> m{k} | (1L << j{k}))))"
-    rest = many.select("fingerprint", F.explode(F.expr(masks)).alias("mask")).select("fingerprint", "mask", F.expr("fingerprint & ~mask").alias("rest"))
-    centre = rest.groupBy("mask", "rest").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z")).where("a <> z").drop("z")
-    stars = rest.join(centre, ["mask", "rest"]).where("a <> fingerprint").select("a", F.col("fingerprint").alias("b"))
-    return pairs.unionByName(stars).distinct()
-
-
-def _family_links(rows: DataFrame, families: int, distance: int, hot: int) -> DataFrame:
-    """Links (a, b) between texts' lists of fingerprints, by way of the single fingerprints that they share or that are linked.
-
-    A list is a node, and so is each single fingerprint of a family that several lists hold or that has a link; the
-    others join nothing.
-    """
-    node, out = F.concat_ws(",", F.col("prints").cast("array<string>")), []
-    lists = materialize(rows.select("prints").distinct(), "simhash-lists")
-    for f in range(families):
-        own = lists.select("prints", F.get("prints", F.lit(f)).alias("fingerprint"))
-        hub = lambda c, f=f: F.concat(F.lit(f"{f}:"), F.col(c).cast("string"))
-        found = materialize(links(own, distance, hot), "simhash-links")
-        shared = own.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-        used = shared.unionByName(found.select(F.col("a").alias("fingerprint"))).unionByName(found.select(F.col("b").alias("fingerprint"))).distinct()
-        out += [found.select(hub("a").alias("a"), hub("b").alias("b")), own.join(used, "fingerprint").select(node.alias("a"), hub("fingerprint").alias("b"))]
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.unionByName(more)
-    return edges
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, hot: int = HOT, keep: tuple[str, ...] = (), families: int = 1) -> DataFrame:
-    """doc_id, fingerprint (long), component_id, component of every row, and the columns named in ``keep``. A component is
-    a node of the group, which tells groups apart where their smallest doc_ids are equal or null.
+    candidates = materialize(keyed.join(shared, "key", "left_semi").select("fingerprint").distinct(), "simhash-candidates")
+    around = candidates.select("fingerprint", F.explode(F.expr(AROUND)).alias("midpoint"))
+    centre = around.groupBy("midpoint").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("last")).where("a <> last").drop("last")
+    met = around.join(materialize(centre, "simhash-centres"), "midpoint")
+    return met.where(f"a <> fingerprint AND bit_count(a ^ fingerprint) <= {DISTANCE}").select("a", F.col("fingerprint").alias("b")).distinct()
+
 
-    With several families a text has as many fingerprints, and one that is near enough links two texts.
-    """
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (long), component_id, component of every row, and the columns named in ``keep``. A component is
+    a fingerprint of the group, which tells groups apart where their smallest doc_ids are equal or null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(["doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long, prints array<bigint>"])
-    rows = rows.mapInArrow(_scan(shingle, families), schema)
-    if families == 1:
-        rows = materialize(rows.drop("prints").withColumn("node", F.col("fingerprint")), "simhash-prints")
-        groups = connected_components(links(rows, distance, hot))
-    else:
-        rows = materialize(rows.withColumn("node", F.concat_ws(",", F.col("prints").cast("array<string>"))), "simhash-prints")
-        groups = connected_components(_family_links(rows, families, distance, hot))
-    smallest = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left")
-    smallest = materialize(smallest.select("node", "first", F.coalesce("component", "node").alias("component")), "simhash-first")
+    schema = ", ".join(["doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long"])
+    rows = materialize(rows.mapInArrow(_scan(shingle), schema), "simhash-prints")
+    groups = connected_components(links(rows)).withColumnRenamed("node", "fingerprint")
+    smallest = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).join(groups, "fingerprint", "left")
+    smallest = materialize(smallest.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")), "simhash-first")
     ids = materialize(smallest.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-ids")
-    named = materialize(smallest.join(ids, "component").select("node", "component_id", "component"), "simhash-named")
-    return rows.join(named, "node").select("doc_id", *keep, "fingerprint", "component_id", "component")
+    named = materialize(smallest.join(ids, "component").select("fingerprint", "component_id", "component"), "simhash-named")
+    return rows.join(named, "fingerprint").select("doc_id", *keep, "fingerprint", "component_id", "component")
 
 
 def hexadecimal(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, families: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each group of near copies: of the smallest doc_id (no doc_id: last), and of rows that share
     it, the one whose columns hash lowest (equal rows: one of them)."""
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    found = near_duplicates(docs.withColumn("__row", row), shingle, distance, keep=("__row",), families=families)
+    found = near_duplicates(docs.withColumn("__row", row), shingle, keep=("__row",))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")
     lead = found.groupBy("component").agg(F.min(order).alias("lead")).select(F.coalesce("lead.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("lead.__row").alias("__row"))
     lead = materialize(lead.distinct(), "simhash-lead")

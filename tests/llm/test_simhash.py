@@ -1,4 +1,3 @@
-import itertools
 import random
 
 import numpy as np
@@ -47,34 +46,47 @@ def test_whole_table(spark, testdata):
     assert {r.doc_id: (r.h, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
-@pytest.mark.parametrize(("distance", "hot"), [(2, 256), (2, 1), (3, 256), (3, 6)])
-def test_links_find_every_pair(spark, distance, hot):
-    rng = random.Random(distance)
-    base = [rng.getrandbits(64) for _ in range(12)]
-    prints = {0, (1 << 64) - 1, 1 << 63}
-    for b in base:
-        for _ in range(6):
-            prints.add(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))))
+def check_links(spark, prints):
+    """Links are near enough and connect what a comparison of all connects."""
     prints = sorted(prints)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
-    found = links(df, distance, hot).collect()
-    assert all((r.a ^ r.b).bit_count() <= 64 and bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= distance for r in found)
-    near = {(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= distance}
-    if hot == 256:
-        assert {tuple(sorted((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1))) for r in found} == near
+    found = links(spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")).collect()
+    plain = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in found]
+    assert all((a ^ b).bit_count() <= 2 for a, b in plain)
+    assert len(plain) <= 65 * len(prints)
     at = {p: i for i, p in enumerate(prints)}
     parent = list(range(len(prints)))
 
     def root(i):
         while parent[i] != i:
+            parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    for r in found:
-        x, y = root(at[r.a & (1 << 64) - 1]), root(at[r.b & (1 << 64) - 1])
+    for a, b in plain:
+        x, y = root(at[a]), root(at[b])
         parent[max(x, y)] = min(x, y)
-    assert [root(i) for i in range(len(prints))] == groups(prints, distance)
+    assert [root(i) for i in range(len(prints))] == groups(prints)
+
+
+def test_links_connect_all_near_ones(spark):
+    rng = random.Random(2)
+    prints = {0, (1 << 64) - 1, 1 << 63}
+    for b in [rng.getrandbits(64) for _ in range(40)]:
+        for _ in range(6):
+            prints.add(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))))
+    check_links(spark, prints)
+
+
+@pytest.mark.parametrize("shift", [0, 32])
+def test_links_of_a_shared_half(spark, shift):
+    """5,000 fingerprints share one half: no pairs are made of them."""
+    rng = random.Random(shift)
+    half, others = rng.getrandbits(32) << (32 - shift), set()
+    while len(others) < 5_000:
+        x = rng.getrandbits(32)
+        others |= {x, x ^ 1 << rng.randrange(32), x ^ 3 << rng.randrange(31)}
+    check_links(spark, {half | x << shift for x in others})
 
 
 def test_edge_rows(spark):
