@@ -9,7 +9,9 @@ Scoring, on all texts: the product of weight and ratio of each n-gram is one num
 ``2**BITS`` numbers whatever the data, sent to the tasks by closure. A text is scored by the sum over the n-grams that
 it holds, each once. The sum follows its words, not its length: n-grams with no bearing have weights near zero.
 
-Only the bounded sample of labelled rows (``sampling.SAMPLE_ROWS``) is gathered for fitting, as hashed n-grams.
+Spark counts the n-grams of the labelled sample (``sampling.SAMPLE_ROWS``): at most ``2**BITS`` counts come to the driver.
+Of each row of the sample the driver then gathers which of the ``FEATURES`` chosen n-grams it holds, a bit for each, so
+what it gathers has a bound whatever the lengths of the texts.
 
 Defined cases: null text is empty; an empty text gets the score of the intercept; very long texts are hashed in steps and
 scored whole; without labels, or with one label only, every score is the share of that label (0 if none); equal rows
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_slices
+from .common import materialize, mix64, text_slices
 from .sampling import SAMPLE_ROWS, held_out, training_rows
 
 ORDERS = (4, 5, 6)
@@ -80,30 +82,54 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "label", "found"])
 
 
-def fit_arrays(found: list[np.ndarray], label: np.ndarray) -> Model:
-    """The model of rows given as arrays of n-grams and 0/1 labels."""
-    size = 1 << BITS
-    if not len(label) or label.min() == label.max():
-        share = float(label.mean()) if len(label) else 0.0
-        return Model(np.zeros(size, np.float32), 40.0 * (2 * share - 1))
-    total = np.bincount(label, minlength=2)
-    held = [np.zeros(size), np.zeros(size)]
-    for f, k in zip(found, label, strict=True):
-        held[k][f] += 1  # a text holds each of its n-grams once
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a task: how many of each label hold each n-gram."""
+    held = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        for f, k in zip(batch["found"].to_pylist(), batch["label"].to_pylist(), strict=True):
+            held[k][np.frombuffer(f, np.int32)] += 1  # a text holds each of its n-grams once
+    at = np.flatnonzero(held.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[0][at]), pa.array(held[1][at])], names=["ngram", "clean", "toxic"])
+
+
+def choose(held: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the n-grams that take part, the log-count ratios of all), from the rows of each label that hold each n-gram and the
+    rows of each label."""
+    size = held.shape[1]
     share = [(held[k] + SMOOTHING) / (held[k].sum() + SMOOTHING * size) for k in (0, 1)]
     ratio = np.log(share[1]) - np.log(share[0])
     gap = held[1] / total[1] - held[0] / total[0]
     both = (held[0] + held[1] + 1) / (total.sum() + 2)
     telling = gap * gap / (both * (1 - both))
-    kept = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
-    place = np.full(size, -1, np.int32)
+    return np.sort(np.argsort(-telling, kind="stable")[:FEATURES]), ratio
+
+
+def _chosen(kept: np.ndarray):
+    """Which of the chosen n-grams each row holds, a bit for each."""
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    found = [(p := place[f])[p >= 0] for f in found]
-    columns, rows = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for f in batch["found"].to_pylist():
+                holds = np.zeros(len(kept), bool)
+                at = place[np.frombuffer(f, np.int32)]
+                holds[at[at >= 0]] = True
+                bits.append(np.packbits(holds).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(bits, pa.binary())], names=["doc_id", "label", "bits"])
+
+    return run
+
+
+def fit_bits(bits: np.ndarray, label: np.ndarray, kept: np.ndarray, ratio: np.ndarray) -> Model:
+    """The model of rows given as truth tables over the chosen n-grams and 0/1 labels."""
+    total = np.bincount(label, minlength=2)
+    rows, columns = np.nonzero(bits)
     values = ratio[kept][columns]
     weight = np.where(label == 1, (total[0] / total[1]) ** BALANCE, 1.0)
     weight /= weight.sum()
-    norm = np.sqrt((np.bincount(rows, values * values, len(found)) * weight).sum())
+    norm = np.sqrt((np.bincount(rows, values * values, len(bits)) * weight).sum())
     values, size = values / norm, len(kept)
     # Accelerated gradient descent. Weights sum to 1 and so do the weighted squares of the features: the loss bends by
     # (1 + 1) / 4 at most.
@@ -111,14 +137,14 @@ def fit_arrays(found: list[np.ndarray], label: np.ndarray) -> Model:
     bias = by = 0.0
     t, rate = 1.0, 2.0
     for _ in range(ROUNDS):
-        margin = np.bincount(rows, y[columns] * values, len(found)) + by
+        margin = np.bincount(rows, y[columns] * values, len(bits)) + by
         error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - label) * weight
         w_next = y - rate * (np.bincount(columns, error[rows] * values, size) + PENALTY * y)
         bias_next = by - rate * error.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, by = w_next + (t - 1) / t_next * (w_next - w), bias_next + (t - 1) / t_next * (bias_next - bias)
         w, bias, t = w_next, bias_next, t_next
-    margin = np.bincount(rows, w[columns] * values, len(found)) + bias
+    margin = np.bincount(rows, w[columns] * values, len(bits)) + bias
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w * ratio[kept] / norm
     return Model(weights, float(bias + _shift(margin, label)))
@@ -136,8 +162,20 @@ def _shift(margin: np.ndarray, label: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = training_rows(docs, labels, label, sample_rows).mapInArrow(_features, "doc_id long, label int, found binary")
-    rows = sorted(((r.doc_id, r.label, bytes(r.found)) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[2]))
-    return fit_arrays([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
+    rows = materialize(rows, "toxicity-sample")
+    total = np.zeros(2, np.int64)
+    for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():
+        total[r.label] = r.n
+    if not total.all():
+        share = float(total[1] / total.sum()) if total.any() else 0.0
+        return Model(np.zeros(1 << BITS, np.float32), 40.0 * (2 * share - 1))
+    counts = rows.mapInArrow(_counts, "ngram int, clean long, toxic long").groupBy("ngram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    held = np.zeros((2, 1 << BITS))
+    held[:, np.asarray(counts["ngram"])] = np.asarray(counts["clean"]), np.asarray(counts["toxic"])
+    kept, ratio = choose(held, total)
+    rows = sorted(tuple(r) for r in rows.mapInArrow(_chosen(kept), "doc_id long, label int, bits binary").toLocalIterator())
+    bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(kept))
+    return fit_bits(bits, np.array([r[1] for r in rows], np.int64), kept, ratio)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

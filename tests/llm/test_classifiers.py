@@ -1,5 +1,10 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +59,93 @@ def test_keep_good(spark, tables):
     assert kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.97 * good
 
 
+M = (1 << 64) - 1
+
+
+def plain_ngrams(text):
+    """Hashed n-grams one at a time."""
+    codes = [32 if 9 <= ord(c) <= 13 else ord(c) for c in f" {(text or '').lower()} "]
+    out = set()
+    for n in (4, 5, 6):
+        for k in range(len(codes) - n + 1):
+            x = 0
+            for c in codes[k : k + n]:
+                x = (x * 0x9E3779B97F4A7C15 + c) & M
+            x = (x + n) & M
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+            out.add((x ^ x >> 31) >> 46)
+    return out
+
+
+def test_toxicity_by_plain_code(spark, monkeypatch):
+    """N-grams, log-count ratios, the fitted model and every score, recomputed one by one."""
+    monkeypatch.setattr(toxicity, "STEP", 16)
+    rng = random.Random(3)
+    words = ["calm", "Étude", "fine\tday", "awful", "vile!", "river"]
+    rows = [(k, " ".join(rng.choices(words, [4, 3, 3, 1, 1, 3] if k % 3 else [1, 1, 1, 5, 5, 1], k=rng.randint(0, 30)))) for k in range(90)]
+    label = {k: int(k % 3 == 0) for k, _ in rows}
+    seen = np.zeros(1 << toxicity.BITS, bool)
+    for _, t in [*rows, (0, None), (0, "𝒳" * 50)]:
+        assert set(toxicity.ngrams(t, seen).tolist()) == plain_ngrams(t) and not seen.any()
+
+    learnt = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    held = np.zeros((2, 1 << toxicity.BITS))
+    for k, t in learnt:
+        for g in plain_ngrams(t):
+            held[label[k], g] += 1
+    ones = sum(label[k] for k, _ in learnt)
+    kept, ratio = toxicity.choose(held, np.array([len(learnt) - ones, ones]))
+    size = 1 << toxicity.BITS
+    for g in (int(kept[0]), int(kept[-1])):
+        want = math.log((held[1, g] + 1) / (held[1].sum() + size)) - math.log((held[0, g] + 1) / (held[0].sum() + size))
+        assert abs(ratio[g] - want) < 1e-9
+    holds = [plain_ngrams(t) for _, t in learnt]
+    bits = np.array([[g in h for g in kept.tolist()] for h in holds])
+    model = toxicity.fit_bits(bits, np.array([label[k] for k, _ in learnt]), kept, ratio)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    got = toxicity.classify(docs, labels).collect()
+    for r in got:
+        margin = model.intercept + sum(float(model.weights[g]) for g in plain_ngrams(rows[r.doc_id][1]))
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-6
+    assert sum(r.predicted == label[r.doc_id] for r in got) > 75
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not words:
+        return [0.0] * 15
+    n = len(raw)
+    share = lambda pattern: len(re.findall(pattern, raw)) / n
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    return [
+        math.log(1 + n), math.log(1 + len(words)), sum(len(w) for w in words) / len(words),
+        share(rb"[A-Z]"), share(rb"[0-9]"), share(rb"""[!-/:-@\[-`{-~]"""), share(rb"\|"), share(rb"!"), share(rb"""[$%&#*@^~<>{}\[\]\\]"""), share(rb"[\x80-\xff]"),
+        math.log(1 + n / len(lines)), 1 - len(set(lines)) / len(lines), len(set(words)) / len(words), max(Counter(words).values()) / len(words),
+        sum(x.strip(b" \t\r\x0b\x0c")[-1:] in (b".", b"!", b"?", b'"', b"'") for x in lines) / len(lines),
+    ]
+
+
+def test_quality_by_plain_code(spark, tables):
+    """Statistics, and the rules' columns with their weights, recomputed row by row."""
+    docs, labels = tables
+    some = docs.where("doc_id % 37 = 0")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    got = {r.doc_id: r for r in quality.statistics(some.select("doc_id", "text")).collect()}
+    for i, t in texts.items():
+        assert np.allclose([got[i][s] for s in quality.STATISTICS], plain_statistics(t), rtol=1e-12, atol=0), i
+    model = quality.fit(docs, labels)
+    assert model.rules and all(abs(w) > 0 for _, w in model.rules)
+    scores = {r.doc_id: r.score for r in quality.classify(docs, labels).where("doc_id % 37 = 0").collect()}
+    for i, t in texts.items():
+        at = dict(zip(quality.STATISTICS, plain_statistics(t), strict=True))
+        total = model.intercept + sum(w for rule, w in model.rules if all(at[n] > b if up else at[n] <= b for n, b, up in rule.bounds))
+        assert abs(scores[i] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 def test_paths():
     text = """RandomForestClassificationModel: uid=x, numTrees=1
   Tree 0 (weight 1.0):
