@@ -73,7 +73,11 @@ class PrefixHash:
         return (self.prefix[k][ends] - self.prefix[k][starts]) % t.prime * t.down[starts] % t.prime
 
     def span(self, start: int, end: int) -> int:
-        return sum(int(self.spans(np.array([start]), np.array([end]), k)[0]) << (31 * k) for k in (0, 1))
+        """Hash of one span modulo both primes."""
+        out = 0
+        for k, (t, prefix) in enumerate(zip(_TABLES, self.prefix, strict=True)):
+            out |= (int(prefix[end]) - int(prefix[start])) % t.prime * int(t.down[start]) % t.prime << (31 * k)
+        return out
 
     def extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """Length of the longest common extension of self at start and other at other_start, by binary search."""
