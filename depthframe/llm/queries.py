@@ -119,12 +119,12 @@ p AS (
 ), k AS (
   SELECT doc_id, source, rank, kind, s, s + length(hit) AS e, v FROM p
   WHERE length(v) >= least AND (rank < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
-    AND len(list_distinct(string_split(v, ''))) >= 10 AND length(regexp_replace(v, '[^0-9]', '', 'g')) * 12 >= length(v)))
+    AND len(list_distinct(string_split(v, ''))) >= CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN {secret_scan.VARIED_HEX} ELSE {secret_scan.VARIED} END AND length(regexp_replace(v, '[^0-9]', '', 'g')) * 12 >= length(v)))
 ), o AS (
   SELECT v, count(DISTINCT coalesce('=' || source, 'null')) AS owners,
     count(DISTINCT coalesce('=' || source, 'null') || ' ' || doc_id) AS repositories FROM k GROUP BY v
 ), j AS (
-  SELECT k.*, o.owners = 1 AND o.repositories <= {secret_scan.MAX_REPOSITORIES} AS live FROM k JOIN o ON k.v = o.v
+  SELECT k.*, o.owners < {secret_scan.EXAMPLE_OWNERS} AS live FROM k JOIN o ON k.v = o.v
 ), g AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex,

@@ -2,9 +2,9 @@
 
 Base hits come from fixed patterns. Wider *candidates* (long mixed tokens of any alphabet that the patterns don't
 name) are hashed, and the hashes are counted over the corpus by distinct repositories and distinct owners. A value that
-one owner holds, in few repositories, and that looks random is live-looking: its candidates become spans of kind
-``live``. A value that several owners hold is a copied example: it is reported, and adds nothing. Base hits stay
-whatever the counts say; the class of every hit is reported beside it.
+fewer than ``EXAMPLE_OWNERS`` owners hold, in however many repositories, and that looks random is live-looking: its
+candidates become spans of kind ``live``. A value that more owners hold is a widely copied example: it is reported, and
+adds nothing. Base hits stay whatever the counts say; the class of every hit is reported beside it.
 
 How it scales. A scan reads each text once per pattern and writes only its hits. Counts go by (value, owner) first,
 with partial sums, and by value then, so a value that a third of all rows hold is a few rows per task before any
@@ -29,8 +29,10 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 #: Candidates for ``live``: whole tokens of the usual credential alphabets.
 CANDIDATE = ("live", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
-#: At most so many repositories may hold a live-looking value.
-MAX_REPOSITORIES = 3
+#: A value that so many owners hold is an example.
+EXAMPLE_OWNERS = 3
+#: Least number of different characters in a value that looks random; fewer where only 16 are in use.
+VARIED, VARIED_HEX = 10, 6
 
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
 
@@ -55,7 +57,8 @@ def find_all(text: Column, rank: int, kind: str, pattern: str, group: int, least
 def looks_random(value: Column) -> Column:
     """Letters and digits, many different characters, a fair share of digits: not a word, number, rule or path."""
     distinct = F.size(F.array_distinct(F.split(value, "")))
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= 10) & (F.length(F.regexp_replace(value, "[^0-9]", "")) * 12 >= F.length(value))
+    varied = F.when(value.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), VARIED_HEX).otherwise(VARIED)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (distinct >= varied) & (F.length(F.regexp_replace(value, "[^0-9]", "")) * 12 >= F.length(value))
 
 
 def joined(spans: Column) -> Column:
@@ -78,15 +81,15 @@ def hits(docs: DataFrame, owner: str, repository: str, *keys: Column) -> DataFra
     return named.withColumn("base", base).withColumn("wide", wide).drop("__text")
 
 
-def ownership(spans: DataFrame, max_repositories: int) -> DataFrame:
+def ownership(spans: DataFrame, example_owners: int) -> DataFrame:
     """hash, owners, repositories (distinct ones that hold the value) and its class, from rows of (hash, owner, repository)."""
     places = spans.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     owners = places.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     counts = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    return counts.withColumn("class", F.when((F.col("owners") == 1) & (F.col("repositories") <= max_repositories), "live").otherwise("example"))
+    return counts.withColumn("class", F.when(F.col("owners") < example_owners, "live").otherwise("example"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per row of docs: doc_id, base (spans), added (spans), values (class and counts of each value).
 
     ``owner`` and ``repository`` name the columns that say who holds a text and where.
@@ -96,7 +99,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     spans = found.where(F.size("base") + F.size("wide") > 0).select("row", "owner", "repository", F.explode(F.concat("base", "wide")).alias("s"))
     span = F.when(F.col("s.kind") == CANDIDATE[0], F.struct("s.kind", "s.rank", "s.start", "s.end"))
     keyed = spans.select("row", "owner", "repository", "s.hash", span.alias("span"))
-    judged = keyed.select("row", "hash", "span").join(ownership(keyed, max_repositories), "hash")
+    judged = keyed.select("row", "hash", "span").join(ownership(keyed, example_owners), "hash")
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("class") == "live", F.col("span"))).alias("added"),
         F.collect_set(F.struct("hash", "class", "owners", "repositories")).alias("values"),
@@ -118,21 +121,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k[0]) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(everything).alias("spans"), F.size("added").cast("long").alias("n_live"), F.size(F.filter("values", lambda v: v["class"] == "example")).cast("long").alias("n_examples"))
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[secret]", max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """docs with every live-looking value replaced in its text; values that several owners hold stay, and so does every row.
+def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """docs with every live-looking value replaced in its text; values that many owners hold stay, and so does every row.
 
-    The columns and their order stay; n_chars, where there is one, follows the text. Only rows with a hit are shuffled.
+    The columns and their order stay; n_chars, where there is one, follows the text. The patterns read each text once: rows
+    are written with their hits, and only rows with a hit are shuffled.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.xxhash64(text).alias("__hash")]
-    found = hits(docs, owner, repository, *keys).where(F.size("base") + F.size("wide") > 0)
-    spans = found.select("__id", "__hash", "owner", "repository", F.explode(F.concat("base", "wide")).alias("s")).where("s.random OR s.kind IN ('assign', 'access')")
-    spans = materialize(spans.select("__id", "__hash", "owner", "repository", "s.hash", "s.value_start", "s.end"), "secret-spans")
-    live = ownership(spans, max_repositories).where(F.col("class") == "live").select("hash")
-    cuts = spans.join(live, "hash").groupBy("__id", "__hash").agg(F.sort_array(F.collect_set(F.struct("value_start", "end"))).alias("__cuts"))
-
-    any_hit = text.rlike("|".join(f"(?:{kind[1]})" for kind in (*KINDS, CANDIDATE)))
-    touched = docs.where(any_hit).withColumns({"__id": keys[0], "__hash": keys[1]}).join(cuts, ["__id", "__hash"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = hits(docs, owner, repository, row).withColumn("__id", F.monotonically_increasing_id())
+    suspect = lambda s: s["random"] | s["kind"].isin("assign", "access")
+    place = lambda s: F.struct(s["hash"].alias("hash"), s["value_start"].alias("value_start"), s["end"].alias("end"))
+    found = found.select("__id", "row", "owner", "repository", F.transform(F.filter(F.concat("base", "wide"), suspect), place).alias("__hits"))
+    found = materialize(found, "secret-rows")
+    spans = found.where(F.size("__hits") > 0).select("__id", "owner", "repository", F.explode("__hits").alias("s")).select("__id", "owner", "repository", "s.*")
+    live = ownership(spans, example_owners).where(F.col("class") == "live").select("hash")
+    cuts = spans.join(live, "hash").groupBy("__id").agg(F.sort_array(F.collect_set(F.struct("value_start", "end"))).alias("__cuts"))
+
+    touched = found.where(F.size("__hits") > 0).select("__id", "row").join(cuts, "__id", "left").select("row.*", "__cuts")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -144,4 +149,4 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     touched = touched.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.aggregate("__cuts", begin, cut, rest)))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.where(~any_hit).unionByName(touched.select(*docs.columns))
+    return found.where(F.size("__hits") == 0).select("row.*").unionByName(touched.select(*docs.columns))

@@ -1,8 +1,12 @@
 import hashlib
 import re
+from collections import defaultdict
 
-from depthframe.llm.secret_scan import ASSIGN, digest, redact, scan
+from depthframe.llm.secret_scan import digest, redact, scan
 
+# The contract's patterns, spelt out apart from the operator's.
+NAME = "|".join("".join(f"[{c.upper()}{c}]" for c in n) for n in ("password", "passwd", "secret", "token", "apikey")) + "|" + "".join(f"[{c.upper()}{c}]" for c in "api") + "_" + "".join(f"[{c.upper()}{c}]" for c in "key")
+ASSIGN = rf"""({NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (("assign", re.compile(ASSIGN), 2, 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16))
 
 
@@ -31,9 +35,46 @@ ROWS = [
     (8, "x ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4 y", "c"),
     (9, "see 9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "c"),
     (10, "see 9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "d"),
+    (11, "and 9233A8ECF7C5B09FE5949719B6B82BC439E9329B", None),
+    *[(12 + k, "mine: xoxp_77aa66BB55cc44DD33ee and " + "pad " * k, "own") for k in range(5)],
+    (17, "secret=aaaaaaaaaaaaa 00aa11bb22cc33dd 1111111111111111", "own"),
 ]
 
 
+def secrets(text):
+    """(start of the value, end, value) of every hit that may have to go."""
+    for kind, pattern, group, least in KINDS:
+        for m in pattern.finditer(text or ""):
+            v = m.group(group)
+            if len(v) >= least and (kind != "hex" or random_looking(v)):
+                yield m.end() - len(v), m.end(), v
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        if random_looking(m.group()):
+            yield m.start(), m.end(), m.group()
+
+
+def random_looking(v):
+    varied = 6 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 10
+    return bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= varied and 12 * len(re.sub("[^0-9]", "", v)) >= len(v))
+
+
+def redacted(rows):
+    """Texts of (doc_id, text, source) rows with every value blanked that fewer than three owners hold."""
+    owners = defaultdict(set)
+    for _, text, source in rows:
+        for _, _, v in secrets(text):
+            owners[v].add(source)
+    out = []
+    for i, text, _ in rows:
+        gone = sorted({(a, b) for a, b, v in secrets(text) if len(owners[v]) < 3})
+        new, at = "", 0
+        for a, b in gone:
+            if b > at:
+                new, at = new + text[at : max(a, at)] + "[secret]", b
+        out.append((i, new + text[at:] if gone else text))
+    return out
+
+
 def frame(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS row", "2 AS base", "3 AS hash")
 
@@ -57,8 +98,25 @@ def test_redact(spark):
     got = redact(df)
     assert got.columns == df.columns
     by = {r.doc_id: r for r in got.collect()}
-    assert got.count() == len(ROWS)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(redacted(ROWS), key=str)
+    assert by[12].text == "mine: [secret] and " and by[16].text.startswith("mine: [secret]")
+    assert by[17].text == "secret=[secret] [secret] 1111111111111111"
     assert by[8].text == "x [secret] y" and by[8].n_chars == 12
     assert by[9].text.endswith("9329B") and by[4].text is None
     assert 'token = "[secret]"' in by[1].text and by[1].text.startswith("é𝒳 ")
     assert redact(df.where("false")).count() == 0
+
+
+def test_redact_whole_table(spark, testdata):
+    df = spark.read.parquet(f"{testdata}/sf0.01/documents.parquet")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    want = dict(redacted([(r.doc_id, r.text, r.source) for r in df.collect()]))
+    assert got == want and any("[secret]" in t for t in got.values() if t)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 100_000 + "token=Zx9Yw8Vu7Ts6Rq5 " + "tail " * 1000
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    got = redact(df).collect()[0].text
+    assert [(1, got)] == redacted([(1, text, "a")]) and "Zx9Y" not in got and len(got) > 500_000
+    check(df, [(1, text, "a")])
