@@ -6,14 +6,15 @@ unchanged. All pieces of all items are searched for in one pass over each text (
 place that a hit points to is verified with Myers' bit-parallel edit distance. Only ASCII letters are folded.
 
 How it scales. Documents are scanned where they lie, without a shuffle, and matches leave the scan. Items go to the tasks
-in blocks of about ``BLOCK_CHARS`` code points; a larger benchmark is searched in several blocks, each over all
-documents. Items with equal text are searched once.
-
-Defined cases: null and empty texts hold nothing; items under ``MIN_ITEM`` code points name no passage and are skipped,
-as are null ones; an item too short for ``k + 1`` pieces of ``MIN_PIECE`` gets fewer errors; items that share their text
-count as that of the smallest item_id (null last); a document with an item in several places gives one row, its best
-place (fewest errors, then leftmost), with the number of places; repeated rows give repeated matches; empty tables give
-no rows; other columns are not read.
+in blocks of about ``BLOCK_CHARS`` code points. A larger benchmark is searched block by block: each block's result is
+written before the next block is read, so the driver and the tasks hold one block at a time, whatever the benchmark's
+size; documents are scanned once for each block. Items with equal text are searched once.
+
+Defined cases: null and empty texts hold nothing; null items and items of white space alone are skipped; items under
+``MIN_ITEM`` code points are searched without errors and as whole words (no letter or digit of any script beside them),
+because they turn up within words by chance; items that share their text count as that of the smallest item_id (null last);
+a document with an item in several places gives one row, its best place (fewest errors, then leftmost), with the number of
+places; repeated rows give repeated matches; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import materialize, text_slices
 
 ERROR_RATE = 0.06
-MIN_ITEM, MIN_PIECE = 16, 16
+MIN_ITEM = 16
 BLOCK_CHARS = 4_000_000
 
 
@@ -40,6 +41,11 @@ def fold(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether the part of text isn't cut out of a word."""
+    return not (text[start].isalnum() and text[start - 1 : start].isalnum()) and not (text[end - 1].isalnum() and text[end : end + 1].isalnum())
+
+
 @dataclass(frozen=True)
 class Match:
     item: int
@@ -80,13 +86,13 @@ def pattern_bits(text: str) -> dict[str, int]:
 class Matcher:
     """Finds items, given as texts, in texts."""
 
-    def __init__(self, items: list[str], error_rate: float = ERROR_RATE, min_piece: int = MIN_PIECE):
+    def __init__(self, items: list[str], error_rate: float = ERROR_RATE):
         import ahocorasick
 
         self.items = [fold(t) for t in items]
         self.budget, places = [], defaultdict(list)
         for k, item in enumerate(self.items):
-            budget = max(0, min(int(error_rate * len(item)), len(item) // min_piece - 1))
+            budget = int(error_rate * len(item)) if len(item) >= MIN_ITEM else 0
             self.budget.append(budget)
             cuts = [len(item) * p // (budget + 1) for p in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -110,6 +116,9 @@ class Matcher:
             item, budget = self.items[k], self.budget[k]
             places = []
             for a, b in self._runs(sorted(found), budget):
+                if len(item) < MIN_ITEM:
+                    places += [(0, x, x + len(item)) for x in sorted(found) if a <= x <= b and _whole(text, x, x + len(item))]
+                    continue
                 if a == b and text.startswith(item, max(a, 0)) and a >= 0:
                     places.append((0, a, a + len(item)))
                     continue
@@ -141,48 +150,63 @@ class Matcher:
         yield first, last
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The distinct items in blocks of about block_chars code points: (smallest item_id, text)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= MIN_ITEM)
-    items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = -(-total // block_chars)
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(text, item_id): each item's text once, with the smallest of its ids."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.where(F.col("text").rlike(r"\S")).groupBy("text").agg(F.min("item_id").alias("item_id"))
+
+
+def n_blocks(items: DataFrame, block_chars: int) -> int:
+    return -(-items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // block_chars)
+
+
+def read_block(items: DataFrame, blocks: int, block: int) -> list[tuple[int | None, str]]:
+    """The items of one block of about the same size as the others: (item_id, text)."""
+    if blocks > 1:
+        items = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+    return sorted(((r.item_id, r.text) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end (code points of the best place), places: one row per document and item."""
     schema = "doc_id long, item_id long, distance int, start long, end long, places int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = distinct_items(benchmark)
+    blocks = n_blocks(items, block_chars)
     out = rows.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(benchmark, block_chars):
+    for block in range(blocks):
+        wanted = read_block(items, blocks, block)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([t for _, t in items], error_rate)
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher([t for _, t in wanted], error_rate)
             for batch in text_slices(batches, "text"):
-                found = [(i, items[m.item][0], m.distance, m.start, m.end, m.places) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for m in matcher.find(t)]
+                found = [(i, wanted[m.item][0], m.distance, m.start, m.end, m.places) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for m in matcher.find(t)]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                 names = ["doc_id", "item_id", "distance", "start", "end", "places"]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        found = rows.mapInArrow(run, schema)
+        out = out.unionByName(materialize(found, "matches") if blocks > 1 else found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no test item, columns unchanged. Rows pass through the scan, nothing is shuffled."""
     columns = docs.columns
+    items = distinct_items(benchmark)
+    blocks = n_blocks(items, block_chars)
     out = docs
-    for items in item_blocks(benchmark, block_chars):
+    for block in range(blocks):
+        wanted = [t for _, t in read_block(items, blocks, block)]
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([t for _, t in items], error_rate)
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(wanted, error_rate)
             for batch in text_slices(batches, "text"):
                 clean = [not matcher.find(t) for t in batch["text"].to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_())).select(["row"])
 
         named = out.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
         out = named.mapInArrow(run, named.select("row").schema).select("row.*")
+        if blocks > 1:
+            out = materialize(out, "clean")
     return out

@@ -36,6 +36,7 @@ def test_matcher_is_exact():
     alphabet = "abcdefgh ijkl é"
     word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
     items = [word(rng.randint(16, 260)) for _ in range(12)]
+    assert Matcher(["x" * n for n in (16, 17, 50, 95, 200)]).budget == [0, 1, 3, 5, 12]
     matcher = Matcher(items)
     for _ in range(80):
         k = rng.randrange(len(items))
@@ -65,6 +66,40 @@ def test_small(spark):
     assert matches(docs.where("false"), bench).count() == 0
 
 
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "They said Yes. No more"), (2, "yesterday eyes"), (3, "a c++ book"), (4, "abc++"), (5, "yes yes eyes yes"), (6, "été"), (7, "tété été")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "C++"), (3, "  "), (4, "été")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end, r.places) for r in matches(docs, bench).collect())
+    assert got == [(1, 1, 0, 10, 13, 1), (3, 2, 0, 2, 5, 1), (5, 1, 0, 0, 3, 3), (6, 4, 0, 0, 3, 1), (7, 4, 0, 5, 8, 1)]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [2, 4]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, block_chars=4).collect()) == [2, 4]
+
+
+def test_whole_table_by_plain_search(spark, testdata):
+    """Every document against every item with the usual table, on rows that hold a piece of it or don't."""
+    docs, bench = (spark.read.parquet(f"{testdata}/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id): r.distance for r in matches(docs, bench).collect()}
+    assert found
+    texts = {r.doc_id: fold(r.text or "") for r in docs.collect()}
+    items = {r.item_id: fold(r.text) for r in bench.collect()}
+    budget = {i: int(0.06 * len(t)) for i, t in items.items()}
+    # Documents with a hit against all that share 12 code points with it, by Myers alone.
+    for i, item in items.items():
+        bits = pattern_bits(item)
+        grams = {item[k : k + 8] for k in range(0, len(item) - 7, 4)}
+        for d, text in texts.items():
+            if (d, i) in found or sum(g in text for g in grams) >= 4:
+                distance, _ = best_end(bits, len(item), text, budget[i])
+                assert found.get((d, i), budget[i] + 1) == distance
+
+
+def test_a_very_long_text(spark):
+    text = "lorem ipsum dolor " * 40_000 + ITEMS[0][1].replace("lazy", "lzy") + " sit amet" * 1000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = matches(docs, spark.createDataFrame(ITEMS[:1], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.distance, r.start) for r in got] == [(1, 1, 720_000)]
+
+
 def test_blocks_give_the_same(spark, testdata):
     docs, bench = (spark.read.parquet(f"{testdata}/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, matches(docs, bench).collect()))
