@@ -9,7 +9,7 @@ reruns give the same files and links.
 How it scales. Every response is turned into its records where it lies; nothing is shuffled or gathered.
 
 Defined cases: null HTML is an empty payload and null URL an empty target; repeated rows give repeated records (the
-same ids); an unclosed comment, script or tag ends with the page; an empty table gives no rows; other columns are not
+same ids); an unclosed comment, script, style or tag ends with the page, other unclosed elements hide no text; an empty table gives no rows; other columns are not
 read.
 """
 
@@ -34,7 +34,10 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.I | re.S)
+# What is never shown: comments, scripts and styles, to the page's end if unclosed; other such elements only if they are closed.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<svg\b[^>]*/>|<(title|noscript|template|svg|iframe)\b[^>]*>(?:.*?</\2\s*>)?", re.I | re.S)
+# A head without its end stops at the first tag that can't stand in one.
+_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=</?(?!(?:title|meta|link|base|basefont|bgsound|noscript|template|noframes)\b)[a-z])|\Z)", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^>]*(?:>|\Z)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
@@ -43,7 +46,7 @@ _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 
 def plain_text(page: str) -> str:
     """The page's visible text: one line for each block, white space collapsed, entities resolved."""
-    marked = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    marked = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _HIDDEN.sub(" ", page))))
     lines = (" ".join(x.split()) for x in html.unescape(marked).split("\n"))
     return "\n".join(x for x in lines if x)
 

@@ -47,6 +47,9 @@ def test_text_edges():
     assert plain_text("x<script>never closed <p>y") == "x" and plain_text("a <!-- b") == "a" and plain_text("a < b") == "a < b"
     assert title("<TITLE>\n a &amp; b </TITLE>") == "a & b" and page_links("<a href='x?a=1&amp;b=2'>") == ["x?a=1&b=2"]
     assert len(plain_text("<p>" * 100_000 + "x")) == 1
+    assert plain_text("<head><title>t</title><meta a=b><p>shown") == "shown" and plain_text("<head>x<body>y") == "y"
+    assert plain_text("<head><script>'<div>'</script><title>q</title></head>z") == "z" and plain_text("<header>h</header>") == "h"
+    assert plain_text("a<svg width=1 />b<svg><path/>c</svg>d") == "a b d" and plain_text("<noscript>e <iframe src=x>f") == "e f"
 
 
 def sha1(data):
