@@ -106,6 +106,15 @@ def bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbo.bbo_changes(_diffs(spark, sf_dir))
 
 
+@query(f"""{sql.FULL}, {sql.HELD}, {sql.BBO} SELECT book, seq // 600 * 600 AS window_s, seq, book_seq, bid_price_raw, bid_size_raw, ask_price_raw, ask_size_raw
+FROM bbo QUALIFY row_number() OVER (PARTITION BY book, seq // 600 ORDER BY book_seq DESC) = 1""")
+def bbo_conflated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest best prices of every book in every ten minutes, seq taken as seconds."""
+    rows = bbo.bbo_changes(_diffs(spark, sf_dir)).withColumn("ts", F.timestamp_seconds("seq"))
+    newest = bbo.conflate(rows, "10 minutes")
+    return newest.withColumn("window_s", F.unix_seconds("window_start")).drop("window_start", "ts")
+
+
 @query(f"{sql.FULL} SELECT d.book, d.seq, count(*) FILTER (size_raw = 0) AS removed, count(*) FILTER (size_raw > 0) AS reduced FROM diffs d JOIN (SELECT DISTINCT book, seq FROM lv WHERE kind = 'INVALIDATE') g ON d.book = g.book AND d.seq = g.seq GROUP BY ALL")
 def invalidate_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.invalidations(fixture.levels(spark, sf_dir), _diffs(spark, sf_dir))
@@ -308,9 +317,9 @@ def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("venue", "status").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c).cast("bigint"), F.lit(0)).alias(n) for n, c in (("ids", F.coalesce("last_update_id", "first_id")), ("prices", first["price_raw"]), ("sizes", first["size_raw"]))])
 
 
-@query(f"WITH {sql.LV} SELECT seq AS recv_seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY side DESC, pos) AS INT) AS pos, side, price_raw, size_raw FROM lv WHERE kind = 'DELTA'")
+@query(f"WITH {sql.LV} SELECT seq AS recv_seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY side DESC, pos) AS INT) AS pos, side, price_raw, size_raw FROM lv")
 def level_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.levels(spark, sf_dir).where("kind = 'DELTA'")
+    rows = fixture.levels(spark, sf_dir)
     side = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "price_raw", "size_raw")))), lambda x: F.struct(x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw")))
     messages = rows.groupBy(F.col("seq").alias("recv_seq")).agg(side("BID").alias("bids"), side("ASK").alias("asks"))
     return normalize.explode_levels(messages)
