@@ -2,38 +2,20 @@
 
 from collections import defaultdict
 
-import numpy as np
-
 import corpus_pipeline as cp
 from depthframe.llm import quality
 from depthframe.llm.common import materialize
 from depthframe.llm.decontamination import Matcher
-from depthframe.llm.simhash import fingerprints
 
 from test_mixing import brute as mixing_brute
+from test_near_copies import common, roots, shingle_set
+from test_secret_scan import redacted
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def groups(prints, distance):
-    """prints: a list of fingerprints for each text; texts with one within the distance are linked."""
-    p = np.array(prints, np.int64).view(np.uint64)
-    parent = list(range(len(p)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(p)):
-        for j in np.flatnonzero((np.bitwise_count(p[i + 1 :] ^ p[i]) <= distance).any(axis=1)) + i + 1:
-            a, b = root(i), root(int(j))
-            parent[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(p))]
-
-
 def test_pipeline(spark, testdata):
     sf = f"{testdata}/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -48,9 +30,9 @@ def test_pipeline(spark, testdata):
     good = {r.doc_id for r in quality.classify(docs, labels).where("predicted = 1").collect()}
     assert rows(outs[1]) == [r for r in rows(docs) if r[0] in good]
 
-    kept = rows(outs[1])
-    kept.sort(key=lambda r: r[0])
-    root = groups([fingerprints(r[1], cp.SHINGLE, cp.FAMILIES) for r in kept], cp.DISTANCE)
+    kept = sorted(rows(outs[1]), key=lambda r: r[0])
+    sets = [shingle_set(r[1]) for r in kept]
+    root = roots(sets, common(sets))
     assert rows(outs[2]) == sorted((r for i, r in enumerate(kept) if root[i] == i), key=str)
 
     matcher = Matcher([r.text for r in bench.collect()])
@@ -59,6 +41,7 @@ def test_pipeline(spark, testdata):
     assert outs[4].select("doc_id", "lang", "source").exceptAll(outs[3].select("doc_id", "lang", "source")).count() == 0
     assert outs[4].count() == outs[3].count()
     before, after = ({r.doc_id: r for r in x.collect()} for x in (outs[3], outs[4]))
+    assert {i: r.text for i, r in after.items()} == dict(redacted([(r.doc_id, r.text, r.source) for r in before.values()]))
     for i, r in after.items():
         assert (r.text == before[i].text) == ("[secret]" not in r.text)
         assert r.n_chars == (len(r.text) if "[secret]" in r.text else before[i].n_chars)
