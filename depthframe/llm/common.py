@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.sources.shared import materialize
 
-__all__ = ["Powers", "RollingHash", "STEP_BYTES", "WORD", "materialize", "mix64", "text_slices", "word_count"]
+__all__ = ["Powers", "RollingHash", "STEP_BYTES", "WORD", "in_order", "materialize", "mix64", "text_slices", "word_count"]
 
 #: A word is a maximal run of anything but ASCII white space, as bytes.split() has it too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP
             yield batch.slice(a, b - a)
 
 
+def in_order(rows: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
+    """rows, written in one global order by keys, with ``part`` and ``nth``: the range of the order that a row is in, and its
+    place there from 0. Parts follow each other; a part without rows has no number of its own in the result."""
+    at = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("nth", F.monotonically_increasing_id())
+    at = at.withColumns({"part": F.shiftright("nth", 33), "nth": F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))})
+    return materialize(at, name)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import matches
 from .fingerprints import with_next
 from .mixing import mix
-from . import chat, quality, secret_scan, toxicity
+from . import chat, quality, secret_scan, sharding, toxicity
 from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
 from .warc import derivatives, responses
@@ -204,3 +204,32 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by the table of its reflected polynomial 0xEDB88320, a byte at a time; its column crc_table must be in scope.
+CRC_TABLE = """(SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc_table
+  FROM range(256) t(b))"""
+
+
+def crc32_sql(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"
+
+
+ORACLES["op13_sharding"] = f"""
+WITH r AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32 FROM documents, {CRC_TABLE}
+), s AS (
+  SELECT *, sum(size) OVER () AS total, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - size AS start FROM r
+), k AS (
+  SELECT *, CAST((2 * start + size) * 8 // (2 * total) AS INTEGER) AS shard FROM s
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM k
+"""
