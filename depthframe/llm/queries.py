@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import matches
 from .fingerprints import with_next
 from .mixing import mix
-from . import chat, quality, secret_scan, sharding, toxicity
+from . import chat, prefix_trie, quality, secret_scan, sharding, toxicity
 from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
 from .warc import derivatives, responses
@@ -233,3 +233,43 @@ WITH r AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM k
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.positions(turns)), turns)
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS pos, {{'r': r, 'x': x}} AS said,
+    len(regexp_extract_all(x, '[^ 	-]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), n AS (
+  SELECT c, c - c % 20 AS b, count(*) AS n, {crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM t, {CRC_TABLE} GROUP BY c, crc_table
+), k AS (
+  SELECT n.c, n.b, n.h, least(n.h, coalesce(m.n, 0)) AS k FROM n LEFT JOIN n m ON n.b = m.c
+), r AS (
+  SELECT k.c, t.pos AS d, said, words FROM k JOIN t ON t.c = k.b WHERE t.pos <= k.k
+  UNION ALL SELECT k.c, t.pos - k.h + k.k, said, words FROM k JOIN t ON t.c = k.c WHERE t.pos > k.h
+), p AS (
+  SELECT c, d, words, list(said) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, 0, [] FROM n
+), v AS (
+  SELECT path, d, min(c) AS m, count(*) AS n, any_value(words) AS words FROM p GROUP BY path, d
+), f AS (
+  SELECT p.c, p.d, v.m, v.n, v.words FROM p JOIN v ON p.path = v.path AND p.d = v.d
+), u AS (
+  SELECT v.m, v.d, v.n, v.words, a.m AS parent FROM v LEFT JOIN f a ON a.c = v.m AND a.d = v.d - 1
+), q AS (
+  SELECT u.*, coalesce(z.k, 0) AS kids FROM u LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS k FROM u WHERE d > 0 GROUP BY ALL) z ON z.parent = u.m AND z.d = u.d
+), s AS (
+  SELECT a.m, a.d, count(*) FILTER (q.kids = 0) AS leaves, sum((q.n - 1) * q.words) AS saved FROM q JOIN f a ON a.c = q.m AND a.d <= q.d GROUP BY a.m, a.d
+), e AS (
+  SELECT m, d, string_agg(c, ',' ORDER BY c) AS ids FROM f JOIN (SELECT c AS cc, max(d) AS dd FROM p GROUP BY c) ON c = cc AND d = dd GROUP BY m, d
+)
+SELECT q.m AS conv_id, CAST(q.d AS BIGINT) AS depth, q.parent AS parent_conv_id, q.n AS n_convs, CAST(q.kids AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM q JOIN s ON q.m = s.m AND q.d = s.d LEFT JOIN e ON q.m = e.m AND q.d = e.d
+"""
