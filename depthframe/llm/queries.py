@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import matches
 from .fingerprints import with_next
 from .mixing import mix
-from . import chat, prefix_trie, quality, secret_scan, sharding, toxicity
+from . import chat, prefix_trie, quality, secret_scan, sharding, spelling, toxicity
 from .simhash import hexadecimal, near_duplicates
 from .substring_dedup import substring_dedup
 from .warc import derivatives, responses
@@ -273,3 +273,41 @@ SELECT q.m AS conv_id, CAST(q.d AS BIGINT) AS depth, q.parent AS parent_conv_id,
   CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM q JOIN s ON q.m = s.m AND q.d = s.d LEFT JOIN e ON q.m = e.m AND q.d = e.d
 """
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.damaged(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.group_variants(spelling.word_counts(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling"] = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL
+), h AS (
+  SELECT run, n, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r, {CRC_TABLE}
+), d AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), s AS (
+  SELECT DISTINCT word, n, length(word) AS l, word[:i - 1] || word[i + 1:] AS short FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word, b.word AS near, b.n FROM s a JOIN s b ON a.short = b.short AND a.l = b.l AND a.word <> b.word
+  WHERE len(list_filter(range(1, a.l + 1), lambda i: a.word[i] <> b.word[i])) = 1
+  UNION SELECT a.word, b.word, b.n FROM w a JOIN s b ON a.word = b.short
+  UNION SELECT b.word, a.word, a.n FROM w a JOIN s b ON a.word = b.short
+), g AS (
+  SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word
+), m AS (
+  SELECT p.word, min(p.near) AS near FROM p JOIN g ON p.word = g.word AND p.n = g.top GROUP BY p.word
+), t AS (
+  SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.top >= 2 * w.n THEN g.top END AS form_n, CASE WHEN g.top >= 2 * w.n THEN m.near END AS form
+  FROM w LEFT JOIN g ON w.word = g.word LEFT JOIN m ON w.word = m.word
+), f AS (
+  SELECT word, word AS root, 0 AS steps FROM t
+  UNION ALL SELECT f.word, t.form, steps + 1 FROM f JOIN t ON f.root = t.word WHERE t.form IS NOT NULL
+)
+SELECT t.word, t.form, l.root, t.n, t.n_near, t.form_n FROM t JOIN (SELECT word, arg_max(root, steps) AS root FROM f GROUP BY word) l ON t.word = l.word
+"""
