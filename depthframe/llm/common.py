@@ -39,8 +39,9 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP
 
 def in_order(rows: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
     """rows, written in one global order by keys, with ``part`` and ``nth``: the range of the order that a row is in, and its
-    place there from 0. Parts follow each other; a part without rows has no number of its own in the result."""
-    at = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("nth", F.monotonically_increasing_id())
+    place there from 0. Parts follow each other; a part without rows has no number of its own in the result. The rows are
+    written once before, so that the sampling of ranges doesn't compute them a second time."""
+    at = materialize(rows, f"{name}-found").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("nth", F.monotonically_increasing_id())
     at = at.withColumns({"part": F.shiftright("nth", 33), "nth": F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))})
     return materialize(at, name)
 
