@@ -7,14 +7,17 @@
    on that connection is void, and all its symbols are invalidated. Of other venues only the symbol starts anew, with
    the next snapshot that is fetched.
 4. A later connection of a venue invalidates all that the earlier one held.
-5. Applied messages are joined back for their levels.
+5. What is done to each book is numbered 1, 2, ... in the order of (recv_seq, ord), which is the level table's seq; applied
+   messages are joined back for their levels.
 
 How it scales. A group of step 2 is one symbol of one connection, ids only, about fifty bytes a message. Step 3 needs one
-row for each connection, step 4 one for each symbol of each. Levels are joined by message number, which is unique.
+row for each connection, step 4 one for each symbol of each. Numbers are dense within a book, whatever recv_seq counts
+(messages, microseconds), so blocks of seq hold as many messages as they are wide. Levels are joined by message number.
 
 Defined cases: IGNORED and MALFORMED texts and symbols without a subscription are left out; a snapshot without levels
 still voids what was held (a row without a price); messages after a dropped connection's gap count as never received;
-equal recv_seq of one venue are taken in any order.
+messages of one symbol and connection under one recv_seq are one message that was recorded again: the first by kind and ids
+counts; equal recv_seq of different symbols are taken in any order.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from depthframe.functions.symbols import book_to_string
 from depthframe.sources.shared import materialize
 from depthframe.types import DELTA, INVALIDATE, REQUEST, SNAPSHOT
 
+from .blocks import dense_numbers
 from .normalize import VENUES, is_rejected, normalize_messages
 from .routing import route_symbols
 from .sync import ACTIONS, KEY, POLICIES, SyncState
 
-#: A message's place in the level table is its trigger's recv_seq times this, plus its rank among what it triggers from 1.
-#: Rank 0 is for the end of an earlier connection.
-RANKS = 1 << 20
+#: What tells apart the messages under one recv_seq of a symbol.
+IDS = ["kind", "first_id", "final_id", "prev_final_id", "last_update_id"]
 
 PUSHED = [v for v, (_, _, policy) in VENUES.items() if POLICIES[policy].pushed]
 
@@ -55,7 +58,7 @@ def symbol_actions(messages: DataFrame) -> DataFrame:
     policies = {v: policy for v, (_, _, policy) in VENUES.items()}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("recv_seq", kind="stable")
+        rows = group.sort_values(["recv_seq", *IDS, "bad"], na_position="first").drop_duplicates("recv_seq")
         rule = POLICIES[policies[rows.venue.iloc[0]]]
         state, out = SyncState(rule), []
         bad = set(rows.recv_seq[rows.bad])
@@ -81,7 +84,7 @@ def symbol_actions(messages: DataFrame) -> DataFrame:
             made.insert(i, c, rows[c].iloc[0])
         return made
 
-    ids = messages.select(*KEY, "recv_seq", "kind", "first_id", "final_id", "prev_final_id", "last_update_id", "bad")
+    ids = messages.select(*KEY, "recv_seq", *IDS, "bad")
     return ids.groupBy(*KEY).applyInPandas(run, ACTIONS.replace("symbol int", f"symbol {messages.schema['symbol'].dataType.simpleString()}"))
 
 
@@ -102,16 +105,18 @@ def session_actions(messages: DataFrame) -> DataFrame:
 
 
 def session_levels(messages: DataFrame, actions: DataFrame) -> DataFrame:
-    """The level table of a session: book, venue, seq, kind, pos, side, price_raw, size_raw."""
-    place = F.when(F.col("ord") + 1 < RANKS, F.col("recv_seq") * RANKS + F.col("ord") + 1).otherwise(F.raise_error(F.lit("more actions of one message than RANKS")))
-    acts = actions.where(F.col("action") != REQUEST).select(*KEY, place.cast("bigint").alias("seq"), F.col("action").alias("kind"), "message_seq")
-    tagged = lambda c, side: F.transform(c, lambda x: F.struct(F.lit(side).alias("side"), x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw")))
-    bodies = messages.select(*KEY, F.col("recv_seq").alias("message_seq"), "book", F.concat(tagged("bids", "BID"), tagged("asks", "ASK")).alias("levels"))
-    applied = acts.where(F.col("kind").isin(SNAPSHOT, DELTA)).join(bodies, [*KEY, "message_seq"]).select("book", "venue", "seq", "kind", F.posexplode_outer("levels").alias("pos", "x"))
-    applied = applied.where("kind = 'SNAPSHOT' OR x IS NOT NULL").select("book", "venue", "seq", "kind", (F.coalesce("pos", F.lit(0)) + 1).alias("pos"), "x.side", "x.price_raw", "x.size_raw")
+    """The level table of a session: book, venue, seq, kind, pos, side, price_raw, size_raw, and recv_seq and ord of what seq numbers."""
     books = messages.select("venue", "symbol", "book").distinct()
+    acts = materialize(actions.where(F.col("action") != REQUEST).withColumnRenamed("action", "kind").join(books, ["venue", "symbol"]), "session-numbered")
+    acts = acts.join(dense_numbers(acts, "book", ["recv_seq", "ord"], "seq"), ["book", "recv_seq", "ord"])
+    place = ["book", "venue", "seq", "kind", "recv_seq", "ord"]
+    tagged = lambda c, side: F.transform(c, lambda x: F.struct(F.lit(side).alias("side"), x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw")))
+    body = F.concat(tagged("bids", "BID"), tagged("asks", "ASK"))
+    bodies = messages.groupBy(*KEY, F.col("recv_seq").alias("message_seq")).agg(F.min_by(body, F.struct(*IDS, "bad")).alias("levels"))
+    applied = acts.where(F.col("kind").isin(SNAPSHOT, DELTA)).join(bodies, [*KEY, "message_seq"]).select(*place, F.posexplode_outer("levels").alias("pos", "x"))
+    applied = applied.where("kind = 'SNAPSHOT' OR x IS NOT NULL").select(*place, (F.coalesce("pos", F.lit(0)) + 1).alias("pos"), "x.side", "x.price_raw", "x.size_raw")
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("side", "string"), ("price_raw", "bigint"), ("size_raw", "bigint"))]
-    voided = acts.where(F.col("kind") == INVALIDATE).join(books, ["venue", "symbol"]).select("book", "venue", "seq", "kind", F.lit(1).alias("pos"), *nothing)
+    voided = acts.where(F.col("kind") == INVALIDATE).select(*place, F.lit(1).alias("pos"), *nothing)
     return applied.unionByName(voided.distinct())
 
 

@@ -14,7 +14,7 @@ from depthframe.operators import bands, bbo, book, client, liveness, normalize,
 from depthframe.streaming.book import live_book
 
 from depthframe.sources.messages import read_raw_messages
-from depthframe.sources.shared import scratch
+from depthframe.sources.shared import materialize, scratch
 
 from . import fixture, session_fixture
 from . import oracles as sql
@@ -281,14 +281,20 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.replay(read_raw_messages(spark, root, "parquet"), session_fixture.subscriptions(spark))
 
 
+#: The session's SQL places what is done to a book at its trigger's recv_seq times 2**20, plus its rank among what it triggers.
+_PLACE = "recv_seq * 1048576 + ord + 1"
+
+
 @query(f"{_CHAIN}, {sql.DIFF} SELECT * FROM diffs")
 def session_l2_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.l2_diffs(_replayed(spark, sf_dir))
+    levels = materialize(_replayed(spark, sf_dir), "session-levels")
+    places = levels.selectExpr("book", "seq", f"{_PLACE} AS place").distinct()
+    return book.l2_diffs(levels).join(places, ["book", "seq"]).drop("seq").withColumnRenamed("place", "seq")
 
 
 @query(f"WITH {session_fixture.LEVELS_SQL} SELECT book, venue, seq, kind, count(price_raw) AS levels FROM lv GROUP BY ALL HAVING kind <> 'DELTA' OR count(price_raw) > 0")
 def session_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir).groupBy("book", "venue", "seq", "kind").agg(F.count("price_raw").alias("levels"))
+    return _replayed(spark, sf_dir).groupBy("book", "venue", F.expr(_PLACE).alias("seq"), "kind").agg(F.count("price_raw").alias("levels"))
 
 
 # Messages

@@ -1,6 +1,9 @@
 """Small sessions, message by message; the whole chain on tables is held against SQL by test_queries.py."""
 
-from depthframe.operators import session
+from pyspark.sql import functions as F
+
+from depthframe.operators import blocks, book, session
+from depthframe.plans import session_fixture
 from depthframe.types import RAW_MESSAGES
 
 SUBSCRIBED = [("BYBIT", "SPOT", "A", "USD", "bybit_spot", "AUSD"), ("BYBIT", "SPOT", "B", "USD", "bybit_spot", "BUSD"), ("BINANCE", "SPOT", "A", "USD", "binance_spot", "AUSD"), ("BINANCE", "SPOT", "B", "USD", "binance_spot", "BUSD")]
@@ -22,7 +25,7 @@ def replay(spark, *rows):
     names = "exchange string, market string, base string, quote string, venue string, native_symbol string"
     found = session.replay(spark.createDataFrame(list(rows), RAW_MESSAGES), spark.createDataFrame(SUBSCRIBED, names)).collect()
     size = lambda x: None if x is None else x // 1_000_000
-    return sorted((r.book[:1], r.seq // session.RANKS, r.seq % session.RANKS, r.kind, size(r.size_raw)) for r in found if r.kind != "INVALIDATE"), sorted((r.book[:1], r.seq // session.RANKS) for r in found if r.kind == "INVALIDATE")
+    return sorted((r.book[:1], r.recv_seq, r.ord + 1, r.kind, size(r.size_raw)) for r in found if r.kind != "INVALIDATE"), sorted((r.book[:1], r.recv_seq) for r in found if r.kind == "INVALIDATE")
 
 
 ONE, TWO, BAD = '[["5","1"]]', '[["5","2"]]', '[["5","3"],["0","1"]]'
@@ -51,3 +54,38 @@ def test_noise_and_an_empty_snapshot(spark):
     broken = (5, None, "bybit_spot", 0, "WS", None, "{")
     applied, void = replay(spark, bybit(1, "AUSD", 7, ONE, "snapshot"), bybit(2, "AUSD", 9, "[]", "snapshot"), noise, other, broken)
     assert applied == [("A", 1, 1, "SNAPSHOT", 1), ("A", 2, 1, "SNAPSHOT", None)] and void == []
+
+
+def test_a_message_that_is_recorded_twice_counts_once(spark):
+    rows = [bybit(1, "AUSD", 7, ONE, "snapshot"), bybit(2, "AUSD", 8, TWO), bybit(3, "AUSD", 9, ONE), bybit(4, "BUSD", 1, ONE, "snapshot"), binance(5, "AUSD", 1, 5, ONE), fetched(6, "AUSD", 3, TWO)]
+    once, twice = replay(spark, *rows), replay(spark, *rows, *rows[1:5], rows[5], rows[5])
+    assert once == twice and [r[:3] for r in once[0]] == [("A", 1, 1), ("A", 2, 1), ("A", 3, 1), ("A", 6, 1), ("A", 6, 2), ("B", 4, 1)] and once[1] == []
+
+
+def test_receipts_in_microseconds_at_two_block_widths(spark, testdata):
+    """Numbers are dense, so blocks hold messages, and neither large recv_seq nor the blocks' width changes a diff."""
+    raw = session_fixture.raw_texts(spark, f"{testdata}/sf0.001").cache()
+    subscriptions = session_fixture.subscriptions(spark)
+    start, step = 1_800_000_000_000_000, 977
+    plain = session.replay(raw, subscriptions).cache()
+    late = session.replay(raw.withColumn("recv_seq", F.lit(start) + F.col("recv_seq") * step), subscriptions).cache()
+    shown = lambda rows: sorted(map(tuple, rows.collect()))
+    wanted = shown(book.l2_diffs(plain))
+    assert wanted == shown(book.l2_diffs(late)) == shown(book.l2_diffs(late, block=16))
+    received = late.select("book", "seq", "recv_seq", "ord").distinct().withColumn("recv_seq", F.expr(f"(recv_seq - {start}L) div {step}L"))
+    assert shown(received) == shown(plain.select("book", "seq", "recv_seq", "ord").distinct())
+    n, books, groups = late.select("book", "venue", "seq").distinct().count(), late.select("book").distinct().count(), late.selectExpr("book", f"seq div {book.BLOCK} AS block").distinct().count()
+    assert groups <= books * (1 + n // book.BLOCK) and n > 250 * groups
+    assert late.groupBy("book").agg(F.max("seq").alias("last"), F.countDistinct("seq").alias("n")).where("last > 2 * n").isEmpty()
+
+
+def test_dense_numbers(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('b', id % 7) END AS book", "id * 7919 % 1000 AS a", "id % 2 AS b").repartition(9)
+    got = blocks.dense_numbers(rows, "book", ["a", "b"], "n").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.book, []).append((r.n, r.a, r.b))
+    wanted = {}
+    for r in set(map(tuple, rows.collect())):
+        wanted.setdefault(r[0], []).append(r[1:])
+    assert {k: sorted(v) for k, v in by.items()} == {k: [(i + 1, *x) for i, x in enumerate(sorted(v))] for k, v in wanted.items()}
