@@ -93,6 +93,18 @@ def book_as_of(intervals: DataFrame, seq: Column | int) -> DataFrame:
     return aggregate_book(intervals.where((F.col("from_seq") <= at) & (F.col("to_seq").isNull() | (F.col("to_seq") > at))))
 
 
+def venue_books_at(levels: DataFrame, at: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What a live book has to know to go on from message ``seq``, for each row of ``at`` (book, seq, book_seq; a book once):
+    book, seq, ord, book_seq, venue, side, price_raw, size_raw of every level that a venue holds then, and a row without
+    a level for every venue that is live and holds none."""
+    held = level_intervals(levels, block).join(at, "book").where("from_seq <= seq AND (to_seq IS NULL OR to_seq > seq)")
+    held = held.select("book", "venue", "seq", "book_seq", "side", "price_raw", "size_raw")
+    last = levels.select("book", "venue", F.col("seq").alias("sent"), "kind").join(at, "book").where("sent <= seq")
+    live = last.groupBy("book", "venue", "seq", "book_seq").agg(F.max_by("kind", "sent").alias("kind")).where(F.col("kind") != INVALIDATE)
+    full = live.drop("kind").join(held.drop("seq", "book_seq"), ["book", "venue"], "left")
+    return full.select("book", "seq", F.lit(0).alias("ord"), "book_seq", "venue", "side", "price_raw", "size_raw")
+
+
 def revisions(changes: DataFrame, block: int = BLOCK) -> DataFrame:
     """book, seq, book_seq: 1, 2, ... for the messages of each book that changed it, in order.
 
@@ -150,6 +162,14 @@ def snapshot_then_diffs(diffs: DataFrame, book_seq: int) -> DataFrame:
     return first.unionByName(later)
 
 
+def snapshots_then_diffs(diffs: DataFrame, at: DataFrame) -> DataFrame:
+    """``snapshot_then_diffs`` of many subscribers at once: each row of ``at`` (book, from_revision; a book once) names its own revision."""
+    rows = diffs.join(at, "book")
+    first = book_at_revision(rows, F.col("from_revision")).join(at, "book").select("book", F.col("from_revision").alias("book_seq"), F.lit("SNAPSHOT").alias("row_kind"), "side", "price_raw", "size_raw")
+    later = rows.where("book_seq > from_revision").select("book", "book_seq", F.lit("DIFF").alias("row_kind"), "side", "price_raw", "size_raw")
+    return first.unionByName(later)
+
+
 def invalidations(levels: DataFrame, diffs: DataFrame) -> DataFrame:
     """book, seq, removed, reduced: what each venue invalidation that changed its book did to the aggregate levels."""
     gone = levels.where(F.col("kind") == INVALIDATE).select("book", "seq").distinct()

@@ -50,34 +50,56 @@ def session_messages(normal: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return routed.select("venue", F.col("native_symbol").alias("symbol"), "conn_epoch", "recv_seq", "kind", "first_id", "final_id", "prev_final_id", "last_update_id", book, "bids", "asks", bad)
 
 
-def symbol_actions(messages: DataFrame) -> DataFrame:
-    """What each symbol's rule does with its own messages: KEY, recv_seq, ord, action, message_seq.
+class SymbolRule:
+    """What one symbol's rule does with the messages of one connection, given in order of recv_seq.
 
     A symbol of a venue that pushes snapshots stops at its first INVALIDATE; the others ask for a snapshot after it.
     """
-    policies = {v: policy for v, (_, _, policy) in VENUES.items()}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["recv_seq", *IDS, "bad"], na_position="first").drop_duplicates("recv_seq")
-        rule = POLICIES[policies[rows.venue.iloc[0]]]
-        state, out = SyncState(rule), []
-        bad = set(rows.recv_seq[rows.bad])
-        number = lambda x: 0 if x is None or pd.isna(x) else int(x)
-        for k, (seq, kind, first, final, prev, last) in enumerate(zip(rows.recv_seq, rows.kind, rows.first_id, rows.final_id, rows.prev_final_id, rows.last_update_id, strict=True)):
-            asked = state.connected() if k == 0 else []
-            made = state.snapshot(seq, number(last)) if kind == SNAPSHOT else state.update(seq, number(first), number(final), number(prev))
-            done = []
-            for action, message in made:
-                done += state.disconnected() if message in bad else [(action, message)]
-            broken = any(action == INVALIDATE for action, _ in done)
-            if broken and not rule.pushed:
+    def __init__(self, venue: str):
+        self.state = SyncState(POLICIES[VENUES[venue][2]])
+        self.begun = self.stopped = False
+        self.bad: set[int] = set()  # of the messages that are held back
+
+    def take(self, seq: int, kind: str, first, final, prev, last, bad: bool) -> list[tuple[int, str, int | None]]:
+        """(ord, action, message_seq) of what the message triggers."""
+        if self.stopped:
+            return []
+        state, number = self.state, lambda x: 0 if x is None or pd.isna(x) else int(x)
+        if bad:
+            self.bad.add(seq)
+        asked = [] if self.begun else state.connected()
+        self.begun = True
+        made = state.snapshot(seq, number(last)) if kind == SNAPSHOT else state.update(seq, number(first), number(final), number(prev))
+        done = []
+        for action, message in made:
+            done += state.disconnected() if message in self.bad else [(action, message)]
+        if any(action == INVALIDATE for action, _ in done):
+            if state.policy.pushed:
+                self.stopped = True
+            else:
                 done += state.connected()
-            rank = 0  # a request takes none: it changes no book
-            for action, message in asked + done:
-                out.append((seq, rank, action, message))
-                rank += action != REQUEST
-            if broken and rule.pushed:
-                break
+        self.bad &= {m[0] for m in state.held}
+        out, rank = [], 0  # a request takes no rank: it changes no book
+        for action, message in asked + done:
+            out.append((rank, action, message))
+            rank += action != REQUEST
+        return out
+
+
+def in_receipt(rows: pd.DataFrame) -> pd.DataFrame:
+    """A symbol's messages in the order of recv_seq, each number once."""
+    return rows.sort_values(["recv_seq", *IDS, "bad"], na_position="first").drop_duplicates("recv_seq")
+
+
+def symbol_actions(messages: DataFrame) -> DataFrame:
+    """What each symbol's rule does with its own messages: KEY, recv_seq, ord, action, message_seq."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = in_receipt(group)
+        rule, out = SymbolRule(rows.venue.iloc[0]), []
+        for seq, *message in zip(*[rows[c] for c in ("recv_seq", *IDS, "bad")], strict=True):
+            out += [(seq, *made) for made in rule.take(seq, *message)]
         made = pd.DataFrame(out, columns=["recv_seq", "ord", "action", "message_seq"])
         made["message_seq"] = made.message_seq.astype("Int64")
         for i, c in enumerate(KEY):

@@ -7,14 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from depthframe.functions import fixed, labels, symbols
 from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync
-from depthframe.streaming.book import live_book
-
-from depthframe.sources.messages import read_raw_messages
+from depthframe.sources.messages import read_raw_messages, write_in_order
 from depthframe.sources.shared import materialize, scratch
+from depthframe.streaming.book import live_book
+from depthframe.streaming.session import live_session
 
 from . import fixture, session_fixture
 from . import oracles as sql
@@ -461,27 +460,19 @@ def bbo_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-#: Level rows of a micro-batch, about.
+#: Level rows, or texts, of a micro-batch, about.
 BATCH_ROWS = 100_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the live book emits for the whole table: its level rows, written as files and read as a stream.
-
-    Each file holds a range of seq of about BATCH_ROWS rows, and each micro-batch reads one file, in the order of writing.
-    """
+def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that a stream makes of a table that is recorded and read file by file, each a range of ``order``."""
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    source = fixture.levels(spark, sf_dir)
-    n, last = source.agg(F.count(F.lit(1)), F.max("seq")).first()
-    width = max(1, (last or 0) * BATCH_ROWS // max(1, n))
-    source.withColumn("block", F.expr(f"seq div {width}")).write.partitionBy("block").parquet(f"{root}/blocks")
-    cut = spark.read.schema(StructType([*source.schema.fields, StructField("block", LongType())])).parquet(f"{root}/blocks")
-    for block in range((last or 0) // width + 1):
-        cut.where(F.col("block") == block).drop("block").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    write_in_order(source, order, f"{root}/in", BATCH_ROWS)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        rows = live_book(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+        rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
         run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
@@ -492,6 +483,10 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, fixture.levels(spark, sf_dir), "seq", live_book)
+
+
 @query(f"{sql.FULL} SELECT * FROM diffs")
 def stream_l2_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).where("row_kind = 'DIFF'").select("book", "seq", "book_seq", "side", "price_raw", "size_raw")
@@ -503,3 +498,26 @@ f AS (SELECT a.book, a.seq, b.venue, arg_max(b.live, b.seq) AS live FROM t a JOI
 SELECT book, seq, array_to_string(coalesce(list_sort(list(venue) FILTER (live)), []), ',') AS live_venues FROM f GROUP BY book, seq""")
 def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir).where("row_kind = 'LIVE'").select("book", "seq", "live_venues")
+
+
+@query(ORACLES["session_l2_diffs"])
+def stream_session_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diffs of ``session_l2_diffs``, from raw texts in one stream."""
+    found = _run(spark, session_fixture.raw_texts(spark, sf_dir), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)))
+    return found.where("row_kind = 'DIFF'").select("book", F.expr(_PLACE.replace("recv_seq", "seq")).alias("seq"), "book_seq", "side", "price_raw", "size_raw")
+
+
+@query(f"""{sql.FULL}, p AS (SELECT book, max(book_seq) // 3 AS n FROM diffs GROUP BY book),
+s AS (SELECT d.book, p.n, side, price_raw, arg_max(size_raw, book_seq) AS size_raw FROM diffs d JOIN p ON d.book = p.book AND d.book_seq <= p.n GROUP BY ALL)
+SELECT book, CAST(n AS BIGINT) AS book_seq, 'SNAPSHOT' AS row_kind, side, price_raw, size_raw FROM s WHERE size_raw > 0
+UNION ALL SELECT d.book, book_seq, 'DIFF', side, price_raw, size_raw FROM diffs d JOIN p ON d.book = p.book AND d.book_seq > p.n""")
+def stream_snapshot_then_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every book at a third of its revisions, then what a stream that begins with it makes of all later messages."""
+    levels = fixture.levels(spark, sf_dir)
+    diffs = materialize(book.l2_diffs(levels), "stream-diffs")
+    at = diffs.groupBy("book").agg(F.expr("max(book_seq) div 3").alias("book_seq")).join(diffs.select("book", "book_seq", "seq").distinct(), ["book", "book_seq"])
+    at = materialize(at.select("book", "seq", "book_seq"), "stream-at")
+    initial = materialize(book.venue_books_at(levels, at), "stream-initial")
+    later = _run(spark, levels, "seq", lambda rows: live_book(rows, initial=initial)).where("row_kind = 'DIFF'").select("book", "book_seq", "row_kind", "side", "price_raw", "size_raw")
+    first = book.aggregate_book(initial.where("side IS NOT NULL"), "book_seq").withColumn("row_kind", F.lit("SNAPSHOT"))
+    return first.select(*later.columns).unionByName(later)

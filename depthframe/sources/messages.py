@@ -22,6 +22,21 @@ def read_rest_snapshots(spark: SparkSession, path: str, fmt: str = "json", strea
     return read_raw_messages(spark, path, fmt, stream).where("source = 'REST' AND request_symbol IS NOT NULL")
 
 
+def write_in_order(rows: DataFrame, order: str, path: str, rows_per_file: int) -> None:
+    """Record rows as Parquet files that a stream reads one after another: each a range of ``order``, stamped in that order.
+
+    One job writes all files; the file source reads the oldest first, so their times, a second apart, are then set by name.
+    """
+    spark = rows.sparkSession
+    n = max(1, -(-rows.count() // rows_per_file))
+    rows.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for k, file in enumerate(files):
+        store.setTimes(file, (1_000_000_000 + k) * 1000, -1)
+
+
 def write_table(rows: DataFrame, path: str, by: tuple[str, ...] = ("book",), fmt: str = "parquet", mode: str = "append") -> None:
     """Diffs, snapshots, best prices and bands all go to tables that are partitioned by book, so a book's reader prunes."""
     rows.write.mode(mode).partitionBy(*by).format(fmt).save(path)

@@ -1,174 +1,231 @@
 """The live aggregate book as a stateful stream: level rows in, diffs, best prices and live venues out.
 
 State is keyed by book and lives in the state store: what each venue holds at each price, the aggregate size of each
-price, the live venues, the revision, and the seq up to which messages are applied. A micro-batch loads its book's state
-once, applies each message in time that follows the message (best prices come from heaps), and writes back only what
-changed, so a batch costs its rows and one book; sources bound a batch by ``maxFilesPerTrigger`` or the like.
-
-Rows of a micro-batch are applied in the order of seq. Batches must not overlap in seq; rows at or before the applied seq
-come late and are dropped. A message with a bad level on either side is void, and so is what its venue held: it counts
-as an invalidation of the venue.
+price, an ordered index of the prices of either (``price_index``), the live venues, the revision, and where messages are
+applied up to. A micro-batch reads the cells that its messages touch, point by point: a price's sizes, the index where a price
+comes or goes, the levels of a venue that is reset. So a batch costs its rows, whatever the depth of the book. Where reading
+all in a row costs less than so many points (``POINT``), the batch reads all. Only what changed is written back.
+
+Rows of a micro-batch are applied in the order of (seq, ord, pos). Batches must not overlap in that order; rows at or before
+the applied place come late and are dropped. A message with a bad level on either side is void, and so is what its venue
+held: it counts as an invalidation of the venue. A DROPPED row invalidates its venue and says that what comes of that
+connection (conn_epoch) after seq ``since`` is void too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from depthframe.types import INVALIDATE, SNAPSHOT
+from depthframe.types import DROPPED, INVALIDATE, SNAPSHOT
+
+from .price_index import KEY, VALUE, PriceIndex
 
-OUTPUT = "book int, seq bigint, book_seq bigint, row_kind string, side string, price_raw bigint, size_raw bigint, live_venues string"
+OUTPUT = "book {book}, seq bigint, ord int, book_seq bigint, row_kind string, side string, price_raw bigint, size_raw bigint, live_venues string"
 #: Output rows that are handed on at once.
 OUTPUT_ROWS = 50_000
-_COLUMNS = ["seq", "book_seq", "row_kind", "side", "price_raw", "size_raw", "live_venues"]
-_SIGN = {"BID": -1, "ASK": 1}
-
-
-class _Totals:
-    """Aggregate sizes by (side, price), with the best price of each side."""
-
-    def __init__(self, sizes: dict[tuple[str, int], int]):
-        self.sizes = sizes
-        self.heaps = {s: [sign * p for side, p in sizes if side == s] for s, sign in _SIGN.items()}
-        for heap in self.heaps.values():
-            heapify(heap)
-
-    def put(self, place: tuple[str, int], size: int) -> None:
-        if not size:
-            self.sizes.pop(place, None)
-            return
-        if place not in self.sizes:
-            heappush(self.heaps[place[0]], _SIGN[place[0]] * place[1])
-        self.sizes[place] = size
-
-    def best(self) -> tuple:
-        out = []
-        for side, sign in _SIGN.items():
-            heap = self.heaps[side]
-            while heap and (side, sign * heap[0]) not in self.sizes:
-                heappop(heap)
-            price = sign * heap[0] if heap else None
-            out.append((price, self.sizes.get((side, price))))
-        return tuple(out)
+#: Cells that are read in a row in the time of one read by key, about.
+POINT = 20
+SIDES = ("BID", "ASK")
+#: Owner of the index of aggregate prices; a venue owns its own.
+ALL = ""
+_COLUMNS = ["seq", "ord", "book_seq", "row_kind", "side", "price_raw", "size_raw", "live_venues"]
+
+
+class Cells:
+    """Numbers in a MapState, 0 where there is none: each is read once and written once a batch."""
+
+    def __init__(self, state, whole: bool):
+        self.state, self.whole, self.before = state, whole, {}
+        self.now = {tuple(k): v[0] for k, v in state.iterator()} if whole else {}
+
+    def get(self, key: tuple) -> int:
+        if key not in self.now:
+            if self.whole:
+                return 0
+            found = self.state.getValue(key)
+            self.now[key] = found[0] if found else 0
+        return self.now[key]
+
+    def put(self, key: tuple, value: int) -> None:
+        self.before.setdefault(key, self.get(key))
+        self.now[key] = value
+
+    def store(self) -> None:
+        for key, before in self.before.items():
+            if not self.now[key]:
+                if before:
+                    self.state.removeKey(key)
+            elif self.now[key] != before:
+                self.state.updateValue(key, (self.now[key],))
 
 
 class BookProcessor(StatefulProcessor):
     """Emits DIFF rows (new aggregate size, 0: removed), BBO rows when a best price or its size changed, and LIVE rows
     when the set of live venues changed and, with ``heartbeat_ms``, each time that so long has passed on the clock."""
 
-    def __init__(self, heartbeat_ms: int | None = None):
-        self.heartbeat_ms = heartbeat_ms
+    def __init__(self, heartbeat_ms: int | None = None, venue: str = "int", point: int = POINT):
+        self.heartbeat_ms, self.venue, self.point = heartbeat_ms, venue, point
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "venue int, side string, price bigint", "size bigint")
+        self.held = handle.getMapState("held", f"venue {self.venue}, side string, price bigint", "size bigint")
         self.total = handle.getMapState("total", "side string, price bigint", "size bigint")
-        self.live = handle.getMapState("live", "venue int", "on boolean")
-        self.revision = handle.getValueState("revision", "n bigint, seq bigint")
+        self.index = handle.getMapState("index", KEY, VALUE)
+        self.venues = handle.getMapState("venues", f"venue {self.venue}", "live boolean, epoch bigint, since bigint")
+        self.place = handle.getValueState("place", "n bigint, seq bigint, ord int, cells bigint, bid bigint, bid_size bigint, ask bigint, ask_size bigint")
+
+    def _load(self, rows: int) -> None:
+        n, seq, ord_, self.count, *best = self.place.get() if self.place.exists() else (0, None, None, 0, None, None, None, None)
+        self.number, self.applied = n, None if seq is None else (seq, ord_)
+        self.best = {"BID": tuple(best[:2]), "ASK": tuple(best[2:])}
+        whole = rows * self.point >= self.count
+        self.sizes, self.totals, nodes = Cells(self.held, whole), Cells(self.total, whole), Cells(self.index, whole)
+        self.nodes, self.prices = nodes, PriceIndex(nodes)
+        self.known = {k[0]: tuple(v) for k, v in self.venues.iterator()}
+        self.was_known = dict(self.known)
+
+    def _store(self) -> None:
+        for cells in (self.sizes, self.totals, self.nodes):
+            cells.store()
+        for venue, state in self.known.items():
+            if self.was_known.get(venue) != state:
+                self.venues.updateValue((venue,), state)
+        self.place.update((self.number, *(self.applied or (None, None)), self.count, *self.best["BID"], *self.best["ASK"]))
+
+    def _put(self, venue, side: str, price: int, size: int) -> int | None:
+        """What the venue holds at a price from now on; returns the new aggregate size if that changed."""
+        before = self.sizes.get((venue, side, price))
+        if size == before:
+            return None
+        self.sizes.put((venue, side, price), size)
+        if not size or not before:
+            (self.prices.add if size else self.prices.remove)(str(venue), side, price)
+            self.count += 1 if size else -1
+        old = self.totals.get((side, price))
+        new = old + size - before
+        self.totals.put((side, price), new)
+        if not new or not old:
+            (self.prices.add if new else self.prices.remove)(ALL, side, price)
+        return new
+
+    def _best(self, side: str, changed: list[int]) -> tuple[int | None, int | None]:
+        price, _ = self.best[side]
+        if price is None or not self.totals.get((side, price)):
+            price = self.prices.best(ALL, side)
+        else:
+            here = [p for p in changed if self.totals.get((side, p))]
+            price = max([price, *here]) if side == "BID" else min([price, *here])
+        return (None, None) if price is None else (price, self.totals.get((side, price)))
+
+    def _message(self, venue, kind: str, levels: list[tuple[str, int, int]]) -> dict[tuple[str, int], int]:
+        """Apply one message; the aggregate prices that it changed."""
+        wanted: dict[tuple[str, int], int] = {}
+        if kind in (SNAPSHOT, INVALIDATE) and self.known.get(venue, (False,))[0]:
+            wanted = {(side, price): 0 for side in SIDES for price in self.prices.prices(str(venue), side)}
+        if kind != INVALIDATE:
+            # A snapshot's first row of a price counts, a delta's last.
+            wanted |= {(side, price): size for side, price, size in (reversed(levels) if kind == SNAPSHOT else levels)}
+        changed = {place: self._put(venue, *place, size) for place, size in wanted.items()}
+        return {place: size for place, size in changed.items() if size is not None}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held: dict[int, dict[tuple[str, int], int]] = {}
-        for (venue, side, price), (size,) in self.held.iterator():
-            held.setdefault(venue, {})[side, price] = size
-        totals = _Totals({tuple(k): v[0] for k, v in self.total.iterator()})
-        live = {k[0] for k, _ in self.live.iterator()}
-        was_live = set(live)
-        number, applied = self.revision.get() if self.revision.exists() else (0, None)
-        old_held: dict[tuple[int, str, int], int] = {}
-        old_total: dict[tuple[str, int], int] = {}
-        known, out = totals.best(), []
-        frame = pd.concat(list(rows)).sort_values(["seq", "pos"], kind="stable")
-        seqs, kinds, venues = frame.seq.tolist(), frame.kind.tolist(), frame.venue.tolist()
-        sides, prices, sizes = frame.side.tolist(), frame.price_raw.tolist(), frame.size_raw.tolist()
+        frame = pd.concat(list(rows)).sort_values(["seq", "ord", "pos"], kind="stable")
+        first = not self.place.exists()
+        self._load(len(frame))
+        out: list[tuple] = []
+        columns = ["seq", "ord", "venue", "kind", "conn_epoch", "since", "side", "price_raw", "size_raw"]
+        seqs, ords, venues, kinds, epochs, since, sides, prices, sizes = (frame[c].tolist() for c in columns)
         end = 0
         while end < len(seqs):
-            start, seq, kind, venue = end, seqs[end], kinds[end], venues[end]
-            while end < len(seqs) and seqs[end] == seq:
+            start, place, venue, kind = end, (seqs[end], ords[end]), venues[end], kinds[end]
+            while end < len(seqs) and (seqs[end], ords[end], venues[end]) == (*place, venue):
                 end += 1
-            if applied is not None and seq <= applied:
+            live, epoch, dropped = self.known.get(venue, (False, None, None))
+            if self.applied is not None and place <= self.applied or epoch is not None and epochs[start] <= epoch and place[0] > dropped:
                 continue
-            applied = seq
-            if kind != INVALIDATE and any(not (prices[i] > 0 and sizes[i] >= 0) for i in range(start, end)):
+            self.applied = place
+            if kind == DROPPED:
+                kind, epoch, dropped = INVALIDATE, int(epochs[start]), int(since[start])
+            levels = [(sides[i], int(prices[i]), int(sizes[i])) for i in range(start, end) if isinstance(sides[i], str)]
+            if kind != INVALIDATE and any(price <= 0 or size < 0 for _, price, size in levels):
                 kind = INVALIDATE
-            own = held.setdefault(venue, {})
-            wanted = dict.fromkeys(own, 0) if kind in (SNAPSHOT, INVALIDATE) else {}
-            if kind != INVALIDATE:
-                # A snapshot's first row of a price counts, a delta's last.
-                turn = range(end - 1, start - 1, -1) if kind == SNAPSHOT else range(start, end)
-                wanted.update(((sides[i], prices[i]), int(sizes[i])) for i in turn)
-            changed = {}
-            for place, size in wanted.items():
-                before = own.get(place, 0)
-                if size == before:
-                    continue
-                old_held.setdefault((venue, *place), before)
-                old_total.setdefault(place, totals.sizes.get(place, 0))
-                changed[place] = totals.sizes.get(place, 0) + size - before
-                if size:
-                    own[place] = size
-                else:
-                    del own[place]
-            toggled = (venue in live) == (kind == INVALIDATE)
-            if toggled:
-                live ^= {venue}
-                out.append((seq, number, "LIVE", None, None, None, ",".join(map(str, sorted(live)))))
+            changed = self._message(venue, kind, levels)
+            self.known[venue] = (kind != INVALIDATE, epoch, dropped)
+            if live != self.known[venue][0]:
+                out.append((*place, self.number, "LIVE", None, None, None, self._live()))
             if changed:
-                number += 1
-                for place, size in sorted(changed.items()):
-                    totals.put(place, size)
-                    out.append((seq, number, "DIFF", *place, size, None))
-                now = totals.best()
-                if now != known:
-                    out += [(seq, number, "BBO", side, price, size, None) for side, (price, size) in zip(_SIGN, now, strict=True)]
-                    known = now
+                self.number += 1
+                out += [(*place, self.number, "DIFF", *at, size, None) for at, size in sorted(changed.items())]
+                now = {side: self._best(side, [p for s, p in changed if s == side]) for side in SIDES}
+                if now != self.best:
+                    out += [(*place, self.number, "BBO", side, *now[side], None) for side in SIDES]
+                    self.best = now
             if len(out) >= OUTPUT_ROWS:
                 yield _frame(key[0], out)
                 out = []
-        for (venue, *place), before in old_held.items():
-            _store(self.held, (venue, *place), before, held[venue].get(tuple(place), 0))
-        for place, before in old_total.items():
-            _store(self.total, place, before, totals.sizes.get(place, 0))
-        for venue in live ^ was_live:
-            _store(self.live, (venue,), venue in was_live, venue in live)
-        if self.heartbeat_ms and not self.revision.exists():
+        self._store()
+        if self.heartbeat_ms and first:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
-        self.revision.update((number, applied))
         yield _frame(key[0], out)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Begin with a book: its levels by venue (``books_at``), a row without a price for a live venue that holds nothing."""
+        if not self.place.exists():  # else a further part of the same book
+            seq, number = initialState.seq.iloc[0], initialState.book_seq.iloc[0]
+            self.place.update((int(number), int(seq), int(initialState.ord.iloc[0]), 0, None, None, None, None))
+            if self.heartbeat_ms:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
+        self._load(len(initialState))
+        for venue, side, price, size in zip(*[initialState[c].tolist() for c in ("venue", "side", "price_raw", "size_raw")], strict=True):
+            self.known[venue] = (True, None, None)
+            if isinstance(side, str):
+                self._put(venue, side, int(price), int(size))
+        self.best = {side: (None, None) for side in SIDES}
+        self.best = {side: self._best(side, []) for side in SIDES}
+        self._store()
+
+    def _live(self) -> str:
+        return ",".join(map(str, sorted(v for v, state in self.known.items() if state[0])))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A heartbeat: who is live, and the next one."""
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
-        number, applied = self.revision.get()
-        live = sorted(k[0] for k, _ in self.live.iterator())
-        yield _frame(key[0], [(applied, number, "LIVE", None, None, None, ",".join(map(str, live)))])
+        number, seq, ord_ = self.place.get()[:3]
+        self.known = {k[0]: tuple(v) for k, v in self.venues.iterator()}
+        yield _frame(key[0], [(seq, ord_, number, "LIVE", None, None, None, self._live())])
 
     def close(self) -> None:
         pass
 
 
-def _frame(book: int, rows: list[tuple]) -> pd.DataFrame:
+def _frame(book, rows: list[tuple]) -> pd.DataFrame:
     made = pd.DataFrame(rows, columns=_COLUMNS).astype({"price_raw": "Int64", "size_raw": "Int64"})
     made.insert(0, "book", book)
     return made
 
 
-def _store(state, key: tuple, old, new) -> None:
-    if not new:
-        if old:
-            state.removeKey(key)
-    elif new != old:
-        state.updateValue(key, (new,))
-
+def live_book(levels: DataFrame, heartbeat_ms: int | None = None, initial: DataFrame | None = None, point: int = POINT) -> DataFrame:
+    """DIFF, BBO and LIVE rows of a stream of level rows.
 
-def live_book(levels: DataFrame, heartbeat_ms: int | None = None) -> DataFrame:
-    """DIFF, BBO and LIVE rows of a stream of level rows."""
+    ``initial``: the books to begin with, as from ``books_at``; a book that isn't in it begins empty. Its rows' messages
+    are those at or before the revisions given there, and come late where the stream holds them too.
+    """
+    kind = {n: levels.schema[n].dataType.simpleString() for n in ("book", "venue")}
+    # No nulls: pandas would turn the columns that have any into floats, which don't hold all 64-bit numbers.
+    filled = {c: F.coalesce(c, F.lit(-1)) if c in levels.columns else F.lit(-1).cast("bigint") for c in ("conn_epoch", "since")}
+    filled |= {c: F.coalesce(c, F.lit(0)) for c in ("price_raw", "size_raw")} | {"ord": F.col("ord") if "ord" in levels.columns else F.lit(0)}
+    rows = levels.withColumns(filled).select("book", "venue", "seq", "ord", "kind", "conn_epoch", "since", "pos", "side", "price_raw", "size_raw")
     clock = "processingTime" if heartbeat_ms else "none"
-    return levels.groupBy("book").transformWithStateInPandas(BookProcessor(heartbeat_ms), OUTPUT, "append", clock)
+    begun = None
+    if initial is not None:
+        numbers = {c: F.coalesce(c, F.lit(0)) for c in ("price_raw", "size_raw")}
+        begun = initial.withColumns(numbers).select("book", "seq", "ord", "book_seq", "venue", "side", "price_raw", "size_raw").groupBy("book")
+    return rows.groupBy("book").transformWithStateInPandas(BookProcessor(heartbeat_ms, kind["venue"], point), OUTPUT.format(**kind), "append", clock, initialState=begun)
 
 
 def silent_sessions(messages: DataFrame, watermark: str = "1 minute", timeout: str = "timeout") -> DataFrame:

@@ -15,4 +15,6 @@ L2_DIFF = "book INT, seq BIGINT, book_seq BIGINT, side STRING, price_raw BIGINT,
 # Statuses of rows that can't be computed, and of messages.
 OUT_OF_DOMAIN, OUT_OF_RANGE = "ARGUMENT_OUT_OF_DOMAIN", "RESULT_OUT_OF_RANGE"
 SNAPSHOT, DELTA, INVALIDATE, REQUEST = "SNAPSHOT", "DELTA", "INVALIDATE", "REQUEST_SNAPSHOT"
+#: An invalidation after which nothing of the same connection counts.
+DROPPED = "DROPPED"
 IGNORED, MALFORMED = "IGNORED", "MALFORMED"
