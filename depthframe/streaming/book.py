@@ -33,7 +33,8 @@ POINT = 20
 SIDES = ("BID", "ASK")
 #: Owner of the index of aggregate prices; a venue owns its own.
 ALL = ""
-_COLUMNS = ["seq", "ord", "book_seq", "row_kind", "side", "price_raw", "size_raw", "live_venues"]
+#: Output columns with their pandas types: whole numbers stay exact beside missing ones, and texts are plain objects.
+_COLUMNS = {"seq": "int64", "ord": "int64", "book_seq": "int64", "row_kind": object, "side": object, "price_raw": "Int64", "size_raw": "Int64", "live_venues": object}
 
 
 class Cells:
@@ -204,9 +205,9 @@ class BookProcessor(StatefulProcessor):
 
 
 def _frame(book, rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=_COLUMNS).astype({"price_raw": "Int64", "size_raw": "Int64"})
-    made.insert(0, "book", book)
-    return made
+    columns = zip(*rows, strict=True) if rows else [()] * len(_COLUMNS)
+    made = {c: pd.Series(x, dtype=kind) for (c, kind), x in zip(_COLUMNS.items(), columns, strict=True)}
+    return pd.DataFrame({"book": pd.Series([book] * len(rows), dtype=object), **made})
 
 
 def live_book(levels: DataFrame, heartbeat_ms: int | None = None, initial: DataFrame | None = None, point: int = POINT) -> DataFrame:

@@ -34,13 +34,16 @@ from .book import POINT, live_book
 
 ROUTED = "route string, book string, venue string, symbol string, conn_epoch bigint, recv_seq bigint, ord int, kind string, since bigint, levels string"
 COLUMNS = [c.split()[0] for c in ROUTED.split(", ")]
+TEXTS = [c for c, kind in (x.split() for x in ROUTED.split(", ")) if kind == "string"]
 #: Control rows to a venue, before anything else that the same message triggers.
 SEEN, GAP = "SEEN", "GAP"
 LEVELS = "ARRAY<STRUCT<side: STRING, price_raw: BIGINT, size_raw: BIGINT>>"
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({"since": "Int64"})
+    columns = zip(*rows, strict=True) if rows else [()] * len(COLUMNS)
+    kinds = dict.fromkeys(TEXTS, object) | {"since": "Int64"}
+    return pd.DataFrame({c: pd.Series(x, dtype=kinds.get(c, "int64")) for c, x in zip(COLUMNS, columns, strict=True)})
 
 
 class SymbolProcessor(StatefulProcessor):
@@ -96,7 +99,9 @@ class ConnectionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0].startswith("book "):
-            yield from rows
+            for frame in rows:
+                # Text columns as they come may be Arrow arrays in several chunks, which can't be handed back as they are.
+                yield frame.astype(dict.fromkeys(TEXTS, object) | {"since": "Int64"})
             return
         epoch, dropped = self.connection.get() if self.connection.exists() else (None, None)
         members = {k[0]: v[0] for k, v in self.members.iterator()}
@@ -131,7 +136,10 @@ class ConnectionProcessor(StatefulProcessor):
 
 def session_levels(raw: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """A stream of level rows, as ``live_book`` takes them, from a stream of raw venue texts."""
-    messages = session_messages(normalize_messages(raw), subscriptions)
+    normal = normalize_messages(raw)
+    # A generator's output isn't put in place of its columns by the optimiser: a text is parsed once, however many filters follow.
+    normal = normal.select(F.inline(F.array(F.struct(*normal.columns))))
+    messages = session_messages(normal, subscriptions)
     tagged = lambda c, side: F.transform(c, lambda x: F.struct(F.lit(side).alias("side"), x["price_raw"].alias("price_raw"), x["size_raw"].alias("size_raw")))
     rows = messages.select(*KEY, "recv_seq", *IDS, "bad", "book", F.to_json(F.concat(tagged("bids", "BID"), tagged("asks", "ASK"))).alias("levels"))
     ruled = rows.groupBy(*KEY).transformWithStateInPandas(SymbolProcessor(), ROUTED, "append", "none")
