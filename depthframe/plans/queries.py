@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthframe.functions import fixed, labels, symbols
-from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync
+from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync, time_travel
 from depthframe.sources.messages import read_raw_messages, write_in_order
 from depthframe.sources.shared import materialize, scratch
 from depthframe.streaming.book import live_book
@@ -83,6 +83,32 @@ def book_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.book_as_of(intervals, F.col("at"))
 
 
+_URGENT = "p AS (SELECT CAST(o_orderkey % 4 AS INT) AS book, o_orderkey AS seq FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in time: a book just after each urgent order."""
+    return fixture.read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("CAST(o_orderkey % 4 AS INT) AS book", "o_orderkey AS seq")
+
+
+@query(f"""{sql.BASE}, {_URGENT} SELECT p.book, p.seq, side, price_raw, CAST(sum(size_raw) AS BIGINT) AS size_raw
+FROM p JOIN iv ON iv.book = p.book AND from_seq <= p.seq AND (to_seq IS NULL OR to_seq > p.seq) GROUP BY ALL""")
+def books_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_travel.books_as_of(book.level_intervals(fixture.levels(spark, sf_dir)), _urgent(spark, sf_dir))
+
+
+@query(f"""{sql.FULL}, {_URGENT}, r AS (SELECT DISTINCT d.book, d.seq, book_seq FROM diffs d JOIN p ON d.book = p.book AND d.seq = p.seq)
+SELECT r.book, r.book_seq, side, price_raw, CAST(sum(size_raw) AS BIGINT) AS size_raw
+FROM r JOIN iv ON iv.book = r.book AND from_seq <= r.seq AND (to_seq IS NULL OR to_seq > r.seq) GROUP BY ALL""")
+def books_from_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book at the revisions that urgent orders made, from keyframes."""
+    diffs = materialize(_diffs(spark, sf_dir), "keyframe-diffs")
+    root = f"{scratch(spark)}/keyframes-{uuid.uuid4().hex}"
+    time_travel.write_keyframes(diffs, root)
+    at = diffs.join(_urgent(spark, sf_dir), ["book", "seq"]).select("book", "book_seq")
+    return time_travel.books_from_keyframes(spark.read.parquet(root), at)
+
+
 @query(f"{sql.FULL}, p AS (SELECT book, max(book_seq) // 3 AS n FROM diffs GROUP BY book), s AS (SELECT d.book, side, price_raw, arg_max(size_raw, book_seq) AS size_raw FROM diffs d JOIN p ON d.book = p.book AND d.book_seq <= p.n GROUP BY ALL) SELECT * FROM s WHERE size_raw > 0")
 def book_at_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     diffs = _diffs(spark, sf_dir)
