@@ -1,14 +1,16 @@
 """Depth bands after every revision of a book, by block replay.
 
 The blocks are those of ``bbo.replay_blocks``: each holds the book before it, so a long history spreads over many tasks and
-a task holds one block and one book. A side's bands are computed anew only when the side changed; the arithmetic is that
-of ``bands`` on plain integers, so the rows equal ``bands.price_bands`` and ``bands.volume_bands`` of each revision's book.
+a task holds one block and one book. A side's prices within a block are known beforehand, so its levels stand in prefix-sum
+trees over them: a change, a band's sums and the level that fills a notional each take a few steps for every doubling of
+the depth. A side's bands are computed anew only when the side changed; the arithmetic is that of ``bands`` on plain
+integers, so the rows equal ``bands.price_bands`` and ``bands.volume_bands`` of each revision's book.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,29 +20,64 @@ from depthframe.types import INT64_MAX, INT128_MAX, OUT_OF_DOMAIN, OUT_OF_RANGE,
 from .bands import DEFAULT_BPS, DEFAULT_NOTIONALS, OK, SIDES, check_bps, check_thresholds
 from .bbo import REVISIONS_PER_BLOCK, replay_blocks
 
-Level = tuple[int, int]
+#: What is summed over a side's levels: how many there are, their sizes and notionals, and those with a bad price or size or a
+#: notional out of range.
+COUNT, SIZE, NOTIONAL, BAD, LOST = range(5)
 
 
 class Ladder:
-    """One side of a book, best level first."""
+    """One side of a book, best price first, as prefix-sum trees over all prices that it will hold."""
 
-    def __init__(self, side: str):
+    def __init__(self, side: str, prices: Iterable[int]):
         self.sign = 1 if side == "ASK" else -1
-        self.order: list[int] = []
-        self.sizes: dict[int, int] = {}
+        self.keys = sorted({self.sign * p for p in prices})
+        self.at = {key: i for i, key in enumerate(self.keys)}
+        self.held: list[tuple[int, ...]] = [(0,) * 5] * len(self.keys)
+        self.trees = [[0] * (len(self.keys) + 1) for _ in range(5)]
+        self.totals = [0] * 5
+        self.top = 1 << max(0, len(self.keys).bit_length() - 1)
 
-    def put(self, price: int, size: int) -> None:
-        key = self.sign * price
-        if not size:
-            if self.sizes.pop(key, None) is not None:
-                del self.order[bisect_left(self.order, key)]
-            return
-        if key not in self.sizes:
-            insort(self.order, key)
-        self.sizes[key] = size
+    def price(self, i: int) -> int:
+        return self.sign * self.keys[i]
 
-    def levels(self) -> Iterator[Level]:
-        return ((self.sign * k, self.sizes[k]) for k in self.order)
+    def put(self, price: int, size: int) -> None:
+        i, new = self.at[self.sign * price], (0,) * 5
+        if size:
+            n = _notional(price, size)
+            new = (1, size, n or 0, int(price <= 0 or size < 0), int(n is None))
+        for k, (tree, old, value) in enumerate(zip(self.trees, self.held[i], new, strict=True)):
+            if value == old:
+                continue
+            self.totals[k] += value - old
+            j = i + 1
+            while j < len(tree):
+                tree[j] += value - old
+                j += j & -j
+        self.held[i] = new
+
+    def first(self, what: int, i: int) -> int:
+        """The sum over the first i prices."""
+        tree, out = self.trees[what], 0
+        while i:
+            out += tree[i]
+            i &= i - 1
+        return out
+
+    def reach(self, what: int, target: int) -> int:
+        """The place of the first price with which the sum, of numbers that aren't negative, is target or more."""
+        tree, at, step = self.trees[what], 0, self.top
+        while step:
+            if at + step < len(tree) and tree[at + step] < target:
+                at += step
+                target -= tree[at]
+            step >>= 1
+        return at
+
+    def within(self, reference: int, bps: int) -> int:
+        """How many prices are at most so many basis points worse than reference."""
+        if self.sign > 0:
+            return bisect_right(self.keys, reference * (10000 + bps) // 10000)
+        return bisect_right(self.keys, -reference * (10000 - bps) // 10000)
 
 
 def _narrow(n: int | None) -> int | None:
@@ -60,28 +97,20 @@ def _notional(price: int, size: int) -> int | None:
 
 def price_rows(side: str, ladder: Ladder, bps: list[int]) -> list[tuple]:
     """(ord, bps, boundary_raw, cum_size_raw, cum_notional_raw, status) of each band of a side that has levels."""
-    reference, bad, lost = None, False, False
-    sizes, notionals = [0] * len(bps), [0] * len(bps)
-    band = 0
-    for price, size in ladder.levels():
-        if reference is None:
-            reference, bad = price, price <= 0
-        while band < len(bps) and (price * 10000 > reference * (10000 + bps[band]) if side == "ASK" else price * 10000 < reference * (10000 - bps[band])):
-            band += 1
-        bad = bad or price <= 0 or size < 0
-        if band == len(bps):
-            break
-        n = _notional(price, size)
-        lost = lost or n is None
-        sizes[band] += size
-        notionals[band] += n or 0
-    if reference is None:
+    if not ladder.totals[COUNT]:
         return []
-    rows, total_size, total_notional = [], 0, 0
+    reference = ladder.price(ladder.reach(COUNT, 1))
+    rows = []
     for i, b in enumerate(bps):
-        total_size, total_notional = total_size + sizes[i], total_notional + notionals[i]
+        inside = ladder.within(reference, b)
         edge = reference * (10000 + b) // 10000 if side == "ASK" else -(-reference * (10000 - b) // 10000)
-        rows.append((i, b, _narrow(edge), _narrow(total_size), _narrow(total_notional)))
+        rows.append((i, b, _narrow(edge), _narrow(ladder.first(SIZE, inside)), _narrow(ladder.first(NOTIONAL, inside))))
+    # What counts besides is whether the levels within the widest band, and the first one beyond, are good.
+    widest = ladder.within(reference, bps[-1]) if bps else 0
+    bad, there = reference <= 0 or ladder.first(BAD, widest) > 0, ladder.first(COUNT, widest)
+    if not bad and there < ladder.totals[COUNT]:
+        bad = bool(ladder.held[ladder.reach(COUNT, there + 1)][BAD])
+    lost = ladder.first(LOST, widest) > 0
     status = OUT_OF_DOMAIN if bad else OUT_OF_RANGE if lost or any(x is None for r in rows for x in r) else OK
     return [(*r, OK) if status == OK else (*r[:2], None, None, None, status) for r in rows]
 
@@ -100,21 +129,17 @@ def _price_within(cum_notional: int, cum_size: int, rest: int, price: int) -> in
 
 def volume_rows(ladder: Ladder, thresholds: list[int]) -> list[tuple]:
     """(ord, threshold_raw, vwap_raw, filled_raw, status) of each notional of a side; a side without levels fills nothing."""
-    total, size_before, bad, lost, k = 0, 0, False, False, 0
+    total = ladder.totals[NOTIONAL]
+    status = OUT_OF_DOMAIN if ladder.totals[BAD] else OUT_OF_RANGE if ladder.totals[LOST] or _narrow(total) is None else OK
     prices: list[int | None] = []
-    for price, size in ladder.levels():
-        bad = bad or price <= 0 or size < 0
-        n = _notional(price, size)
-        if n is None:
-            lost = True
-            continue
-        if not bad:
-            while k < len(thresholds) and total < thresholds[k] <= total + n:
-                rest = thresholds[k] - total
-                prices.append(_price_of(thresholds[k], size_before + size) if rest == n else _price_within(total, size_before, rest, price))
-                k += 1
-        total, size_before = total + n, size_before + size
-    status = OUT_OF_DOMAIN if bad else OUT_OF_RANGE if lost or _narrow(total) is None or None in prices else OK
+    for t in thresholds if status == OK else []:
+        if t > total:
+            break
+        i = ladder.reach(NOTIONAL, t)
+        before, size_before, (_, size, n, _, _) = ladder.first(NOTIONAL, i), ladder.first(SIZE, i), ladder.held[i]
+        prices.append(_price_of(t, size_before + size) if t - before == n else _price_within(before, size_before, t - before, ladder.price(i)))
+    if None in prices:
+        status = OUT_OF_RANGE
     if status != OK:
         return [(i, t, None, None, status) for i, t in enumerate(thresholds)]
     return [(i, t, prices[i], t, OK) if i < len(prices) else (i, t, None, total, OK) for i, t in enumerate(thresholds)]
@@ -128,8 +153,8 @@ def _replayed(diffs: DataFrame, side_rows: Callable[[str, Ladder], list[tuple]],
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("book_seq")
-        ladders = {s: Ladder(s) for s in SIDES}
         numbers, sides, prices, sizes = (block[c].to_pylist() for c in ("book_seq", "side", "price_raw", "size_raw"))
+        ladders = {s: Ladder(s, (p for p, own in zip(prices, sides, strict=True) if own == s)) for s in SIDES}
         out: list[tuple] = []
         known = {s: side_rows(s, ladders[s]) for s in SIDES}
         stale = set(SIDES)
@@ -141,7 +166,7 @@ def _replayed(diffs: DataFrame, side_rows: Callable[[str, Ladder], list[tuple]],
             for s in stale:
                 known[s] = side_rows(s, ladders[s])
             stale = set()
-            if both and not any(x.order for x in ladders.values()):
+            if both and not any(x.totals[COUNT] for x in ladders.values()):
                 continue
             out += [(number, s, *r) for s in SIDES for r in known[s]]
         columns = list(zip(*out, strict=True)) or [[]] * (len(names) - 1)

@@ -1,12 +1,13 @@
 """Bands after every revision against the bands of each revision's book."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from depthframe.operators import bands
-from depthframe.operators.revision_bands import price_bands_by_revision, volume_bands_by_revision
+from depthframe.operators.revision_bands import Ladder, price_bands_by_revision, price_rows, volume_bands_by_revision, volume_rows
 
 DIFF = "book int, seq long, book_seq long, side string, price_raw long, size_raw long"
 BPS, NOTIONALS = [0, 50, 200, 9999], [10**9, 7 * 10**9, 10**12]
@@ -52,3 +53,20 @@ def test_volume_bands(diffs, block):
 def test_no_rows(diffs):
     assert price_bands_by_revision(diffs.where("false"), BPS).count() == 0
     assert volume_bands_by_revision(diffs.where("false"), NOTIONALS).count() == 0
+
+
+def test_cost_does_not_follow_depth():
+    """4,000 changes of a side and all its bands after each, on 1,000 and on 128,000 levels."""
+    took = []
+    for depth in (1000, 128_000):
+        rng = random.Random(depth)
+        ladder = Ladder("ASK", range(10**9, 10**9 + depth))
+        for p in range(10**9, 10**9 + depth):
+            ladder.put(p, 5)
+        began = time.perf_counter()
+        for _ in range(4000):
+            ladder.put(10**9 + rng.randrange(depth), rng.randrange(9))
+            price_rows("ASK", ladder, [0, 50, 9999])
+            volume_rows(ladder, [10**6, 10**9, 10**18])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
