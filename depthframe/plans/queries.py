@@ -12,6 +12,7 @@ from depthframe.functions import fixed, labels, symbols
 from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync, time_travel
 from depthframe.sources.messages import read_raw_messages, write_in_order
 from depthframe.sources.shared import materialize, scratch
+from depthframe.sources.sinks import read_output, stream_outputs
 from depthframe.streaming.book import live_book
 from depthframe.streaming.session import live_session
 
@@ -201,19 +202,24 @@ def top_n_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Consumers
 
 
+def _client_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the consumer receives, whose plan names the diffs twice; the chain before them runs once."""
+    return fixture.client_stream(materialize(_diffs(spark, sf_dir), "client-diffs"))
+
+
 @query(f"{sql.FULL}, {sql.CLIENT}, held AS (SELECT book, side, price_raw, arg_max(size_raw, arrival) AS size_raw FROM stream GROUP BY ALL) SELECT * FROM held WHERE size_raw > 0")
 def client_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.client_book(fixture.client_stream(_diffs(spark, sf_dir)))
+    return client.client_book(_client_stream(spark, sf_dir))
 
 
 @query(f"{sql.FULL}, {sql.CLIENT} SELECT * FROM gap")
 def client_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.gaps(fixture.client_stream(_diffs(spark, sf_dir)))
+    return client.gaps(_client_stream(spark, sf_dir))
 
 
 @query(f"{sql.FULL}, {sql.CLIENT}, stop AS (SELECT book, min(arrival) AS stop FROM gap GROUP BY book) SELECT s.book, arrival, book_seq, side, price_raw, size_raw FROM stream s LEFT JOIN stop ON s.book = stop.book WHERE stop IS NULL OR arrival < stop")
 def client_stop_at_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.before_first_gap(fixture.client_stream(_diffs(spark, sf_dir))).drop("row_kind", "pos")
+    return client.before_first_gap(_client_stream(spark, sf_dir)).drop("row_kind", "pos")
 
 
 @query(f"""{sql.FULL}, {sql.HELD}, {sql.BBO} SELECT book, book_seq, last_value(b.bid_price_raw IGNORE NULLS) OVER w AS bid_price_raw, last_value(b.ask_price_raw IGNORE NULLS) OVER w AS ask_price_raw
@@ -226,7 +232,7 @@ def bbo_l2_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{sql.FULL}, {sql.CLIENT} SELECT book, count(*) FILTER (row_kind = 'SNAPSHOT') AS snapshots, count(*) FILTER (row_kind = 'DIFF') AS diffs, count(*) FILTER (book_seq <> previous + 1) AS gaps, CAST(sum(levels) AS BIGINT) AS levels, max(book_seq) AS last_book_seq FROM upd GROUP BY book")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.run_summary(fixture.client_stream(_diffs(spark, sf_dir)))
+    return client.run_summary(_client_stream(spark, sf_dir))
 
 
 # Sequence rules
@@ -491,22 +497,28 @@ BATCH_ROWS = 100_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All rows that a stream makes of a table that is recorded and read file by file, each a range of ``order``."""
+def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None) -> DataFrame | None:
+    """All rows that a stream makes of a table that is recorded and read file by file, each a range of ``order``.
+
+    ``start`` (rows, checkpoint) starts a query with sinks of its own instead.
+    """
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     write_in_order(source, order, f"{root}/in", BATCH_ROWS)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
-        run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        if start:
+            run = start(rows, f"{root}/state")
+        else:
+            run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
         if before:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return None if start else spark.read.schema(rows.schema).parquet(f"{root}/out")
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,3 +559,15 @@ def stream_snapshot_then_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = _run(spark, levels, "seq", lambda rows: live_book(rows, initial=initial)).where("row_kind = 'DIFF'").select("book", "book_seq", "row_kind", "side", "price_raw", "size_raw")
     first = book.aggregate_book(initial.where("side IS NOT NULL"), "book_seq").withColumn("row_kind", F.lit("SNAPSHOT"))
     return first.select(*later.columns).unionByName(later)
+
+
+@query(f"{sql.FULL}, {sql.HELD}, {sql.BBO} SELECT * FROM bbo")
+def stream_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best prices of the live book, from one of three tables that its stream writes exactly once."""
+    root = f"{scratch(spark)}/outputs-{uuid.uuid4().hex}"
+    kinds = {"diffs": "DIFF", "tops": "BBO", "live": "LIVE"}
+    outputs = {name: lambda batch, kind=kind: batch.where(F.col("row_kind") == kind) for name, kind in kinds.items()}
+    _run(spark, fixture.levels(spark, sf_dir), "seq", live_book, lambda rows, checkpoint: stream_outputs(rows, root, checkpoint, outputs, availableNow=True))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("price_raw", "size_raw")))
+    tops = read_output(spark, root, "tops").groupBy("book", "seq", "book_seq").agg(side("BID").alias("b"), side("ASK").alias("a"))
+    return tops.selectExpr("book", "seq", "book_seq", "b.price_raw AS bid_price_raw", "b.size_raw AS bid_size_raw", "a.price_raw AS ask_price_raw", "a.size_raw AS ask_size_raw")

@@ -110,18 +110,24 @@ def script(policy, *events):
 
 
 def test_sync_rules():
+    # One request for a connection, however often it is set up.
     assert script("futures", ("c",), ("c",)) == ["REQUEST_SNAPSHOT"]
-    assert script("futures", ("u", 100, 150, 99), ("u", 151, 160, 150), ("u", 161, 165, 160), ("s", 160)) == ["SNAPSHOT3", "DELTA1", "DELTA2"]
-    assert script("futures", ("u", 100, 100, 99), ("s", 100), ("u", 151, 160, 50), ("s", 155)) == ["SNAPSHOT1", "DELTA0", "INVALIDATE", "SNAPSHOT3", "DELTA2"]
-    assert script("futures", ("s", 5), ("u", 9, 9, 8), ("s", 6)) == ["REQUEST_SNAPSHOT", "REQUEST_SNAPSHOT"]
-    assert script("spot", ("u", 1, 5, 0), ("u", 6, 8, 0), ("s", 5), ("u", 9, 9, 0), ("u", 11, 11, 0)) == ["SNAPSHOT2", "DELTA1", "DELTA3", "INVALIDATE"]
-    assert script("bybit", ("s", 7), ("u", 8, 8, 0), ("u", 10, 10, 0), ("s", 9)) == ["SNAPSHOT0", "DELTA1", "INVALIDATE", "SNAPSHOT3", "DELTA2"]
-    assert script("bybit", ("u", 3, 3, 0), ("s", 7)) == ["INVALIDATE"]
-    assert script("okx", ("s", 10), ("u", 15, 15, 10), ("u", 15, 15, 15), ("u", 3, 3, 15), ("u", 5, 5, 3)) == ["SNAPSHOT0", "DELTA1", "DELTA2", "DELTA3", "DELTA4"]
-    assert script("okx", ("u", 3, 3, 15), ("u", 5, 5, 3), ("s", 3)) == ["SNAPSHOT2", "DELTA1"]
-    assert script("okx", ("s", 1), ("d",), ("s", 4)) == ["SNAPSHOT0", "INVALIDATE", "SNAPSHOT2"]
+    # The update that ends where the snapshot does bridges it; the one before goes.
+    assert script("futures", ("u", 40, 47, 39), ("u", 48, 52, 47), ("u", 53, 60, 52), ("s", 52)) == ["SNAPSHOT3", "DELTA1", "DELTA2"]
+    # A gap while live, then a snapshot that what came after it bridges.
+    assert script("futures", ("u", 7, 7, 6), ("s", 7), ("u", 20, 26, 11), ("s", 23)) == ["SNAPSHOT1", "DELTA0", "INVALIDATE", "SNAPSHOT3", "DELTA2"]
+    # No bridge: ask again.
+    assert script("futures", ("s", 30), ("u", 44, 44, 43), ("s", 31)) == ["REQUEST_SNAPSHOT", "REQUEST_SNAPSHOT"]
+    assert script("spot", ("u", 20, 24, 0), ("u", 25, 31, 0), ("s", 24), ("u", 32, 32, 0), ("u", 34, 35, 0)) == ["SNAPSHOT2", "DELTA1", "DELTA3", "INVALIDATE"]
+    # Pushed snapshots need no bridge if nothing came before them.
+    assert script("bybit", ("s", 70), ("u", 71, 71, 0), ("u", 74, 74, 0), ("s", 73)) == ["SNAPSHOT0", "DELTA1", "INVALIDATE", "SNAPSHOT3", "DELTA2"]
+    assert script("bybit", ("u", 12, 12, 0), ("s", 40)) == ["INVALIDATE"]
+    # Ids may repeat and start anew as long as each names the one before.
+    assert script("okx", ("s", 200), ("u", 230, 230, 200), ("u", 230, 230, 230), ("u", 9, 9, 230), ("u", 12, 12, 9)) == ["SNAPSHOT0", "DELTA1", "DELTA2", "DELTA3", "DELTA4"]
+    assert script("okx", ("u", 9, 9, 230), ("u", 12, 12, 9), ("s", 9)) == ["SNAPSHOT2", "DELTA1"]
+    assert script("okx", ("s", 17), ("d",), ("s", 25)) == ["SNAPSHOT0", "INVALIDATE", "SNAPSHOT2"]
     # A gap within what was held: what follows it stays for the next snapshot.
-    assert script("futures", ("u", 1, 2, 0), ("u", 5, 6, 4), ("s", 2), ("s", 5)) == ["SNAPSHOT2", "DELTA0", "INVALIDATE", "SNAPSHOT3", "DELTA1"]
+    assert script("futures", ("u", 80, 83, 79), ("u", 90, 92, 88), ("s", 81), ("s", 91)) == ["SNAPSHOT2", "DELTA0", "INVALIDATE", "SNAPSHOT3", "DELTA1"]
 
 
 def test_actions_and_episodes_agree(spark, testdata):
