@@ -15,6 +15,7 @@ from depthframe.sources.shared import materialize, scratch
 from depthframe.sources.sinks import read_output, stream_outputs
 from depthframe.streaming.book import live_book
 from depthframe.streaming.session import live_session
+from depthframe.streaming.silence import live_silence
 
 from . import fixture, session_fixture
 from . import oracles as sql
@@ -571,3 +572,15 @@ def stream_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: F.max(F.when(F.col("side") == s, F.struct("price_raw", "size_raw")))
     tops = read_output(spark, root, "tops").groupBy("book", "seq", "book_seq").agg(side("BID").alias("b"), side("ASK").alias("a"))
     return tops.selectExpr("book", "seq", "book_seq", "b.price_raw AS bid_price_raw", "b.size_raw AS bid_size_raw", "a.price_raw AS ask_price_raw", "a.size_raw AS ask_size_raw")
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id % 6 AS INT) AS venue, epoch_us(ts) AS t FROM events), g AS (SELECT venue, t, lag(t) OVER (PARTITION BY venue ORDER BY t) AS p FROM e)
+SELECT venue, 'CLOSED' AS status, p AS from_us, t - p AS silent_us, CAST({_TIMEOUT_SQL} AS INT) AS timeout FROM g WHERE t - p > {_TIMEOUT_SQL} * CAST(1000000 AS BIGINT)
+UNION ALL SELECT venue, 'OPEN', max(t), NULL, CAST({_TIMEOUT_SQL} AS INT) FROM e GROUP BY venue HAVING max(t) + {_TIMEOUT_SQL} * CAST(1000000 AS BIGINT) < (SELECT max(t) - 1000000 FROM e)""")
+def stream_silent_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of a stream of messages: those that have ended, and those that still last at its end."""
+    talk = liveness.with_timeout(_talk(spark, sf_dir), _timeouts(spark, sf_dir), 1800).select("venue", F.col("ts").cast("timestamp").alias("ts"), "timeout")
+    found = materialize(_run(spark, talk, "ts", live_silence), "stream-silence")
+    closed = found.where("status = 'CLOSED'")
+    rows = closed.unionByName(found.where("status = 'OPEN'").join(closed, ["venue", "silent_from"], "left_anti").select(*found.columns))
+    return rows.select("venue", "status", liveness.micros(F.col("silent_from")).alias("from_us"), "silent_us", "timeout")

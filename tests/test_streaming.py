@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from depthframe.operators import bbo, book, sync
 from depthframe.plans import fixture
-from depthframe.sources.messages import stream_table
+from depthframe.sources.messages import stream_table, write_in_order
 from depthframe.streaming.book import live_book, silent_sessions
+from depthframe.streaming.silence import live_silence
 from depthframe.streaming.sync import live_sync
 
 
@@ -105,3 +106,19 @@ def test_silent_sessions(spark, tmp_path):
         run.stop()
     got = sorted((r.start, r.messages) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, 2), (100, 2)]
+
+
+def test_silence_by_event_time(spark, tmp_path):
+    """Venue 1 is silent, is heard again, and falls silent for good; venue 2's longer timeout never passes; venue 3 only just lasts."""
+    rows = [(1, 0, 30), (2, 0, 900), (1, 10, 30), (3, 10, 40), (3, 50, 40), (1, 100, 30), (2, 100, 900), (3, 91, 40), (2, 400, 900), (3, 130, 40), (3, 400, 40)]
+    frame = spark.createDataFrame(rows, "venue int, s long, timeout int").selectExpr("venue", "timestamp_seconds(s) AS ts", "timeout")
+    write_in_order(frame, "ts", str(tmp_path / "in"), 2)
+    with rocksdb(spark):
+        found = live_silence(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        run = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).selectExpr("venue", "status", "unix_seconds(silent_from) AS s", "silent_us", "timeout").collect()
+    closed = sorted(tuple(r) for r in got if r.status == "CLOSED")
+    assert closed == [(1, "CLOSED", 10, 90_000_000, 30), (3, "CLOSED", 50, 41_000_000, 40), (3, "CLOSED", 130, 270_000_000, 40)]
+    opened = {(r.venue, r.s) for r in got if r.status == "OPEN"}
+    assert (1, 100) in opened and opened <= {(1, 10), (1, 100), (3, 50), (3, 130)}
