@@ -6,7 +6,8 @@ fewer than ``EXAMPLE_OWNERS`` owners hold, in however many repositories, and tha
 candidates become spans of kind ``live``. A value that more owners hold is a widely copied example: it is reported, and
 adds nothing. Base hits stay whatever the counts say; the class of every hit is reported beside it.
 
-How it scales. A scan reads each text once per pattern and writes only its hits. Counts go by (value, owner) first,
+How it scales. A scan goes over each text four times a pattern (whether it is there, its matches, their values, the text
+between them) and writes only its hits; the time for n hits of a text grows as n ** 1.5. Counts go by (value, owner) first,
 with partial sums, and by value then, so a value that a third of all rows hold is a few rows per task before any
 shuffle. What is joined back is joined on the value's hash, where Spark can split a hot value.
 
@@ -43,7 +44,7 @@ def find_all(text: Column, rank: int, kind: str, pattern: str, group: int, least
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, regex, F.lit(group))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
-    done = F.struct(F.lit(0).alias("at"), F.lit([]).cast(SPAN).alias("found"))
+    begun = lambda at, found, kind: F.struct(at.alias("at"), found.cast(kind).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -51,7 +52,19 @@ def find_all(text: Column, rank: int, kind: str, pattern: str, group: int, least
         span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, done, step, lambda acc: acc["found"])).otherwise(F.lit([]).cast(SPAN))
+    def placed(all_pairs: Column) -> Column:
+        # An array is copied when one more is put to it. So n pairs go by runs of about the root of n, and runs are put together.
+        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+        runs = F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / width).cast("int"))
+
+        def run(acc: Column, k: Column) -> Column:
+            ended = lambda own: begun(own["at"], F.concat(acc["found"], F.array(own["found"])), f"array<{SPAN}>")
+            return F.aggregate(F.slice(all_pairs, k * width + 1, width), begun(acc["at"], F.lit([]), SPAN), step, ended)
+
+        return F.aggregate(runs, begun(F.lit(0), F.lit([]), f"array<{SPAN}>"), run, lambda acc: F.flatten(acc["found"]))
+
+    # The pairs are one element of an array, so that they are made once though they are named several times.
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(pairs), placed), F.lit(0))).otherwise(F.lit([]).cast(SPAN))
 
 
 def looks_random(value: Column) -> Column:
@@ -127,7 +140,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     The columns and their order stay; n_chars, where there is one, follows the text. The patterns read each text once: rows
     are written with their hits, and only rows with a hit are shuffled.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("row")
     found = hits(docs, owner, repository, row).withColumn("__id", F.monotonically_increasing_id())
     suspect = lambda s: s["random"] | s["kind"].isin("assign", "access")
     place = lambda s: F.struct(s["hash"].alias("hash"), s["value_start"].alias("value_start"), s["end"].alias("end"))
@@ -137,16 +150,19 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", m
     live = ownership(spans, example_owners).where(F.col("class") == "live").select("hash")
     cuts = spans.join(live, "hash").groupBy("__id").agg(F.sort_array(F.collect_set(F.struct("value_start", "end"))).alias("__cuts"))
 
-    touched = found.where(F.size("__hits") > 0).select("__id", "row").join(cuts, "__id", "left").select("row.*", "__cuts")
+    touched = found.where(F.size("__hits") > 0).select("__id", "row").join(cuts, "__id", "left").select("row", "__cuts")
+    text = F.col("row.text").cast("string")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
         upto = F.greatest(s["value_start"], acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, upto - acc["at"]), F.lit(mark)).alias("out"))
+        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, upto - acc["at"]), F.lit(mark)).alias("out"))
         return F.when(s["end"] > acc["at"], new).otherwise(acc)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
-    touched = touched.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.aggregate("__cuts", begin, cut, rest)))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.aggregate("__cuts", begin, cut, rest)
+    changed = F.col("row").withField("text", clean.cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return found.where(F.size("__hits") == 0).select("row.*").unionByName(touched.select(*docs.columns))
+        changed = changed.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    touched = touched.select(F.when(F.col("__cuts").isNull(), F.col("row")).otherwise(changed).alias("row"))
+    return found.where(F.size("__hits") == 0).select("row").unionByName(touched).select("row.*")
