@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthframe.functions import fixed, labels, symbols
-from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync, time_travel
+from depthframe.operators import bands, bbo, book, client, liveness, normalize, revision_bands, routing, session, sync, sync_sets, time_travel
 from depthframe.sources.messages import read_raw_messages, write_in_order
 from depthframe.sources.shared import materialize, scratch
 from depthframe.sources.sinks import read_output, stream_outputs
@@ -291,11 +291,38 @@ def sync_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_episodes(fixture.updates(spark, sf_dir), "futures")
 
 
-@query()
+# The state machine, all connections one message further at each step: held updates as a list, actions as a list.
+_ACTIONS = f"""WITH RECURSIVE {_UPD}, m AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol, conn_epoch ORDER BY recv_seq) AS n FROM upd),
+st AS (
+  SELECT venue, symbol, conn_epoch, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS recv_seq, false AS live, CAST(0 AS BIGINT) AS last,
+    CAST([] AS STRUCT(s BIGINT, f BIGINT, e BIGINT, p BIGINT)[]) AS held, CAST([] AS STRUCT(a VARCHAR, m BIGINT)[]) AS acts FROM m GROUP BY venue, symbol, conn_epoch
+  UNION ALL
+  SELECT venue, symbol, conn_epoch, n, recv_seq,
+    CASE WHEN kind = 'DELTA' THEN live AND prev_final_id = last WHEN start = 0 THEN live ELSE cut IS NULL END,
+    CASE WHEN kind = 'DELTA' THEN CASE WHEN NOT live THEN last WHEN prev_final_id = last THEN final_id ELSE 0 END WHEN start = 0 THEN last WHEN cut IS NULL THEN rest[len(rest)].e ELSE 0 END,
+    CASE WHEN kind = 'DELTA' THEN CASE WHEN NOT live THEN list_append(held, me) WHEN prev_final_id = last THEN [] ELSE [me] END WHEN start = 0 THEN kept WHEN cut IS NULL THEN [] ELSE rest[cut:] END,
+    list_concat(CASE WHEN n = 1 THEN [{{'a': 'REQUEST_SNAPSHOT', 'm': CAST(NULL AS BIGINT)}}] ELSE [] END,
+      CASE WHEN kind = 'DELTA' THEN CASE WHEN NOT live THEN [] WHEN prev_final_id = last THEN [{{'a': 'DELTA', 'm': recv_seq}}] ELSE [{{'a': 'INVALIDATE', 'm': CAST(NULL AS BIGINT)}}] END
+        WHEN start = 0 THEN [{{'a': 'REQUEST_SNAPSHOT', 'm': CAST(NULL AS BIGINT)}}]
+        ELSE list_concat([{{'a': 'SNAPSHOT', 'm': recv_seq}}], list_transform(rest[1:coalesce(cut - 1, len(rest))], lambda h: {{'a': 'DELTA', 'm': h.s}}), CASE WHEN cut IS NULL THEN [] ELSE [{{'a': 'INVALIDATE', 'm': CAST(NULL AS BIGINT)}}] END) END)
+  FROM (SELECT *, list_filter(range(2, len(rest) + 1), lambda i: rest[i].p <> rest[i - 1].e)[1] AS cut
+    FROM (SELECT *, kept[start:] AS rest
+      FROM (SELECT *, coalesce(list_position(list_transform(kept, lambda h: h.f <= last_update_id AND last_update_id <= h.e), true), 0) AS start
+        FROM (SELECT m.*, st.live, st.last, st.held, list_filter(st.held, lambda h: h.e >= m.last_update_id) AS kept, {{'s': m.recv_seq, 'f': m.first_id, 'e': m.final_id, 'p': m.prev_final_id}} AS me
+          FROM st JOIN m ON st.venue = m.venue AND st.symbol = m.symbol AND st.conn_epoch = m.conn_epoch AND m.n = st.n + 1))))
+) SELECT venue, symbol, conn_epoch, recv_seq, CAST(i - 1 AS INT) AS ord, acts[i].a AS action, acts[i].m AS message_seq FROM (SELECT *, unnest(range(1, len(acts) + 1)) AS i FROM st)"""
+
+
+@query(_ACTIONS)
 def sync_actions_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_actions(fixture.updates(spark, sf_dir), "futures")
 
 
+@query(_ACTIONS)
+def sync_actions_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync_sets.sync_actions_by_sets(fixture.updates(spark, sf_dir), "futures")
+
+
 @query(f"WITH {_UPD}, f AS (SELECT venue, symbol, conn_epoch, min(recv_seq) AS recv_seq FROM upd GROUP BY ALL) SELECT venue, symbol, recv_seq FROM (SELECT *, lag(conn_epoch) OVER (PARTITION BY venue, symbol ORDER BY conn_epoch) AS p FROM f) WHERE p IS NOT NULL")
 def disconnect_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.disconnect_resets(fixture.updates(spark, sf_dir))
