@@ -41,5 +41,5 @@ def test_equal_to_the_state_machine(spark, policy):
     parts = {r.strange: r.n for r in marked(frame, policy).select(*KEY, "strange").distinct().groupBy("strange").count().withColumnRenamed("count", "n").collect()}
     assert parts[False] > 300 and parts[True] > 50
     taken = {a[5] for a in exact}
-    assert taken == {"REQUEST", "SNAPSHOT", "DELTA", "INVALIDATE"}
+    assert taken == {"REQUEST_SNAPSHOT", "SNAPSHOT", "DELTA", "INVALIDATE"}
     assert sync_actions_by_sets(frame.where("false"), policy).count() == 0
