@@ -6,7 +6,8 @@ WARC-Refers-To-Target-URI and WARC-Refers-To-Date, keep its target, and have a b
 payload digest stays with both. Record ids are name-based UUIDs of the source's id and the kind of record, so that
 reruns give the same files and links.
 
-How it scales. Every response is turned into its records where it lies; nothing is shuffled or gathered.
+How it scales. Every response is turned into its records where it lies; nothing is shuffled or gathered. A page is read
+forward, in time that grows with its length alone, whatever it leaves open.
 
 Defined cases: null HTML is an empty payload and null URL an empty target; repeated rows give repeated records (the
 same ids); an unclosed comment, script, style or tag ends with the page, other unclosed elements hide no text; an empty table gives no rows; other columns are not
@@ -35,29 +36,84 @@ DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
 # What is never shown: comments, scripts and styles, to the page's end if unclosed; other such elements only if they are closed.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<svg\b[^>]*/>|<(title|noscript|template|svg|iframe)\b[^>]*>(?:.*?</\2\s*>)?", re.I | re.S)
+_UNSEEN = ("script", "style", "title", "noscript", "template", "svg", "iframe")
+_OPEN = re.compile(rf"<(?:!--|(?:{'|'.join(f'(?P<{n}>{n})' for n in _UNSEEN)})\b[^>]*>)", re.I)
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in _UNSEEN}
 # A head without its end stops at the first tag that can't stand in one.
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=</?(?!(?:title|meta|link|base|basefont|bgsound|noscript|template|noframes)\b)[a-z])|\Z)", re.I | re.S)
+_HEAD = re.compile(r"<head\b[^>]*>", re.I)
+_HEAD_END = re.compile(r"</head\s*>|(?=</?(?!(?:title|meta|link|base|basefont|bgsound|noscript|template|noframes)\b)[a-z])", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_A = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+def _last_tag(page: str) -> int:
+    """Where the last tag ends: a search for whole tags that stops there doesn't read the rest anew at each open one."""
+    return page.rfind(">") + 1
+
+
+def _shown(page: str) -> str:
+    """The page without what is never shown, in one scan: no closing tag is searched for again once it is known to be missing."""
+    out, at, tags, missing = [], 0, _last_tag(page), set()
+    while m := _OPEN.search(page, at, tags):
+        out.append(page[at : m.start()])
+        name, at = m.lastgroup, m.end()
+        if name is None:
+            at = page.find("-->", at) + 3
+            if at < 3:
+                return " ".join(out) + " "
+        elif name not in missing and not (name == "svg" and m[0].endswith("/>")):
+            if end := _CLOSE[name].search(page, at):
+                at = end.end()
+            elif name in ("script", "style"):
+                return " ".join(out) + " "
+            else:
+                missing.add(name)
+    comment = page.find("<!--", max(at, tags))
+    out.append(page[at:] if comment < 0 else page[at:comment] + " ")
+    return " ".join(out)
+
+
+def _body(page: str) -> str:
+    """The page without its head."""
+    out, at, tags = [], 0, _last_tag(page)
+    while m := _HEAD.search(page, at, tags):
+        out.append(page[at : m.start()])
+        end = _HEAD_END.search(page, m.end())
+        at = end.end() if end else len(page)
+    return " ".join([*out, page[at:]])
 
 
 def plain_text(page: str) -> str:
     """The page's visible text: one line for each block, white space collapsed, entities resolved."""
-    marked = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _HIDDEN.sub(" ", page))))
+    marked = _TAG.sub("", _BREAK.sub("\n", _body(_shown(page))))
     lines = (" ".join(x.split()) for x in html.unescape(marked).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def title(page: str) -> str:
-    m = _TITLE.search(page)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+    m = _TITLE.search(page, 0, _last_tag(page))
+    if not m:
+        return ""
+    end = _CLOSE["title"].search(page, m.end())
+    return " ".join(html.unescape(page[m.end() : end.start() if end else len(page)]).split())
 
 
 def page_links(page: str) -> list[str]:
-    return [html.unescape(next(g for g in m if g) if any(m) else "") for m in _LINK.findall(page)]
+    """The href of every a tag; what is left open between two tags counts as part of the first."""
+    out, at = [], 0
+    while m := _A.search(page, at):
+        end = page.find(">", m.end())
+        at = end = end if end >= 0 else len(page)
+        for name in _HREF.finditer(page, m.end(), end):
+            if value := _VALUE.match(page, name.end()):
+                out.append(html.unescape(next((g for g in value.groups() if g), "")))
+                at = value.end()
+                break
+    return out
 
 
 def digest(data: bytes) -> str:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import time
 from html.parser import HTMLParser
 
 from depthframe.llm.warc import derivatives, page_links, plain_text, read_warc, responses, title, write_warc
@@ -52,6 +53,22 @@ def test_text_edges():
     assert plain_text("a<svg width=1 />b<svg><path/>c</svg>d") == "a b d" and plain_text("<noscript>e <iframe src=x>f") == "e f"
 
 
+OPEN = ["<svg>x", "<svg ", "<noscript>x", "<title>", "<title ", "<template>y", "<iframe>", "<a ", "<a href=", "<a href='", "<a href ", "<a>", "<head", "<head>", "<!--", "<script", "<style ", "</svg", "<p", "<", "href=", "<svg></noscript>"]
+
+
+def test_pages_of_open_tags_take_time_by_length():
+    def seconds(page):
+        start = time.process_time()
+        plain_text(page), title(page), page_links(page)
+        return time.process_time() - start
+
+    for piece in OPEN:
+        small, large = (min(seconds(piece * n) for _ in range(2)) for n in (20_000, 80_000))
+        assert large < 12 * small + 0.1, piece
+    assert plain_text("<svg>x" * 1000) == " ".join("x" * 1000) and page_links("<a <a href=x> <a href=\"y>z\"><a <a>") == ["x", "y>z"]
+    assert plain_text("a<svg>b<noscript>c</noscript>d</svg>e<iframe>f<!-- g") == "a e f" and plain_text("a<svg>b</p c<svg <!-- d") == "a b"
+
+
 def sha1(data):
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
