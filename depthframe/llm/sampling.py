@@ -19,7 +19,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
     """(doc_id, text, label as 0 or 1) of labelled rows outside the held-out fold, about ``sample_rows`` of them.
 
     Labels that are null or not 0 or 1, and ids that are null, teach nothing; an id labelled twice counts by its largest
-    label. The ids are chosen by a hash, so reruns agree and no order of the data matters.
+    label, and an id on several rows by its smallest text, so that copies don't add to the sample. The ids are chosen by a
+    hash, so reruns agree and no order of the data matters.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marks = marks.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -27,4 +28,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
     share = min(1.0, sample_rows / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(marks, "doc_id")
+    return texts.join(marks, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

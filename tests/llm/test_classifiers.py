@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthframe.llm import quality, toxicity
+from depthframe.llm.sampling import training_rows
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +159,11 @@ def test_paths():
      Predict: 1.0
 """
     assert [str(r) for r in quality.paths(text, ("a", "b"))] == ["a <= 1.5", "a <= 1.5 AND b <= 0.002", "a <= 1.5 AND b > 0.002", "a > 1.5"]
+
+
+def test_an_id_on_many_rows_is_one_row_of_the_sample(spark):
+    docs = spark.range(3000).selectExpr("CAST(1 AS LONG) AS doc_id", "concat('text ', lpad(id, 5, '0')) AS text").unionByName(spark.createDataFrame([(4, None), (9, "z")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (4, 0), (9, None)], "doc_id long, toxic int")
+    got = sorted(map(tuple, training_rows(docs, labels, "toxic").select("doc_id", "text", "label").collect()))
+    kept = [r for r in [(1, "text 00000", 1), (4, "", 0)] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert got == kept and kept
