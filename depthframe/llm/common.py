@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from depthframe.sources.shared import materialize
 
-__all__ = ["Powers", "RollingHash", "STEP_BYTES", "WORD", "in_order", "materialize", "mix64", "text_slices", "word_count"]
+__all__ = ["Powers", "RollingHash", "STEP_BYTES", "WORD", "in_order", "materialize", "mix64", "text_slices", "valid_text", "word_count"]
 
 #: A word is a maximal run of anything but ASCII white space, as bytes.split() has it too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def valid_text(column: str) -> Column:
+    """A column as text that Python can read: bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``step`` bytes of text (or one longer text)."""
     for batch in batches:

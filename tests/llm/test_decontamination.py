@@ -1,4 +1,5 @@
 import random
+import time
 
 from depthframe.llm.decontamination import Matcher, best_end, drop_contaminated, fold, matches, pattern_bits
 
@@ -57,9 +58,9 @@ ITEMS = [(7, "the quick brown fox jumps over the lazy dog and runs away."), (5,
 def test_small(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS row")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = sorted(((r.doc_id or 0), r.item_id, r.distance, r.start, r.places) for r in matches(docs, bench).collect())
+    got = sorted(((r.doc_id or 0), r.item_id, r.distance, r.start, r.places) for r in matches(docs, bench, word_items=16).collect())
     assert got == [(0, 5, 0, 0, 2), (1, 5, 0, 0, 1), (4, 5, 2, 2, 1)]
-    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [2, 3, 4]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, word_items=16).collect()) == [2, 3, 4]
     assert drop_contaminated(docs, bench).columns == docs.columns
     empty = bench.where("false")
     assert matches(docs, empty).count() == 0 and drop_contaminated(docs, empty).count() == len(ROWS)
@@ -69,10 +70,57 @@ def test_small(spark):
 def test_short_items_are_whole_words(spark):
     docs = spark.createDataFrame([(1, "They said Yes. No more"), (2, "yesterday eyes"), (3, "a c++ book"), (4, "abc++"), (5, "yes yes eyes yes"), (6, "été"), (7, "tété été")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "yes"), (2, "C++"), (3, "  "), (4, "été")], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end, r.places) for r in matches(docs, bench).collect())
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end, r.places) for r in matches(docs, bench, word_items=16).collect())
     assert got == [(1, 1, 0, 10, 13, 1), (3, 2, 0, 2, 5, 1), (5, 1, 0, 0, 3, 3), (6, 4, 0, 0, 3, 1), (7, 4, 0, 5, 8, 1)]
-    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [2, 4]
-    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, block_chars=4).collect()) == [2, 4]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, word_items=16).collect()) == [2, 4]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, block_chars=4, word_items=16).collect()) == [2, 4]
+
+
+def test_short_items_anywhere(spark):
+    docs = spark.createDataFrame([(1, "They said Yes. No more"), (2, "yesterday eyes"), (3, "a c++ book"), (4, "abc++"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "C++")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.places) for r in matches(docs, bench).collect())
+    assert got == [(1, 1, 10, 1), (2, 1, 0, 2), (3, 2, 2, 1), (4, 2, 2, 1)]
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'FF' || CAST('the quick brown fox jumps over the lazy dog and runs away.' AS BINARY) AS STRING) AS text")
+    bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert [(r.doc_id, r.distance, r.start) for r in matches(docs, bench).collect()] == [(1, 0, 1)]
+    assert drop_contaminated(docs, bench).count() == 0
+
+
+def test_templates_are_exact():
+    """Items that share their beginning, middle or end, against the usual table."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    one, two = word(70), word(40)
+    items = [f(word(rng.randint(12, 60))) for f in (lambda w: one + w, lambda w: w + one, lambda w: w + one + w[::-1], lambda w: one + w + two) for _ in range(8)]
+    items += [one + "same tail " + c for c in "abcdef"]
+    matcher = Matcher(items)
+    for k in [*range(len(items)), *range(len(items))]:
+        text = word(rng.randint(0, 90)) + edit(rng, items[k], rng.randint(0, matcher.budget[k] + 3), "abcdef") + word(rng.randint(0, 90))
+        found = {m.item: m for m in matcher.find(text)}
+        for i, item in enumerate(matcher.items):
+            d = least_distance(item, text)
+            assert (i in found) == (d <= matcher.budget[i])
+            if i in found:
+                assert found[i].distance == d == least_distance(item, text[found[i].start : found[i].end])
+
+
+def test_templates_cost_little():
+    """Four times the items that share a template take less than twelve times as long, and a second at most."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for own in (30, 300):
+        template, took = word(100), []
+        for n in (500, 2000):
+            matcher = Matcher([template + word(own) for _ in range(n)])
+            text = word(600) + template + word(600)
+            begin = time.process_time()
+            assert matcher.find(text) == []
+            took.append(time.process_time() - begin)
+        assert took[1] < 1 and took[1] < 12 * max(took[0], 0.005)
 
 
 def test_whole_table_by_plain_search(spark, testdata):
