@@ -8,9 +8,11 @@ How it scales. Keys are uniform, so equal ranges of the key are equal shares of
 as many key ranges as its row count asks for (``ROWS_PER_RANGE``), so a source with a third of all rows is dealt over
 many tasks. Prefix sums take three steps: a sum per (source, range) with partial aggregation, a running sum over those
 few rows, and a running sum inside each range. Texts are read once for their sizes; only keys and sizes are shuffled.
+Rows whose doc_id isn't theirs alone get keys of their own from id, text and number of the copy, so neither an id nor a
+row that makes up much of the table falls into one range.
 
-Defined cases: a null text has size 0; null is a source of its own, after all others; a null doc_id gets a key like
-any other; rows with equal doc_id and text are interchangeable; an empty table gives no rows; columns other than
+Defined cases: a null text has size 0; null is a source of its own, after all others; null is a doc_id like any other;
+rows with equal doc_id and text are interchangeable; an empty table gives no rows; columns other than
 doc_id, text and source are not read, whatever their names.
 """
 
@@ -32,9 +34,29 @@ ROWS_PER_RANGE = 4096
 SOURCE = ["no_source", "source_name"]
 
 
-def random_key(doc_id: Column, seed: str = "") -> Column:
-    """60 bits that depend on the id alone, so that reruns agree."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+IDENTITY = ["doc_id", *SOURCE, "size", "tie"]
+
+
+def random_key(seed: str, *parts: Column) -> Column:
+    """60 bits that depend on the parts alone, so that reruns agree."""
+    named = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.concat_ws(":", *named))), 1, 15), 16, 10).cast("long")
+
+
+def keyed(rows: DataFrame, seed: str) -> DataFrame:
+    """Add ``key`` to written rows of IDENTITY: from the id where it is on one row, or else from the row and its copy's number.
+
+    Copies are counted by part of the table first, then numbered through by those counts, and dealt out again by part.
+    """
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("repeated"), "times")
+    marked = materialize(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("repeated")), "left").drop("repeated"), "mix-ids")
+    single = marked.where("times IS NULL").select(*IDENTITY, random_key(seed, F.col("doc_id")).alias("key"))
+    parts = marked.where("times IS NOT NULL").withColumn("part", F.spark_partition_id()).groupBy(*IDENTITY, "part").agg(F.count(F.lit(1)).alias("copies"))
+    so_far = Window.partitionBy(*IDENTITY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("copies").over(so_far), F.lit(0))).repartition("tie", "part")
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("copies"))))
+    row = random_key(seed, *[F.col(c) for c in ("doc_id", *SOURCE, "tie", "copy")])
+    return single.unionByName(copies.select(*IDENTITY, row.alias("key")))
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -66,10 +88,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, ma
         source.isNull().cast("int").alias("no_source"),
         F.coalesce(source.cast("string"), F.lit("")).alias("source_name"),
         word_count(text).alias("size"),
-        random_key(doc_id, seed).alias("key"),
         F.xxhash64(text).alias("tie"),
     )
-    rows = materialize(rows, "mix-rows")
+    rows = materialize(keyed(materialize(rows, "mix-sizes"), seed), "mix-rows")
     sources = rows.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / ROWS_PER_RANGE))).cast("int")
     sources = materialize(source_targets(sources, weights, total_percent, max_epochs).withColumn("bits", bits), "mix-sources")

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from depthframe.llm.mixing import mix
+from depthframe.llm.mixing import IDENTITY, keyed, mix
 
 
 def brute(rows):
@@ -55,3 +55,16 @@ def test_hot_source_and_rerun(spark):
     first = check(mix(df), rows)
     again = mix(df.repartition(7)).collect()
     assert sorted(first) == sorted(again)
+
+
+def test_ids_of_many_rows(spark):
+    """Null ids, an id of many texts and many copies of one row: the mix is right, reruns agree, keys are spread."""
+    rows = [(None, f"w{i} " * (i % 7), "a") for i in range(2000)] + [(1, f"v{i}", "a") for i in range(2000)] + [(2, "same row", "b")] * 2000 + [(i, "x y", "a") for i in range(10, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = check(mix(df), rows)
+    assert sorted(map(str, first)) == sorted(map(str, mix(df.repartition(5)).collect()))
+    sized = df.selectExpr("doc_id", "0 AS no_source", "source AS source_name", "1L AS size", "xxhash64(text) AS tie")
+    with_keys = keyed(sized, "").collect()
+    assert sorted(str([r[c] for c in IDENTITY]) for r in with_keys) == sorted(str(list(r)) for r in sized.collect())
+    # 286 of the texts of null ids are empty: copies of one row, told apart by their numbers.
+    assert len({r.key for r in with_keys}) == len(rows)
