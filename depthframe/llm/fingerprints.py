@@ -14,7 +14,7 @@ prefixes have equal shorter prefixes). Equal texts have equal fingerprints and l
 (compressed) texts in order; each task walks its range and holds two documents at a time. A range's last document meets
 the first one of the next range in a small second step, two rows for each range.
 
-Defined cases: null text is empty; null doc_id comes first; rows with equal doc_id follow one another in the order of a hash
+Defined cases: null text is empty; bytes that are no UTF-8 count as U+FFFD; null doc_id comes first; rows with equal doc_id follow one another in the order of a hash
 of their texts; a single row is its own next; an empty table gives no rows; only doc_id and text are read.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_slices
+from .common import materialize, mix64, text_slices, valid_text
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -200,7 +200,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, digest and fingerprints of the text and of its edited text, likenesses, and the lengths of the
     longest common prefix and suffix of the two texts, of every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(valid_text("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     packed = rows.mapInArrow(_pack, "doc_id long, tie long, packed binary")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]

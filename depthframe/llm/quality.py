@@ -9,7 +9,7 @@
 A fitted model is a short list of rules, whatever the data. Fitting takes a bounded sample of labelled rows
 (``sampling.SAMPLE_ROWS``), in the order of their ids, so that reruns agree. Scoring has no shuffle.
 
-Defined cases: null text is empty; an empty text has all statistics 0 and gets a score like any other; texts of any
+Defined cases: null text is empty; bytes that are no UTF-8 count as U+FFFD; an empty text has all statistics 0 and gets a score like any other; texts of any
 length are reduced whole; without labels, or with one label only, every score is the share of label 1 (0.5 if there are
 none); equal rows have equal scores; an empty table gives no rows; other columns are not read, whatever their names.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, text_slices, valid_text
 from .sampling import SAMPLE_ROWS, held_out, training_rows
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digit", "mark", "pipe", "shout", "symbol", "wide", "line_length", "doubled", "distinct", "commonest", "ended")
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     model = fit(docs, labels, "quality", sample_rows)
-    rows = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text("text").alias("text")))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -167,5 +167,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs, columns unchanged, that score ``threshold`` or more. Texts pass through, nothing is shuffled."""
     model = fit(docs, labels, "quality", sample_rows)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), valid_text("text").alias("text"))
     return statistics(named).where(model.column() >= threshold).select("row.*")

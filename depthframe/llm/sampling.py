@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import valid_text
+
 #: Labelled rows that a classifier is fitted on, about; with more labels, ids whose hash is small are taken.
 SAMPLE_ROWS = 6_000
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo FOLDS are never learnt from.
@@ -27,5 +29,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, sample_rows / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(valid_text("text"), F.lit("")).alias("text"))
     return texts.join(marks, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -15,7 +15,7 @@ work follows the number of fingerprints, whatever keys they share. Groups are co
 documents take their group's smallest doc_id in a last join, which Spark can split where one fingerprint holds many
 documents. No step holds a group in one task.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text under the shingle's
+Defined cases: bytes that are no UTF-8 count as U+FFFD; null and empty texts have fingerprint zero and are linked like any other; a text under the shingle's
 length is one shingle; only A to Z are lower-cased; equal doc_ids are separate rows; a group without any doc_id has a
 null component_id; an empty table gives no rows; columns other than those named are not read.
 """
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, text_slices, valid_text
 from .components import connected_components
 
 SHINGLE = 3
@@ -97,7 +97,7 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fingerprint (long), component_id, component of every row, and the columns named in ``keep``. A component is
     a fingerprint of the group, which tells groups apart where their smallest doc_ids are equal or null."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, valid_text("text").alias("text"))
     schema = ", ".join(["doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long"])
     rows = materialize(rows.mapInArrow(_scan(shingle), schema), "simhash-prints")
     groups = connected_components(links(rows)).withColumnRenamed("node", "fingerprint")

@@ -11,7 +11,7 @@ Rabin-Karp hashes. Both counts are ordinary aggregations with partial sums, and
 hash, where Spark splits hot keys. Of documents with equal word sequences only the one with the smallest doc_id takes
 part; all windows of the others start earlier in it, so they follow from its length.
 
-Defined cases: null text has no words; a text under WINDOW words loses nothing; rows with the same doc_id are one
+Defined cases: bytes that are no UTF-8 count as U+FFFD; null text has no words; a text under WINDOW words loses nothing; rows with the same doc_id are one
 document each, told apart by their text and, if that is equal, by nothing (equal rows give equal results, the first
 stays whole only if no row before it says the same); null doc_id sorts first; other columns are not read.
 """
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, RollingHash, materialize, mix64, text_slices
+from .common import Powers, RollingHash, materialize, mix64, text_slices, valid_text
 
 WINDOW = 20
 #: Words in a minimizer piece; a window has WINDOW - PIECE + 1 of them.
@@ -154,7 +154,7 @@ def _cut(window: int):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed intervals (words, end exclusive) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text("text").alias("text"))
     rows = docs.mapInArrow(_scan(window, piece), "doc_id long, n_words long, sha256 string, packed binary, hashes array<bigint>, places array<int>")
     rows = materialize(rows.withColumn("copy", F.monotonically_increasing_id()), "substr-rows")
 

@@ -13,7 +13,7 @@ Spark counts the n-grams of the labelled sample (``sampling.SAMPLE_ROWS``): at m
 Of each row of the sample the driver then gathers which of the ``FEATURES`` chosen n-grams it holds, a bit for each, so
 what it gathers has a bound whatever the lengths of the texts.
 
-Defined cases: null text is empty; an empty text gets the score of the intercept; very long texts are hashed in steps and
+Defined cases: null text is empty; bytes that are no UTF-8 count as U+FFFD; an empty text gets the score of the intercept; very long texts are hashed in steps and
 scored whole; without labels, or with one label only, every score is the share of that label (0 if none); equal rows
 have equal scores; an empty table gives no rows; columns other than doc_id and text are not read.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_slices
+from .common import materialize, mix64, text_slices, valid_text
 from .sampling import SAMPLE_ROWS, held_out, training_rows
 
 ORDERS = (4, 5, 6)
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(ngrams(t, seen)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
