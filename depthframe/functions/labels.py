@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from depthframe.types import INT64_MAX, NOTIONAL_DECIMALS
 
-from .fixed import fixed_to_decimal
-
 UNIT = 10**NOTIONAL_DECIMALS
 
 
 def notional_label(raw: Column) -> Column:
-    """1M, 5K, 2B for round notionals, else the plain number without trailing zeros."""
-    units = F.floor(raw / F.lit(UNIT))
-    plain = F.regexp_replace(F.regexp_replace(fixed_to_decimal(raw, NOTIONAL_DECIMALS).cast("string"), "0+$", ""), "[.]$", "")
-    out = F.when(raw % UNIT != 0, plain)
+    """1M, 5K, 2B for round notionals, else the plain number without trailing zeros. raw: 64 bits, or a decimal of up to 28 digits."""
+    wide = raw.cast("decimal(28,0)")
+    exact = (wide / F.lit(UNIT).cast("decimal(10,0)")).cast(f"decimal(37,{NOTIONAL_DECIMALS})")
+    plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), "0+$", ""), "[.]$", "")
+    whole = lambda unit: F.call_function("div", wide, F.lit(unit)).cast("string")
+    out = F.when(wide % UNIT != 0, plain)
     for size, letter in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
-        out = out.when((raw != 0) & (raw % (UNIT * size) == 0 if UNIT * size <= INT64_MAX else F.lit(False)), F.concat((raw / F.lit(UNIT * size)).cast("bigint").cast("string"), F.lit(letter)))
-    return out.otherwise(units.cast("bigint").cast("string"))
+        out = out.when((wide != 0) & (wide % (UNIT * size) == 0), F.concat(whole(UNIT * size), F.lit(letter)))
+    return out.otherwise(whole(UNIT))
 
 
 def bps_label(bps: Column) -> Column:

@@ -480,7 +480,7 @@ SELECT c_custkey, label || CASE WHEN lead(c_custkey) OVER (PARTITION BY c_nation
 def band_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     unit = F.when(k % 4 == 0, 10**9).when(k % 4 == 1, 10**12).when(k % 4 == 2, 5 * 10**8).otherwise(10**15)
-    rows = fixture.read(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", "c_nationkey", (k * unit).cast("bigint").alias("raw"))
+    rows = fixture.read(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", "c_nationkey", (k.cast("decimal(19,0)") * unit.cast("decimal(18,0)")).alias("raw"))  # beyond 64 bits for large keys
     return rows.select("c_custkey", labels.open_ended(labels.notional_label(F.col("raw")), k, "c_nationkey").alias("label"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthframe.functions import fixed, labels, symbols
+from depthframe.plans import queries
 
 
 def values(spark, rows, schema, *columns):
@@ -74,3 +75,17 @@ def test_labels(spark):
     for text in ("", " 5", "+5", "10000", "5,5", "a"):
         with pytest.raises(ValueError):
             labels.parse_bps(text)
+
+
+def test_labels_beyond_64_bits(spark):
+    unit = 10**9
+    rows = [(str(n),) for n in (15_000 * 10**6 * unit, 90_000 * 10**6 * unit + 5 * 10**8, 2**63 - 1 - (2**63 - 1) % unit, 9 * 10**20)]
+    got = values(spark, rows, "n string", labels.notional_label(F.col("n").cast("decimal(38,0)")))
+    assert [g[0] for g in got] == ["15B", "90000000000.5", "9223372036", "900B"]
+
+
+def test_labels_of_many_customers(spark, tmp_path):
+    """Keys whose notionals leave 64 bits: 15,000 is the first of them in the tables' own range."""
+    spark.sql("SELECT CAST(id AS BIGINT) AS c_custkey, CAST(0 AS INT) AS c_nationkey FROM VALUES 3L, 9999L, 90003L AS t(id)").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: r.label for r in queries.band_labels(spark, str(tmp_path)).collect()}
+    assert got == {3: "3M", 9999: "9999M", 90003: "90003M+"}
