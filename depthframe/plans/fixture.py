@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depthframe.sources.shared import tasks
+
 #: The level table as SQL; {div} is integer division. Equal rows of lineitem differ in nothing that counts.
 LEVELS_SQL = """
 SELECT l_orderkey AS seq, CAST(l_orderkey % 4 AS INT) AS book, CAST((l_orderkey {div} 4) % 3 AS INT) AS venue,
@@ -25,6 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    items = items.repartition(tasks(items), "l_orderkey")
     return spark.sql(LEVELS_SQL.format(div="div", lineitem="{items}"), items=items)
 
 

@@ -68,3 +68,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with _shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one task of a shuffle, about.
+TASK_ROWS = 500_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks a shuffle of rows is dealt over: the session's number, or as many as keep each to ``TASK_ROWS`` rows.
+
+    Rows are counted, so they should be a table, or derived from one by what a count leaves out.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))

@@ -141,3 +141,25 @@ def test_consumer_gaps(spark):
     assert sorted((r.arrival, r.expected, r.book_seq) for r in client.gaps(df).collect()) == [(3, 7, 6), (4, 7, 8), (5, 9, 7)]
     assert client.before_first_gap(df).count() == 2
     assert tuple(client.run_summary(df).first()) == (0, 1, 4, 3, 5, 7)
+
+
+def test_one_level_is_many_tasks(spark):
+    """The history of one price of one venue is sorted by spans, not as a whole, and its rows are those of any other span."""
+    rows = [(1, 1, i, "DELTA" if i % 50 else "SNAPSHOT", 1, "BID", 100 * P, (i % 7) * S) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "book int, venue int, seq long, kind string, pos int, side string, price_raw long, size_raw long")
+    shown = lambda x: sorted(map(tuple, x.collect()), key=str)
+    parts = lambda x: x.select(F.spark_partition_id()).distinct().count()
+    short, long = book.level_intervals(df, block=1), book.level_intervals(df)
+    assert shown(short) == shown(long) and parts(short) > 1
+    assert shown(book.changes(short, block=1)) == shown(book.changes(long)) and parts(book.changes(short, block=1)) > 1
+    assert shown(book.l2_diffs(df, block=1)) == shown(book.l2_diffs(df))
+
+
+def test_client_book_is_not_sorted(spark, capsys):
+    """The consumer's book is aggregated by hash, from rows that are not dealt by book."""
+    rows = [(1, a, a, "SNAPSHOT" if a in (1, 5) else "DIFF", "BID", price, size, pos) for a, price, size, pos in [(1, 9, 1, 1), (1, 8, 2, 2), (2, 9, 3, 1), (5, 7, 4, 1), (5, 7, 5, 2), (6, 6, 0, 1)]] + [(2, 3, 3, "DIFF", "ASK", 4, 1, 1)]
+    stream = spark.createDataFrame(rows, "book int, arrival long, book_seq long, row_kind string, side string, price_raw long, size_raw long, pos int")
+    found = client.client_book(stream)
+    assert sorted(map(tuple, found.collect())) == [(1, "BID", 7, 5), (2, "ASK", 4, 1)]
+    found.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
