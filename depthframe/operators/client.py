@@ -32,10 +32,12 @@ def before_first_gap(stream: DataFrame) -> DataFrame:
 
 def client_book(stream: DataFrame) -> DataFrame:
     """The consumer's book: a snapshot clears it, a diff replaces or (size 0) deletes; the last of equal prices wins."""
+    # Each price's last row is found first, with an order of one number that is aggregated by hash; the last row of all is the last one since
+    # a snapshot too, or there is none.
+    order = F.col("arrival").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")
+    last = stream.groupBy("book", "side", "price_raw").agg(F.max_by("size_raw", order).alias("size_raw"), F.max("arrival").alias("arrival"))
     start = stream.where("row_kind = 'SNAPSHOT'").groupBy("book").agg(F.max("arrival").alias("start"))
-    rows = stream.join(start, "book", "left").where("start IS NULL OR arrival >= start")
-    held = rows.groupBy("book", "side", "price_raw").agg(F.max_by("size_raw", F.struct("arrival", "pos")).alias("size_raw"))
-    return held.where("size_raw > 0")
+    return last.join(start, "book", "left").where("size_raw > 0 AND (start IS NULL OR arrival >= start)").select("book", "side", "price_raw", "size_raw")
 
 
 def run_summary(stream: DataFrame) -> DataFrame:
