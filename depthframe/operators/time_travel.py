@@ -11,7 +11,7 @@ its own. A revision is then read from one folder, its image and a bounded tail,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bbo import replay_blocks
@@ -68,8 +68,19 @@ def book_from_keyframes(frames: DataFrame, book, book_seq: int, every: int = EVE
 
 
 def books_from_keyframes(frames: DataFrame, at: DataFrame, every: int = EVERY) -> DataFrame:
-    """book, book_seq, side, price_raw, size_raw for every distinct (book, book_seq) of ``at``; folders without any are not read."""
+    """book, book_seq, side, price_raw, size_raw for every distinct (book, book_seq) of ``at``; folders without any are not read.
+
+    A folder's sizes hold for runs of its revisions, and meet the revisions asked for by dyadic blocks, as in ``books_as_of``: a
+    revision costs the depth of its book, however many of the folder's rows come before it.
+    """
     wanted = at.select("book", F.col("book_seq").alias("at")).distinct().withColumn("block", F.expr(f"(at - 1) div {every}"))
-    rows = frames.join(wanted, ["book", "block"]).where("book_seq <= at")
-    found = rows.groupBy("book", "at", "side", "price_raw").agg(F.max_by("size_raw", "book_seq").alias("size_raw")).where("size_raw > 0")
-    return found.withColumnRenamed("at", "book_seq")
+    rows = frames.join(wanted.select("book", "block").distinct(), ["book", "block"], "left_semi")
+    place = F.greatest(F.col("book_seq") - F.col("block") * every, F.lit(0))  # 0: the book before the folder's first revision
+    rows = rows.select("book", "block", "side", "price_raw", "size_raw", place.cast("bigint").alias("start"))
+    following = F.lead("start").over(Window.partitionBy("book", "block", "side", "price_raw").orderBy("start"))
+    held = rows.withColumn("end", F.coalesce(following, F.lit(every + 1))).where("size_raw > 0")
+    bits = (every + 1).bit_length()
+    held = held.select("book", "block", "side", "price_raw", "size_raw", F.inline(dyadic_cover(F.col("start"), F.col("end"), bits)).alias("level", "run"))
+    asked = wanted.select("book", "block", "at", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
+    asked = asked.withColumn("run", F.call_function("shiftright", F.col("at") - F.col("block") * every, F.col("level")))
+    return held.join(asked, ["book", "block", "level", "run"]).select("book", F.col("at").alias("book_seq"), "side", "price_raw", "size_raw")

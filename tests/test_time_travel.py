@@ -56,3 +56,19 @@ def test_keyframes(spark, testdata, tmp_path):
     for b, r in revisions.distinct().collect():
         wanted += [(b, r, x.side, x.price_raw, x.size_raw) for x in book.book_at_revision(diffs.where(f"book = {b}"), r).collect()]
     assert got == sorted(wanted)
+
+
+def test_a_revision_costs_its_book(spark, tmp_path, capsys):
+    """Every revision of a long folder, by a plain walk; nothing is aggregated over all rows before it."""
+    diffs = [(1, n, n, "BID", 1 + n % 3, n % 5) for n in range(1, 601)]
+    df = spark.createDataFrame(diffs, "book int, seq long, book_seq long, side string, price_raw long, size_raw long")
+    time_travel.write_keyframes(df, str(tmp_path / "frames"), 256)
+    at = df.select("book", "book_seq")
+    found = time_travel.books_from_keyframes(spark.read.parquet(str(tmp_path / "frames")), at, 256)
+    held, want = {}, []
+    for _, _, n, side, price, size in diffs:
+        held[side, price] = size
+        want += [(1, n, *k, z) for k, z in held.items() if z]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    found.explain()
+    assert "max_by" not in capsys.readouterr().out
