@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -520,32 +521,45 @@ def bbo_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-#: Level rows, or texts, of a micro-batch, about.
-BATCH_ROWS = 100_000
+#: Level rows, or texts, of a micro-batch, about; a recording of more than ``BATCHES`` such batches has larger ones, up to ``MOST_ROWS``.
+BATCH_ROWS, BATCHES, MOST_ROWS = 100_000, 8, 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None) -> DataFrame | None:
+@contextmanager
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, of which a batch uploads what it changed, in no more stores than tasks can run at once: every store is opened
+    and committed in every batch, whatever it holds."""
+    number = "spark.sql.shuffle.partitions"
+    stores = max(1, min(int(spark.conf.get(number)), spark.sparkContext.defaultParallelism))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", number: str(stores)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None, most_rows: int = MOST_ROWS) -> DataFrame | None:
     """All rows that a stream makes of a table that is recorded and read file by file, each a range of ``order``.
 
     ``start`` (rows, checkpoint) starts a query with sinks of its own instead.
     """
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    write_in_order(source, order, f"{root}/in", BATCH_ROWS)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    write_in_order(source, order, f"{root}/in", BATCH_ROWS, BATCHES, most_rows)
+    with _stream_settings(spark):
         rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
         if start:
             run = start(rows, f"{root}/state")
         else:
             run = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-    finally:
-        if before:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return None if start else spark.read.schema(rows.schema).parquet(f"{root}/out")
 
 
@@ -569,7 +583,7 @@ def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["session_l2_diffs"])
 def stream_session_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diffs of ``session_l2_diffs``, from raw texts in one stream."""
-    found = _run(spark, session_fixture.raw_texts(spark, sf_dir), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)))
+    found = _run(spark, session_fixture.raw_texts(spark, sf_dir), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)), most_rows=MOST_ROWS // 4)  # a text has several levels
     return found.where("row_kind = 'DIFF'").select("book", F.expr(_PLACE.replace("recv_seq", "seq")).alias("seq"), "book_seq", "side", "price_raw", "size_raw")
 
 

@@ -45,15 +45,17 @@ class Cells:
         self.now = {tuple(k): v[0] for k, v in state.iterator()} if whole else {}
 
     def get(self, key: tuple) -> int:
-        if key not in self.now:
+        size = self.now.get(key)
+        if size is None:
             if self.whole:
                 return 0
             found = self.state.getValue(key)
-            self.now[key] = found[0] if found else 0
-        return self.now[key]
+            size = self.now[key] = found[0] if found else 0
+        return size
 
     def put(self, key: tuple, value: int) -> None:
-        self.before.setdefault(key, self.get(key))
+        if key not in self.before:
+            self.before[key] = self.get(key)
         self.now[key] = value
 
     def store(self) -> None:

@@ -6,6 +6,7 @@ import pytest
 
 from depthframe.operators import routing, sync
 from depthframe.operators.normalize import explode_levels, is_rejected, normalize_messages, status_counts
+from depthframe.plans import queries
 from depthframe.sources import config, messages
 from depthframe.types import RAW_MESSAGES
 
@@ -141,3 +142,21 @@ def test_actions_and_episodes_agree(spark, testdata):
     episodes = {r.snapshot_seq: r for r in sync.sync_episodes(rows, "futures").collect()}
     deltas = {r.message_seq for r in actions if r.action == "DELTA"}
     assert all(episodes[s].bridge_seq in deltas for s in applied)
+
+
+def test_long_recordings_have_larger_files(spark, tmp_path):
+    """Files in order, about as many as asked for, with no more rows in one than allowed."""
+    for name, limits, least, most in (("a", {}, 9, 11), ("b", {"files": 2}, 2, 2), ("c", {"files": 2, "most_rows": 200}, 5, 5), ("d", {"files": 99}, 9, 11)):
+        messages.write_in_order(spark.range(1000), "id", str(tmp_path / name), 100, **limits)
+        files = sorted((tmp_path / name).glob("part-*"))
+        assert least <= len(files) <= most
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(1000))
+
+
+def test_stream_settings_come_back(spark):
+    keys = ["spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k, None) for k in keys]
+    with queries._stream_settings(spark):
+        assert int(spark.conf.get(keys[2])) <= spark.sparkContext.defaultParallelism
+        assert spark.conf.get(keys[1]) == "true"
+    assert [spark.conf.get(k, None) for k in keys] == before
