@@ -10,7 +10,7 @@
 5. What is done to each book is numbered 1, 2, ... in the order of (recv_seq, ord), which is the level table's seq; applied
    messages are joined back for their levels.
 
-How it scales. A group of step 2 is one symbol of one connection, ids only, about fifty bytes a message. Step 3 needs one
+How it scales. A task of step 2 walks symbols and connections in order, ids only, and holds what one symbol holds back. Step 3 needs one
 row for each connection, step 4 one for each symbol of each. Numbers are dense within a book, whatever recv_seq counts
 (messages, microseconds), so blocks of seq hold as many messages as they are wide. Levels are joined by message number.
 
@@ -22,6 +22,8 @@ counts; equal recv_seq of different symbols are taken in any order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from depthframe.types import DELTA, INVALIDATE, REQUEST, SNAPSHOT
 from .blocks import dense_numbers
 from .normalize import VENUES, is_rejected, normalize_messages
 from .routing import route_symbols
-from .sync import ACTIONS, KEY, POLICIES, SyncState
+from .sync import KEY, POLICIES, SyncState, by_connection
 
 #: What tells apart the messages under one recv_seq of a symbol.
 IDS = ["kind", "first_id", "final_id", "prev_final_id", "last_update_id"]
@@ -79,7 +81,8 @@ class SymbolRule:
                 self.stopped = True
             else:
                 done += state.connected()
-        self.bad &= {m[0] for m in state.held}
+        if self.bad:
+            self.bad &= {m[0] for m in state.held}
         out, rank = [], 0  # a request takes no rank: it changes no book
         for action, message in asked + done:
             out.append((rank, action, message))
@@ -95,19 +98,17 @@ def in_receipt(rows: pd.DataFrame) -> pd.DataFrame:
 def symbol_actions(messages: DataFrame) -> DataFrame:
     """What each symbol's rule does with its own messages: KEY, recv_seq, ord, action, message_seq."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = in_receipt(group)
-        rule, out = SymbolRule(rows.venue.iloc[0]), []
-        for seq, *message in zip(*[rows[c] for c in ("recv_seq", *IDS, "bad")], strict=True):
-            out += [(seq, *made) for made in rule.take(seq, *message)]
-        made = pd.DataFrame(out, columns=["recv_seq", "ord", "action", "message_seq"])
-        made["message_seq"] = made.message_seq.astype("Int64")
-        for i, c in enumerate(KEY):
-            made.insert(i, c, rows[c].iloc[0])
-        return made
-
-    ids = messages.select(*KEY, "recv_seq", *IDS, "bad")
-    return ids.groupBy(*KEY).applyInPandas(run, ACTIONS.replace("symbol int", f"symbol {messages.schema['symbol'].dataType.simpleString()}"))
+    def begin(venue: str) -> Callable:
+        rule, before = SymbolRule(venue), None
+
+        def take(seq: int, *message) -> list[tuple[int, str, int | None]]:
+            nonlocal before
+            again, before = seq == before, seq
+            return [] if again else rule.take(seq, *message)
+
+        return take
+
+    return by_connection(messages, [*IDS, "bad"], begin)
 
 
 def session_actions(messages: DataFrame) -> DataFrame:

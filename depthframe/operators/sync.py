@@ -7,10 +7,10 @@ prev_final_id, last_update_id. A connection's messages are independent of those
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,30 +154,50 @@ class SyncState:
 ACTIONS = "venue string, symbol int, conn_epoch bigint, recv_seq bigint, ord int, action string, message_seq bigint"
 
 
+def by_connection(messages: DataFrame, fields: list[str], begin: Callable[[str], Callable]) -> DataFrame:
+    """``ACTIONS`` of messages taken in the order of recv_seq, then fields, nulls first: ``begin(venue)`` gives a connection's rule,
+    a function of (recv_seq, *fields) to (ord, action, message_seq)s.
+
+    A task walks its connections one after another as they come from a sort on disk, so neither many short connections nor a
+    long one cost more than their messages; it holds what the rule of one holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = take = None
+        for batch in batches:
+            out: list[tuple] = []
+            for *own, seq, message in zip(*[batch[c].to_pylist() for c in (*KEY, "recv_seq")], zip(*[batch[c].to_pylist() for c in fields], strict=True), strict=True):
+                if own != key:
+                    key, take = own, begin(own[0])
+                out += [(*own, seq, *made) for made in take(seq, *message)]
+            kinds = [pa.string(), batch.schema.field("symbol").type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[*KEY, "recv_seq", "ord", "action", "message_seq"])
+
+    rows = messages.select(*KEY, "recv_seq", *fields).repartition(*KEY).sortWithinPartitions(*KEY, "recv_seq", *fields)
+    return rows.mapInArrow(run, ACTIONS.replace("symbol int", f"symbol {messages.schema['symbol'].dataType.simpleString()}"))
+
+
 def sync_actions(messages: DataFrame, policy: str) -> DataFrame:
     """What the book has to do, exactly: KEY, recv_seq (what triggered it), ord, action and the message that it applies.
 
-    Only ids go to Python; levels are joined back by message_seq. A group is one connection of one symbol.
+    Only ids go to Python; levels are joined back by message_seq.
     """
     rule = POLICIES[policy]
-    symbol = messages.schema["symbol"].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("recv_seq", kind="stable")
-        state, out = SyncState(rule), []
-        number = lambda x: 0 if pd.isna(x) else int(x)
-        for k, (seq, kind, first, final, prev, last) in enumerate(zip(rows.recv_seq, rows.kind, rows.first_id, rows.final_id, rows.prev_final_id, rows.last_update_id, strict=True)):
-            made = state.connected() if k == 0 else []
-            made += state.snapshot(seq, number(last)) if kind == SNAPSHOT else state.update(seq, number(first), number(final), number(prev))
-            out += [(seq, i, a, m) for i, (a, m) in enumerate(made)]
-        made = pd.DataFrame(out, columns=["recv_seq", "ord", "action", "message_seq"])
-        made["message_seq"] = made.message_seq.astype("Int64")
-        for i, c in enumerate(KEY):
-            made.insert(i, c, rows[c].iloc[0])
-        return made
-
-    rows = messages.select(*KEY, "recv_seq", "kind", "first_id", "final_id", "prev_final_id", "last_update_id")
-    return rows.groupBy(*KEY).applyInPandas(run, ACTIONS.replace("symbol int", f"symbol {symbol}"))
+
+    def begin(venue: str) -> Callable:
+        state, begun = SyncState(rule), False
+
+        def take(seq: int, kind: str, *ids) -> list[tuple[int, str, int | None]]:
+            nonlocal begun
+            first, final, prev, last = (0 if x is None else int(x) for x in ids)
+            made, begun = [] if begun else state.connected(), True
+            made += state.snapshot(seq, last) if kind == SNAPSHOT else state.update(seq, first, final, prev)
+            return [(i, a, m) for i, (a, m) in enumerate(made)]
+
+        return take
+
+    return by_connection(messages, ["kind", "first_id", "final_id", "prev_final_id", "last_update_id"], begin)
 
 
 def resync_requests(actions: DataFrame) -> DataFrame:

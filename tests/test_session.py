@@ -89,3 +89,18 @@ def test_dense_numbers(spark):
     for r in set(map(tuple, rows.collect())):
         wanted.setdefault(r[0], []).append(r[1:])
     assert {k: sorted(v) for k, v in by.items()} == {k: [(i + 1, *x) for i, x in enumerate(sorted(v))] for k, v in wanted.items()}
+
+
+def test_ids_beyond_floats_and_many_short_connections(spark):
+    """Ids beside missing ones stay whole numbers, so a gap of one is seen; connections of one task don't run into each other."""
+    from depthframe.operators import sync
+
+    big = 1 << 60
+    one = [("v", 0, 1, "DELTA", big, big + 2, big - 1, None), ("v", 0, 2, "SNAPSHOT", None, None, None, big + 1), ("v", 0, 3, "DELTA", big + 4, big + 5, big + 3, None)]
+    rows = [(v, s, e, *rest) for e in range(300) for v, s, *rest in one]
+    messages = spark.createDataFrame(rows, "venue string, symbol int, conn_epoch long, recv_seq long, kind string, first_id long, final_id long, prev_final_id long, last_update_id long")
+    got = {}
+    for r in sync.sync_actions(messages, "futures").collect():
+        got.setdefault(r.conn_epoch, []).append((r.recv_seq, r.ord, r.action, r.message_seq))
+    wanted = [(1, 0, "REQUEST_SNAPSHOT", None), (2, 0, "SNAPSHOT", 2), (2, 1, "DELTA", 1), (3, 0, "INVALIDATE", None)]
+    assert len(got) == 300 and all(sorted(x) == wanted for x in got.values())
