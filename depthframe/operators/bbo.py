@@ -17,7 +17,7 @@ REVISIONS_PER_BLOCK = 4096
 BBO = "book int, seq bigint, book_seq bigint, bid_price_raw bigint, bid_size_raw bigint, ask_price_raw bigint, ask_size_raw bigint"
 
 
-class _Side:
+class Side:
     def __init__(self, sign: int):
         self.sign, self.sizes, self.heap = sign, {}, []
 
@@ -45,7 +45,7 @@ class _Side:
 
 def _replay(block: pd.DataFrame) -> pd.DataFrame:
     """Rows with book_seq 0 are the book before the block."""
-    sides = {"BID": _Side(-1), "ASK": _Side(1)}
+    sides = {"BID": Side(-1), "ASK": Side(1)}
     start = block[block.book_seq == 0]
     for name, side in sides.items():
         own = start[start.side == name]

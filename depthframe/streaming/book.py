@@ -4,7 +4,7 @@ State is keyed by book and lives in the state store: what each venue holds at ea
 price, an ordered index of the prices of either (``price_index``), the live venues, the revision, and where messages are
 applied up to. A micro-batch reads the cells that its messages touch, point by point: a price's sizes, the index where a price
 comes or goes, the levels of a venue that is reset. So a batch costs its rows, whatever the depth of the book. Where reading
-all in a row costs less than so many points (``POINT``), the batch reads all. Only what changed is written back.
+all in a row costs less than so many points (``POINT``), the batch reads all, and is applied by arrays (``whole_batch``). Only what changed is written back.
 
 Rows of a micro-batch are applied in the order of (seq, ord, pos). Batches must not overlap in that order; rows at or before
 the applied place come late and are dropped. A message with a bad level on either side is void, and so is what its venue
@@ -16,13 +16,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from depthframe.types import DROPPED, INVALIDATE, SNAPSHOT
+from depthframe.operators.bbo import Side
+from depthframe.types import DELTA, DROPPED, INVALIDATE, SNAPSHOT
 
+from . import whole_batch
 from .price_index import KEY, VALUE, PriceIndex
 
 OUTPUT = "book {book}, seq bigint, ord int, book_seq bigint, row_kind string, side string, price_raw bigint, size_raw bigint, live_venues string"
@@ -128,7 +131,7 @@ class BookProcessor(StatefulProcessor):
     def _message(self, venue, kind: str, levels: list[tuple[str, int, int]]) -> dict[tuple[str, int], int]:
         """Apply one message; the aggregate prices that it changed."""
         wanted: dict[tuple[str, int], int] = {}
-        if kind in (SNAPSHOT, INVALIDATE) and self.known.get(venue, (False,))[0]:
+        if kind in (SNAPSHOT, INVALIDATE):
             wanted = {(side, price): 0 for side in SIDES for price in self.prices.prices(str(venue), side)}
         if kind != INVALIDATE:
             # A snapshot's first row of a price counts, a delta's last.
@@ -137,29 +140,99 @@ class BookProcessor(StatefulProcessor):
         return {place: size for place, size in changed.items() if size is not None}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["seq", "ord", "pos"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["seq", "ord", "pos"], kind="stable", ignore_index=True)
         first = not self.place.exists()
         self._load(len(frame))
+        yield from self._as_a_whole(key[0], frame) if self.nodes.whole else self._by_points(key[0], frame)
+        self._store()
+        if self.heartbeat_ms and first:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
+
+    def _accept(self, place: tuple[int, int], venue, kind: str, epoch, since, bad: bool) -> tuple[str | None, bool]:
+        """What a message counts as, None if it is void, and whether that changes who is live."""
+        live, known_epoch, dropped = self.known.get(venue, (False, None, None))
+        if self.applied is not None and place <= self.applied or known_epoch is not None and epoch <= known_epoch and place[0] > dropped:
+            return None, False
+        self.applied = place
+        if kind == DROPPED:
+            kind, known_epoch, dropped = INVALIDATE, int(epoch), int(since)
+        if bad:
+            kind = INVALIDATE
+        self.known[venue] = (kind != INVALIDATE, known_epoch, dropped)
+        return kind, live != self.known[venue][0]
+
+    def _as_a_whole(self, book, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The same rows as ``_by_points``, from arrays of all cells; Python walks messages and best prices alone."""
+        start = frame[["seq", "ord", "venue"]].ne(frame[["seq", "ord", "venue"]].shift()).any(axis=1)
+        levels = frame.side.isin(SIDES)
+        bad = (levels & ((frame.price_raw <= 0) | (frame.size_raw < 0))).groupby(start.cumsum()).any().tolist()
+        kinds, resets, live = [], [], []
+        heads = frame[start]
+        places = list(zip(heads.seq.tolist(), heads.ord.tolist(), strict=True))
+        for m, (place, venue, *message) in enumerate(zip(places, *[heads[c].tolist() for c in ("venue", "kind", "conn_epoch", "since")], bad, strict=True)):
+            kind, told = self._accept(place, venue, *message)
+            kinds.append(kind)
+            if kind in (SNAPSHOT, INVALIDATE):
+                resets.append((m, venue))
+            if told:
+                live.append((m, self._live()))
+        number = (start.cumsum() - 1).to_numpy()
+        kind = np.array(kinds, object)[number]
+        rank = np.where(kind == SNAPSHOT, -np.arange(len(frame)), np.arange(len(frame)))  # a snapshot's first row of a price counts, a delta's last
+        rows = frame.rename(columns={"price_raw": "price", "size_raw": "size"})[["venue", "side", "price", "size"]].assign(message=number, rank=rank)
+        changes, cells, totals = whole_batch.apply(self.sizes.now, rows[levels.to_numpy() & np.isin(kind, [SNAPSHOT, DELTA])], resets)
+        # Revisions, and the best prices after each.
+        changed, nth = np.unique(changes.message.to_numpy("int64"), return_inverse=True)
+        ladders = {side: Side(-1 if side == "BID" else 1) for side in SIDES}
+        for side, ladder in ladders.items():
+            ladder.load([(k[1], v) for k, v in self.totals.now.items() if k[0] == side and v])
+        tops, ends = [], np.append(np.flatnonzero(np.diff(nth)), len(nth) - 1).tolist()
+        sides, prices, sizes, k = *[changes[c].tolist() for c in ("side", "price", "size")], 0
+        for n, end in enumerate(ends if len(nth) else []):
+            while k <= end:
+                ladders[sides[k]].put(prices[k], sizes[k])
+                k += 1
+            now = {side: ladder.best() for side, ladder in ladders.items()}
+            if now != self.best:
+                tops += [(*places[changed[n]], self.number + n + 1, "BBO", side, *now[side], None) for side in SIDES]
+                self.best = now
+        seqs, ords = (np.array([p[i] for p in places], "int64") for i in (0, 1))
+        beats = [(*places[m], self.number + int(np.searchsorted(changed, m)), "LIVE", None, None, None, text) for m, text in live]
+        for begin in range(0, len(changes), OUTPUT_ROWS):
+            part, here = changes.iloc[begin : begin + OUTPUT_ROWS], changed[nth[begin : begin + OUTPUT_ROWS]]
+            made = {"seq": seqs[here], "ord": ords[here], "book_seq": self.number + 1 + nth[begin : begin + OUTPUT_ROWS], "row_kind": "DIFF", "side": part.side.to_numpy(object), "price_raw": part.price.to_numpy("int64"), "size_raw": part["size"].to_numpy("int64"), "live_venues": None}
+            yield pd.DataFrame({"book": pd.Series([book] * len(part), dtype=object), **made}).astype(_COLUMNS)
+        others = tops + beats
+        for begin in range(0, max(len(others), 1), OUTPUT_ROWS):
+            yield _frame(book, others[begin : begin + OUTPUT_ROWS])
+        self.number += len(changed)
+        for venue, side, price, before, after in cells.itertuples(index=False):
+            self.sizes.put((venue, side, int(price)), int(after))
+            self._indexed(str(venue), side, int(price), before, after)
+            self.count += (after > 0) - (before > 0)
+        for side, price, before, after in totals.itertuples(index=False):
+            self.totals.put((side, int(price)), int(after))
+            self._indexed(ALL, side, int(price), before, after)
+
+    def _indexed(self, owner: str, side: str, price: int, before: int, after: int) -> None:
+        if not before or not after:
+            (self.prices.add if after else self.prices.remove)(owner, side, price)
+
+    def _by_points(self, book, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         columns = ["seq", "ord", "venue", "kind", "conn_epoch", "since", "side", "price_raw", "size_raw"]
         seqs, ords, venues, kinds, epochs, since, sides, prices, sizes = (frame[c].tolist() for c in columns)
         end = 0
         while end < len(seqs):
-            start, place, venue, kind = end, (seqs[end], ords[end]), venues[end], kinds[end]
+            start, place, venue = end, (seqs[end], ords[end]), venues[end]
             while end < len(seqs) and (seqs[end], ords[end], venues[end]) == (*place, venue):
                 end += 1
-            live, epoch, dropped = self.known.get(venue, (False, None, None))
-            if self.applied is not None and place <= self.applied or epoch is not None and epochs[start] <= epoch and place[0] > dropped:
-                continue
-            self.applied = place
-            if kind == DROPPED:
-                kind, epoch, dropped = INVALIDATE, int(epochs[start]), int(since[start])
             levels = [(sides[i], int(prices[i]), int(sizes[i])) for i in range(start, end) if isinstance(sides[i], str)]
-            if kind != INVALIDATE and any(price <= 0 or size < 0 for _, price, size in levels):
-                kind = INVALIDATE
+            kind, told = self._accept(place, venue, kinds[start], epochs[start], since[start], any(price <= 0 or size < 0 for _, price, size in levels))
+            if kind is None:
+                continue
             changed = self._message(venue, kind, levels)
-            self.known[venue] = (kind != INVALIDATE, epoch, dropped)
-            if live != self.known[venue][0]:
+            if told:
                 out.append((*place, self.number, "LIVE", None, None, None, self._live()))
             if changed:
                 self.number += 1
@@ -169,12 +242,9 @@ class BookProcessor(StatefulProcessor):
                     out += [(*place, self.number, "BBO", side, *now[side], None) for side in SIDES]
                     self.best = now
             if len(out) >= OUTPUT_ROWS:
-                yield _frame(key[0], out)
+                yield _frame(book, out)
                 out = []
-        self._store()
-        if self.heartbeat_ms and first:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.heartbeat_ms)
-        yield _frame(key[0], out)
+        yield _frame(book, out)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Begin with a book: its levels by venue (``books_at``), a row without a price for a live venue that holds nothing."""

@@ -5,7 +5,7 @@ Three stateful operators follow each other in a query, all parsing and routing b
 1. ``SymbolProcessor``, keyed by (venue, symbol, conn_epoch): the venue's sequence rule. State: where the rule stands, and the
    messages held back until a snapshot bridges them, with their levels. Out: what is applied, and control rows for
    the venue: SEEN (a symbol's first message on a connection) and GAP (a pushed venue's gap, which drops the connection).
-2. ``ConnectionProcessor``, keyed by route. A route is a book, whose rows pass through, or a venue, whose control rows are
+2. ``ConnectionProcessor``, keyed by route. A route is a venue of a book, whose rows pass through, or a venue, whose control rows are
    gathered. State of a venue: its connection and that one's symbols with their books. Out: a gap fans out as DROPPED rows,
    a new connection as INVALIDATE rows, one for the book of each symbol. Only control rows meet at a venue, a few for each
    symbol and connection; levels are dealt by book from the first operator on.
@@ -65,7 +65,7 @@ class SymbolProcessor(StatefulProcessor):
             bodies = {m[0]: m[5] for m in known}
         frame, out = in_receipt(pd.concat(list(rows))), []
         book = frame.book.iloc[0]
-        row = lambda seq, ord_, kind, levels=None: (f"book {book}", book, venue, symbol, epoch, seq, ord_, kind, None, levels)
+        row = lambda seq, ord_, kind, levels=None: (f"book {book} {venue}", book, venue, symbol, epoch, seq, ord_, kind, None, levels)
         control = lambda seq, kind: (f"venue {venue}", book, venue, symbol, epoch, seq, -1, kind, None, None)
         for seq, *message, levels in zip(*[frame[c].tolist() for c in ("recv_seq", *IDS, "bad", "levels")], strict=True):
             if applied is not None and seq <= applied:
