@@ -1,9 +1,8 @@
 """Books at many points of their history at once, without a range join and without reading the history for each point.
 
-``books_as_of`` cuts every validity interval into dyadic blocks (aligned runs of 2**k messages), two for each k at most; a point
-lies in one block of each k. So interval and point meet by an equality join on (book, k, block), once if the interval
-holds at the point. Any two intervals of a venue's price are disjoint, so a block is held by as many rows as the book is
-deep, and no key grows with the history.
+``books_as_of`` numbers the points of a book and cuts them in blocks. The aggregate size of a price holds for a run of points: it
+meets each block that the run touches by an equality join, once, and takes its points from there. So every piece that is joined
+gives a row at least, each row is a result, and a block is met by as many rows as the book is deep or changes within it.
 
 Keyframes are written once: the book before every run of ``every`` revisions, beside the run's diffs, in a folder of
 its own. A revision is then read from one folder, its image and a bounded tail, and the scan prunes all others.
@@ -14,10 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthframe.sources.shared import materialize
+
 from .bbo import replay_blocks
+from .book import BLOCK, SPAN_BLOCKS, changes
 
 #: Revisions between keyframes.
 EVERY = 4096
+#: Points of a block of ``books_as_of``. Any number gives the same rows.
+POINTS_PER_BLOCK = 64
 
 
 def dyadic_cover(start: Column, end: Column, bits: int) -> Column:
@@ -36,23 +40,32 @@ def dyadic_cover(start: Column, end: Column, bits: int) -> Column:
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), at)), lambda x: x.isNotNull())
 
 
-def books_as_of(intervals: DataFrame, points: DataFrame) -> DataFrame:
+def books_as_of(intervals: DataFrame, points: DataFrame, points_per_block: int = POINTS_PER_BLOCK) -> DataFrame:
     """book, seq, side, price_raw, size_raw: the aggregate book just after message seq, for every distinct (book, seq) of points.
 
     intervals are as from ``book.level_intervals``. A point where a book is empty gives no rows.
     """
+    k, span, level = points_per_block, F.expr(f"seq div {BLOCK * SPAN_BLOCKS}").alias("span"), ["book", "side", "price_raw"]
     points = points.select("book", "seq").where("book IS NOT NULL AND seq IS NOT NULL").distinct()
-    first, last = points.agg(F.min("seq"), F.max("seq")).first()
-    if first is None:
-        return intervals.select("book", F.col("from_seq").alias("seq"), "side", "price_raw", "size_raw").where("false")
-    bits = (last - first + 1).bit_length()
-    start = F.greatest(F.col("from_seq"), F.lit(first)) - first
-    end = F.least(F.coalesce("to_seq", F.lit(last + 1)), F.lit(last + 1)) - first
-    held = intervals.where((F.col("from_seq") <= last) & (F.col("to_seq").isNull() | (F.col("to_seq") > first)))
-    held = held.select("book", "side", "price_raw", "size_raw", F.inline(dyadic_cover(start, end, bits)))
-    asked = points.select("book", "seq", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
-    asked = asked.withColumn("block", F.call_function("shiftright", F.col("seq") - first, F.col("level")))
-    return held.join(asked, ["book", "level", "block"]).groupBy("book", "seq", "side", "price_raw").agg(F.sum("size_raw").alias("size_raw"))
+    # Changes and points in one order, a change before the point that it counts for: both get the number of points so far.
+    both = changes(intervals).unionByName(points, allowMissingColumns=True).select("*", span)
+    both = materialize(both, "as-of-events")  # its points are counted before they are numbered
+    earlier = Window.partitionBy("book").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy("book", "span").agg(F.count_if(F.col("side").isNull()).alias("n")).select("book", "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    here = Window.partitionBy("book", "span").orderBy("seq", F.col("side").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("n", F.count_if(F.col("side").isNull()).over(here)).join(before, ["book", "span"]).withColumn("n", F.col("n") + F.col("before"))
+    both = materialize(both.drop("before"), "as-of-numbered")
+    asked = both.where("side IS NULL").groupBy("book", F.expr(f"(n - 1) div {k}").alias("block")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    # A size holds for the points from its own number up to that of the price's next change, in places from 0.
+    rows = both.where("side IS NOT NULL")
+    begins = rows.groupBy(*level, "span").agg(F.min("n").alias("n"))
+    begins = begins.select(*level, "span", F.lead("n").over(Window.partitionBy(*level).orderBy("span")).alias("later"))
+    last = asked.groupBy("book").agg(F.sum(F.size("seqs")).alias("points"))
+    following = F.lead("n").over(Window.partitionBy(*level, "span").orderBy("seq"))
+    held = rows.withColumn("end", following).join(begins, [*level, "span"]).join(last, "book").withColumn("end", F.coalesce("end", "later", "points"))
+    held = held.where("size_raw > 0 AND n < end").withColumn("block", F.explode(F.sequence(F.expr(f"n div {k}"), F.expr(f"(end - 1) div {k}"))))
+    start, stop = F.greatest(F.col("n") - F.col("block") * k, F.lit(0)), F.least(F.col("end") - F.col("block") * k, F.lit(k))
+    return held.join(asked, ["book", "block"]).select("book", F.explode(F.slice("seqs", (start + 1).cast("int"), (stop - start).cast("int"))).alias("seq"), "side", "price_raw", "size_raw")
 
 
 def write_keyframes(diffs: DataFrame, path: str, every: int = EVERY) -> None:
@@ -70,7 +83,7 @@ def book_from_keyframes(frames: DataFrame, book, book_seq: int, every: int = EVE
 def books_from_keyframes(frames: DataFrame, at: DataFrame, every: int = EVERY) -> DataFrame:
     """book, book_seq, side, price_raw, size_raw for every distinct (book, book_seq) of ``at``; folders without any are not read.
 
-    A folder's sizes hold for runs of its revisions, and meet the revisions asked for by dyadic blocks, as in ``books_as_of``: a
+    A folder's sizes hold for runs of its revisions, and meet the revisions asked for by dyadic blocks: a
     revision costs the depth of its book, however many of the folder's rows come before it.
     """
     wanted = at.select("book", F.col("book_seq").alias("at")).distinct().withColumn("block", F.expr(f"(at - 1) div {every}"))

@@ -72,3 +72,20 @@ def test_a_revision_costs_its_book(spark, tmp_path, capsys):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     found.explain()
     assert "max_by" not in capsys.readouterr().out
+
+
+def test_books_as_of_by_any_blocks_of_points(spark):
+    """A point sees the changes of its own message and of none after it, whatever the blocks; long runs meet a block once."""
+    rng = random.Random(6)
+    held = [(b, v, "BID", p, rng.randint(1, 9), s, s + rng.choice((1, 3, 300_000))) for b in (1, 2) for v in (1, 2) for p in (5, 6) for s in (10, 400_000, 800_000)] + [(1, 3, "ASK", 9, 4, 2, None)]
+    points = [(b, rng.choice((rng.randint(0, 20), rng.randint(0, 1_200_000), 10, 13, 400_000))) for b in (1, 2, 3) for _ in range(60)]
+    wanted = {}
+    for b, q in set(points):
+        for book_, _, side, price, size, start, end in held:
+            if book_ == b and start <= q and (end is None or q < end):
+                wanted[b, q, side, price] = wanted.get((b, q, side, price), 0) + size
+    intervals = spark.createDataFrame(held, "book int, venue int, side string, price_raw long, size_raw long, from_seq long, to_seq long")
+    asked = spark.createDataFrame(points, "book int, seq long")
+    for k in (1, 7, 1000):
+        got = time_travel.books_as_of(intervals, asked, k).select("book", "seq", "side", "price_raw", "size_raw").collect()
+        assert sorted(map(tuple, got)) == sorted((*key, size) for key, size in wanted.items())
