@@ -3,7 +3,8 @@
 The blocks are those of ``bbo.replay_blocks``: each holds the book before it, so a long history spreads over many tasks and
 a task holds one block and one book. A side's prices within a block are known beforehand, so its levels stand in prefix-sum
 trees over them: a change, a band's sums and the level that fills a notional each take a few steps for every doubling of
-the depth. A side's bands are computed anew only when the side changed; the arithmetic is that of ``bands`` on plain
+the depth. Where a side's numbers are small enough for 64 bits, and its depth for a matrix of all its states, all its revisions are
+computed at once by arrays, with the same rows. A side's bands are computed anew only when the side changed; the arithmetic is that of ``bands`` on plain
 integers, so the rows equal ``bands.price_bands`` and ``bands.volume_bands`` of each revision's book.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,6 +25,8 @@ from .bbo import REVISIONS_PER_BLOCK, replay_blocks
 #: What is summed over a side's levels: how many there are, their sizes and notionals, and those with a bad price or size or a
 #: notional out of range.
 COUNT, SIZE, NOTIONAL, BAD, LOST = range(5)
+#: Most revisions x prices of a side of a block that is taken as a matrix.
+CELLS = 4_000_000
 
 
 class Ladder:
@@ -145,13 +149,91 @@ def volume_rows(ladder: Ladder, thresholds: list[int]) -> list[tuple]:
     return [(i, t, prices[i], t, OK) if i < len(prices) else (i, t, None, total, OK) for i, t in enumerate(thresholds)]
 
 
-def _replayed(diffs: DataFrame, side_rows: Callable[[str, Ladder], list[tuple]], both: bool, fields: str, revisions_per_block: int) -> DataFrame:
+class Dense:
+    """One side of a book over a block as a matrix, a row for each of its revisions (row 0: before the block), a column for each price,
+    best first. Only for numbers whose sums and products all stay in 64 bits (``fits``); ``Ladder`` takes any."""
+
+    def __init__(self, side: str, numbers: np.ndarray, prices: np.ndarray, sizes: np.ndarray):
+        self.side, self.sign = side, 1 if side == "ASK" else -1
+        self.keys = np.unique(self.sign * prices)
+        self.revisions = np.unique(numbers[numbers > 0])
+        given = np.full((len(self.revisions) + 1, len(self.keys)), -1, "int64")
+        given[0] = 0
+        given[np.searchsorted(self.revisions, numbers, "right"), np.searchsorted(self.keys, self.sign * prices)] = sizes
+        since = np.maximum.accumulate(np.where(given >= 0, np.arange(len(given))[:, None], 0), axis=0)
+        self.sizes = np.take_along_axis(given, since, axis=0)
+        self.notionals = (self.sizes * (self.sign * self.keys) + SIZE_SCALE // 2) // SIZE_SCALE
+        before = lambda x: np.concatenate([np.zeros((len(x), 1), "int64"), np.cumsum(x, axis=1)], axis=1)
+        self.size_before, self.notional_before = before(self.sizes), before(self.notionals)
+        self.held = (self.sizes > 0).any(axis=1)
+
+    @staticmethod
+    def fits(numbers: np.ndarray, prices: np.ndarray, sizes: np.ndarray, bps: int) -> bool:
+        if not len(prices):
+            return True
+        price, size, depth = int(prices.max()), int(sizes.max()), len(np.unique(prices))
+        small = max(price * size + SIZE_SCALE, (price * size // SIZE_SCALE + 1) * depth, size * depth, price * (10000 + bps)) < 1 << 62
+        return bool(small and prices.min() > 0 and sizes.min() >= 0 and depth * (len(np.unique(numbers)) + 1) <= CELLS)
+
+
+def price_columns(dense: Dense, bps: list[int]) -> list[np.ndarray]:
+    """What ``price_rows`` gives for each row of dense that holds levels: matrices of a column for each band."""
+    reference = dense.keys[np.argmax(dense.sizes > 0, axis=1)][:, None] if len(dense.keys) else np.zeros((1, 1), "int64")
+    edge = reference * (10000 + dense.sign * np.array(bps, "int64")) // 10000  # of keys, which are negative for bids: rounds up there
+    inside = np.searchsorted(dense.keys, edge, "right")
+    return [dense.sign * edge, np.take_along_axis(dense.size_before, inside, axis=1), np.take_along_axis(dense.notional_before, inside, axis=1)]
+
+
+def volume_columns(dense: Dense, thresholds: list[int]) -> list[np.ndarray] | None:
+    """What ``volume_rows`` gives for each row of dense, None if a price leaves 64 bits; an average price of -1 is none."""
+    total = dense.notional_before[:, -1]
+    price, filled = (np.full((len(total), len(thresholds)), -1, "int64") for _ in range(2))
+    for k, t in enumerate(thresholds):
+        reached = np.flatnonzero(total >= t)
+        at = (dense.notional_before[reached, 1:] < t).sum(axis=1)
+        parts = [x[reached, at].tolist() for x in (dense.notional_before, dense.size_before, dense.notionals, dense.sizes)]
+        made = [_price_of(t, b + size) if t - before == n else _price_within(before, b, t - before, p) for before, b, n, size, p in zip(*parts, (dense.sign * dense.keys[at]).tolist(), strict=True)] if len(reached) else []
+        if None in made:
+            return None
+        price[reached, k] = made
+        filled[:, k] = np.minimum(total, t)
+    return [price, filled]
+
+
+def _replayed(diffs: DataFrame, side_rows: Callable[[str, Ladder], list[tuple]], side_columns: Callable[[Dense], list[np.ndarray] | None], bands: list[int], both: bool, fields: str, revisions_per_block: int) -> DataFrame:
     """book, book_seq, side and what side_rows gives, for each side at each revision; ``both``: also an empty side beside one
-    that isn't."""
+    that isn't. side_columns gives the same of a side of ordinary numbers at all its revisions."""
     types = [pa.int32(), pa.int64(), pa.string(), *[{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[f.split()[1]] for f in fields.split(", ")]]
     names = ["book", "book_seq", "side", *[f.split()[0] for f in fields.split(", ")]]
+    widest = 0 if both else max(bands, default=0)
+
+    def at_once(block: pa.Table) -> pa.Table | None:
+        numbers, prices, sizes = (block[c].to_numpy() for c in ("book_seq", "price_raw", "size_raw"))
+        own = {s: block["side"].to_numpy() == s for s in SIDES}
+        if not all(Dense.fits(numbers[o], prices[o], sizes[o], widest) for o in own.values()) or any(not 0 < b < 1 << 62 for b in bands if both):
+            return None
+        sides = {s: Dense(s, numbers[o], prices[o], sizes[o]) for s, o in own.items()}
+        revisions = np.unique(numbers[numbers > 0])
+        place = {s: np.searchsorted(d.revisions, revisions, "right") for s, d in sides.items()}
+        alive = {s: d.held[place[s]] for s, d in sides.items()}
+        parts = []
+        for s, dense in sides.items():
+            found = side_columns(dense)
+            if found is None:
+                return None
+            shown = np.logical_or.reduce(list(alive.values())) if both else alive[s]
+            n = int(shown.sum())
+            values = [x[place[s][shown]].ravel() for x in found]
+            repeated = lambda value, kind, n=n: pa.repeat(pa.scalar(value, kind), n * len(bands))
+            columns = [repeated(block["book"][0].as_py(), types[0]), np.repeat(revisions[shown], len(bands)), repeated(s, types[2]), np.tile(np.arange(len(bands)), n), np.tile(np.array(bands, "int64"), n)]
+            columns += [pa.array(values[0], mask=values[0] < 0), *values[1:], repeated(OK, types[-1])]
+            parts.append(pa.Table.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, pa.int64()).cast(t) for c, t in zip(columns, types, strict=True)], names=names))
+        return pa.concat_tables(parts)
 
     def run(block: pa.Table) -> pa.Table:
+        return found if (found := at_once(block)) is not None else one_by_one(block)
+
+    def one_by_one(block: pa.Table) -> pa.Table:
         block = block.sort_by("book_seq")
         numbers, sides, prices, sizes = (block[c].to_pylist() for c in ("book_seq", "side", "price_raw", "size_raw"))
         ladders = {s: Ladder(s, (p for p, own in zip(prices, sides, strict=True) if own == s)) for s in SIDES}
@@ -180,11 +262,11 @@ def price_bands_by_revision(diffs: DataFrame, bps: list[int] = DEFAULT_BPS, revi
     """Depth within each band of a side's own best price after every revision. A side without levels has no rows."""
     check_bps(bps)
     wanted = list(bps)
-    return _replayed(diffs, lambda s, ladder: price_rows(s, ladder, wanted), False, "ord int, bps int, boundary_raw long, cum_size_raw long, cum_notional_raw long, status string", revisions_per_block)
+    return _replayed(diffs, lambda s, ladder: price_rows(s, ladder, wanted), lambda dense: price_columns(dense, wanted), wanted, False, "ord int, bps int, boundary_raw long, cum_size_raw long, cum_notional_raw long, status string", revisions_per_block)
 
 
 def volume_bands_by_revision(diffs: DataFrame, thresholds: list[int] = DEFAULT_NOTIONALS, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
     """Average price that fills each notional after every revision; both sides of every book that isn't empty."""
     check_thresholds(thresholds)
     wanted = list(thresholds)
-    return _replayed(diffs, lambda s, ladder: volume_rows(ladder, wanted), True, "ord int, threshold_raw long, vwap_raw long, filled_raw long, status string", revisions_per_block)
+    return _replayed(diffs, lambda s, ladder: volume_rows(ladder, wanted), lambda dense: volume_columns(dense, wanted), wanted, True, "ord int, threshold_raw long, vwap_raw long, filled_raw long, status string", revisions_per_block)

@@ -70,3 +70,33 @@ def test_cost_does_not_follow_depth():
             volume_rows(ladder, [10**6, 10**9, 10**18])
         took.append(time.perf_counter() - began)
     assert took[1] < 8 * took[0]
+
+
+def test_a_block_of_ordinary_numbers_is_not_walked(spark, monkeypatch):
+    """Matrix and ladder give the same rows; small numbers need no ladder."""
+    from depthframe.operators import revision_bands
+
+    rng, rows = random.Random(8), []
+    held = {}
+    for k in range(1, 400):
+        for place in {(rng.choice(("BID", "ASK")), rng.randint(1, 12)) for _ in range(3)} if k != 70 else set(held):
+            held[place] = 0 if k == 70 or rng.random() < 0.3 else rng.randint(1, 5_000_000)
+            rows.append((1, k, k, place[0], 10**9 + (place[1] if place[0] == "ASK" else -place[1]) * 3_000_001, held[place]))
+    diffs = spark.createDataFrame(rows, DIFF).cache()
+    taken = []
+    monkeypatch.setattr(revision_bands, "replay_blocks", lambda rows, n: rows.withColumn("block", F.lit(0)))
+    monkeypatch.setattr(type(diffs.groupBy("book")), "applyInArrow", lambda _, run, schema: taken.append(run))
+    price_bands_by_revision(diffs, BPS)
+    volume_bands_by_revision(diffs, NOTIONALS)
+    block = diffs.withColumn("block", F.lit(0)).toArrow()
+    shown = lambda: [sorted(map(str, run(block).to_pylist())) for run in taken]
+    monkeypatch.setattr(revision_bands, "CELLS", 0)
+    walked = shown()
+    assert len(walked[0]) > 1000 and len(walked[1]) > 1000
+    monkeypatch.undo()
+
+    def refuse(*_):
+        raise AssertionError("walked")
+
+    monkeypatch.setattr(revision_bands, "Ladder", refuse)
+    assert shown() == walked
