@@ -39,6 +39,11 @@ def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.l2_diffs(fixture.levels(spark, sf_dir))
 
 
+def _diffs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diffs, written once for what reads them several times or counts them."""
+    return materialize(_diffs(spark, sf_dir), "diffs")
+
+
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.aggregate_book(book.venue_book(fixture.levels(spark, sf_dir)))
 
@@ -105,7 +110,7 @@ SELECT r.book, r.book_seq, side, price_raw, CAST(sum(size_raw) AS BIGINT) AS siz
 FROM r JOIN iv ON iv.book = r.book AND from_seq <= r.seq AND (to_seq IS NULL OR to_seq > r.seq) GROUP BY ALL""")
 def books_from_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book at the revisions that urgent orders made, from keyframes."""
-    diffs = materialize(_diffs(spark, sf_dir), "keyframe-diffs")
+    diffs = _diffs_table(spark, sf_dir)
     root = f"{scratch(spark)}/keyframes-{uuid.uuid4().hex}"
     time_travel.write_keyframes(diffs, root)
     at = diffs.join(_urgent(spark, sf_dir), ["book", "seq"]).select("book", "book_seq")
@@ -114,14 +119,14 @@ def books_from_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{sql.FULL}, p AS (SELECT book, max(book_seq) // 3 AS n FROM diffs GROUP BY book), s AS (SELECT d.book, side, price_raw, arg_max(size_raw, book_seq) AS size_raw FROM diffs d JOIN p ON d.book = p.book AND d.book_seq <= p.n GROUP BY ALL) SELECT * FROM s WHERE size_raw > 0")
 def book_at_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diffs = _diffs(spark, sf_dir)
+    diffs = _diffs_table(spark, sf_dir)
     third = diffs.groupBy("book").agg(F.expr("max(book_seq) div 3").alias("third"))
     return book.book_at_revision(diffs.join(third, "book"), F.col("third"))
 
 
 @query(f"{sql.FULL}, s AS (SELECT book, side, price_raw, arg_max(size_raw, book_seq) AS size_raw FROM diffs WHERE book_seq <= 100 GROUP BY ALL) SELECT book, CAST(100 AS BIGINT) AS book_seq, 'SNAPSHOT' AS row_kind, side, price_raw, size_raw FROM s WHERE size_raw > 0 UNION ALL SELECT book, book_seq, 'DIFF', side, price_raw, size_raw FROM diffs WHERE book_seq > 100")
 def snapshot_then_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.snapshot_then_diffs(_diffs(spark, sf_dir), 100)
+    return book.snapshot_then_diffs(_diffs_table(spark, sf_dir), 100)
 
 
 @query(f"{sql.BASE}, {sql.AGG} {sql.BEST.format(keys='book', source='agg')}")
@@ -131,14 +136,14 @@ def bbo_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{sql.FULL}, {sql.HELD}, {sql.BBO} SELECT * FROM bbo")
 def bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bbo.bbo_changes(_diffs(spark, sf_dir))
+    return bbo.bbo_changes(_diffs_table(spark, sf_dir))
 
 
 @query(f"""{sql.FULL}, {sql.HELD}, {sql.BBO} SELECT book, seq // 600 * 600 AS window_s, seq, book_seq, bid_price_raw, bid_size_raw, ask_price_raw, ask_size_raw
 FROM bbo QUALIFY row_number() OVER (PARTITION BY book, seq // 600 ORDER BY book_seq DESC) = 1""")
 def bbo_conflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest best prices of every book in every ten minutes, seq taken as seconds."""
-    rows = bbo.bbo_changes(_diffs(spark, sf_dir)).withColumn("ts", F.timestamp_seconds("seq"))
+    rows = bbo.bbo_changes(_diffs_table(spark, sf_dir)).withColumn("ts", F.timestamp_seconds("seq"))
     newest = bbo.conflate(rows, "10 minutes")
     return newest.withColumn("window_s", F.unix_seconds("window_start")).drop("window_start", "ts")
 
@@ -188,12 +193,12 @@ _ALIVE = f"{sql.FULL}, {sql.HELD}, every_one AS (SELECT book, book_seq, side, pr
 
 @query(f"{_ALIVE} {sql.price_bands('every_one', 'book, book_seq', sql.OWN_BEST.format(keys='book, book_seq'), BPS)}")
 def bands_by_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revision_bands.price_bands_by_revision(_diffs(spark, sf_dir), BPS)
+    return revision_bands.price_bands_by_revision(_diffs_table(spark, sf_dir), BPS)
 
 
 @query(f"{_ALIVE}, {sql.volume_bands(NOTIONALS, 'every_one', 'book, book_seq')}")
 def volume_bands_by_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revision_bands.volume_bands_by_revision(_diffs(spark, sf_dir), NOTIONALS)
+    return revision_bands.volume_bands_by_revision(_diffs_table(spark, sf_dir), NOTIONALS)
 
 
 @query(f"{sql.BASE}, {sql.AGG} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY book, side ORDER BY CASE WHEN side = 'BID' THEN -price_raw ELSE price_raw END) AS INT) AS depth FROM agg) WHERE depth <= 5")
@@ -206,7 +211,7 @@ def top_n_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _client_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the consumer receives, whose plan names the diffs twice; the chain before them runs once."""
-    return fixture.client_stream(materialize(_diffs(spark, sf_dir), "client-diffs"))
+    return fixture.client_stream(_diffs_table(spark, sf_dir))
 
 
 @query(f"{sql.FULL}, {sql.CLIENT}, held AS (SELECT book, side, price_raw, arg_max(size_raw, arrival) AS size_raw FROM stream GROUP BY ALL) SELECT * FROM held WHERE size_raw > 0")
@@ -228,8 +233,8 @@ def client_stop_at_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT r.book, r.book_seq, b.bid_price_raw, b.ask_price_raw FROM revs r LEFT JOIN bbo b ON r.book = b.book AND r.book_seq = b.book_seq) b
 WINDOW w AS (PARTITION BY book ORDER BY book_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def bbo_l2_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diffs = _diffs(spark, sf_dir)
-    return client.bbo_at_diffs(diffs, bbo.bbo_changes(diffs)).select("book", "book_seq", "bid_price_raw", "ask_price_raw")
+    diffs = _diffs_table(spark, sf_dir)
+    return client.bbo_at_diffs(diffs, materialize(bbo.bbo_changes(diffs), "diffs-bbo")).select("book", "book_seq", "bid_price_raw", "ask_price_raw")
 
 
 @query(f"{sql.FULL}, {sql.CLIENT} SELECT book, count(*) FILTER (row_kind = 'SNAPSHOT') AS snapshots, count(*) FILTER (row_kind = 'DIFF') AS diffs, count(*) FILTER (book_seq <> previous + 1) AS gaps, CAST(sum(levels) AS BIGINT) AS levels, max(book_seq) AS last_book_seq FROM upd GROUP BY book")
