@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthframe.sources.shared import tasks
+
 REVISIONS_PER_BLOCK = 4096
 BBO = "book int, seq bigint, book_seq bigint, bid_price_raw bigint, bid_size_raw bigint, ask_price_raw bigint, ask_size_raw bigint"
 
@@ -67,15 +69,20 @@ def _replay(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def replay_blocks(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
-    """The diffs with their block, and the book before each block as rows with book_seq 0."""
+    """The diffs (a table) with their block, and the book before each block as rows with book_seq 0; dealt by block, over as many
+    tasks as their number asks for.
+
+    A level's history is looked at by its last size in each block, so what is sorted by level has a row a level and block.
+    """
     n = revisions_per_block
-    diffs = diffs.withColumn("block", F.expr(f"(book_seq - 1) div {n}"))
-    following = Window.partitionBy("book", "side", "price_raw").orderBy("book_seq")
-    ends = diffs.groupBy("book").agg(F.max("block").alias("last_block"))
-    held = diffs.withColumn("next_block", F.lead("block").over(following)).where("size_raw > 0").join(ends, "book")
+    rows = diffs.withColumn("block", F.expr(f"(book_seq - 1) div {n}"))
+    ends = rows.groupBy("book").agg(F.max("block").alias("last_block"))
+    last = rows.groupBy("book", "side", "price_raw", "block").agg(F.max_by("size_raw", "book_seq").alias("size_raw"))
+    following = Window.partitionBy("book", "side", "price_raw").orderBy("block")
+    held = last.withColumn("next_block", F.lead("block").over(following)).where("size_raw > 0").join(ends, "book")
     held = held.withColumn("final", F.coalesce("next_block", "last_block")).where("final > block")
     start = held.select("book", F.explode(F.sequence(F.col("block") + 1, F.col("final"))).alias("block"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("book_seq"), "side", "price_raw", "size_raw")
-    return start.unionByName(diffs.select(*start.columns))
+    return start.unionByName(rows.select(*start.columns)).repartition(tasks(diffs), "book", "block")
 
 
 def bbo_changes(diffs: DataFrame, revisions_per_block: int = REVISIONS_PER_BLOCK) -> DataFrame:
