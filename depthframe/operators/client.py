@@ -9,14 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthframe.sources.shared import tasks
+
 from .blocks import with_previous
 from .book import BLOCK, bbo
 
 
 def updates(stream: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row for each update, with the revision before it: book, arrival, book_seq, row_kind, previous."""
-    once = stream.groupBy("book", "arrival").agg(F.max("book_seq").alias("book_seq"), F.max("row_kind").alias("row_kind"), F.count(F.lit(1)).alias("levels"))
-    return with_previous(once, ["book"], "arrival", "book_seq", F.expr(f"arrival div {block}"), "previous")
+    """One row for each update, with the revision before it: book, arrival, book_seq, row_kind, previous.
+
+    The stream is dealt by blocks once, over as many tasks as its number of rows asks for, and stays so.
+    """
+    dealt = stream.withColumn("block", F.expr(f"arrival div {block}")).repartition(tasks(stream), "book", "block")
+    once = dealt.groupBy("book", "block", "arrival").agg(F.max("book_seq").alias("book_seq"), F.max("row_kind").alias("row_kind"), F.count(F.lit(1)).alias("levels"))
+    return with_previous(once, ["book"], "arrival", "book_seq", F.col("block"), "previous").drop("block")
 
 
 def gaps(stream: DataFrame) -> DataFrame:
@@ -56,11 +62,14 @@ def bbo_at_diffs(diffs: DataFrame, changes: DataFrame, block: int = BLOCK) -> Da
     """The best prices that hold at every revision: the last change at or before it.
 
     Revisions and changes are brought together in blocks; what a block starts with comes from a running value over the
-    blocks, so a book's history isn't sorted in one task.
+    blocks, so a book's history isn't sorted in one task; the tasks are as many as the diffs (a table) ask for.
     """
     values = ["bid_price_raw", "bid_size_raw", "ask_price_raw", "ask_size_raw"]
-    rows = diffs.select("book", "book_seq").distinct().join(changes.select("book", "book_seq", F.struct(*values).alias("own")), ["book", "book_seq"], "left")
-    rows = rows.withColumn("block", F.expr(f"book_seq div {block}"))
+    kept = [F.lit(None).cast("bigint").alias(c) for c in values]
+    both = diffs.select("book", "book_seq", F.lit(False).alias("changed"), *kept).unionByName(changes.select("book", "book_seq", F.lit(True).alias("changed"), *values))
+    both = both.withColumn("block", F.expr(f"book_seq div {block}")).repartition(tasks(diffs), "book", "block")
+    rows = both.groupBy("book", "block", "book_seq").agg(F.bool_or("changed").alias("changed"), *[F.max(c).alias(c) for c in values])
+    rows = rows.select("book", "block", "book_seq", F.when(F.col("changed"), F.struct(*values)).alias("own"))
     ends = rows.groupBy("book", "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("book_seq"))).alias("end"))
     carried = F.last("end", ignorenulls=True).over(Window.partitionBy("book").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = ends.select("book", "block", carried.alias("start"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from depthframe.operators import bands, bbo, book, client, liveness
 from depthframe.plans import fixture
+from depthframe.sources import shared
 
 P, S = 10**9, 10**6
 SCHEMA = "book int, venue int, seq bigint, kind string, pos int, side string, price_raw bigint, size_raw bigint"
@@ -163,3 +164,30 @@ def test_client_book_is_not_sorted(spark, capsys):
     assert sorted(map(tuple, found.collect())) == [(1, "BID", 7, 5), (2, "ASK", 4, 1)]
     found.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_tasks_follow_the_rows(spark, testdata, monkeypatch):
+    """What is sorted or aggregated by revisions is dealt over as many tasks as its rows ask for, whatever the session's number of them is."""
+    parts = lambda x: x.select(F.spark_partition_id()).distinct().count()
+    rows = fixture.levels(spark, f"{testdata}/sf0.001")
+    diffs = book.l2_diffs(rows, 64)
+    want = sorted(map(tuple, diffs.collect()))
+    stream = fixture.client_stream(diffs.cache())
+    tops = bbo.bbo_changes(diffs, 16).cache()
+    made = lambda: [book.l2_diffs(rows, 64), bbo.bbo_changes(diffs, 16), client.bbo_at_diffs(diffs, tops, 16), client.updates(stream, 16)]
+    few = made()
+    monkeypatch.setattr(shared, "TASK_ROWS", 300)
+    many = made()
+    assert all(parts(x) <= 4 for x in few) and all(parts(x) > 12 for x in many)
+    for a, b in zip(few, many, strict=True):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert sorted(map(tuple, many[0].collect())) == want
+
+
+def test_best_prices_at_diffs(spark):
+    """A side that became empty stays NULL until the next change; revisions without a change take the last one, over blocks too."""
+    diffs = spark.createDataFrame([(0, n) for n in (1, 2, 3, 4, 4, 7, 9)], "book int, book_seq bigint")
+    changes = spark.createDataFrame([(0, 1, 5, 1, None, None), (0, 3, None, None, 8, 2), (0, 7, None, None, None, None)], "book int, book_seq bigint, bid_price_raw bigint, bid_size_raw bigint, ask_price_raw bigint, ask_size_raw bigint")
+    want = [(0, 1, 5, 1, None, None), (0, 2, 5, 1, None, None), (0, 3, None, None, 8, 2), (0, 4, None, None, 8, 2), (0, 7, None, None, None, None), (0, 9, None, None, None, None)]
+    for block in (1, 2, 4096):
+        assert sorted(map(tuple, client.bbo_at_diffs(diffs, changes, block).collect())) == want
