@@ -47,13 +47,16 @@ def div_ceil(n: Column, d: int) -> Column:
 def fixed_from_string(text: Column, decimals: int) -> Column:
     """Scaled BIGINT of a plain decimal text; NULL if it isn't one or doesn't fit.
 
-    The digit after the last kept one decides the rounding, so the text is cut there before the cast.
+    The digit after the last kept one decides the rounding, so the text is cut there before the cast. A text of few digits, as most
+    are, needs no cut, and is cast as it is.
     """
+    short = text.rlike(rf"^[0-9]{{1,9}}([.][0-9]{{1,{decimals}}})?\z")
+    plain = text.try_cast(f"decimal({9 + decimals},{decimals})") * F.lit(10**decimals).cast("decimal(11,0)")
     cut = F.regexp_replace(text, rf"^(-?[0-9]*[.][0-9]{{{decimals + 1}}})[0-9]+$", "$1")
     # Leading zeros and a bare point are legal; digits beyond the cast's range are out of range anyway.
     number = F.regexp_replace(F.regexp_replace(cut, r"^(-?)0+(?=[0-9])", "$1"), r"^(-?)[.]", "$10.")
     scaled = F.round(number.try_cast(f"decimal(38,{decimals + 1})"), decimals) * F.lit(10**decimals).cast("decimal(11,0)")
-    return F.when(text.rlike(NUMBER), narrow(scaled.cast(WIDE)))
+    return F.when(short, plain.cast("bigint")).when(text.rlike(NUMBER), narrow(scaled.cast(WIDE)))
 
 
 def fixed_from_double(value: Column, decimals: int) -> Column:

@@ -531,13 +531,19 @@ BATCH_ROWS, BATCHES, MOST_ROWS = 100_000, 8, 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_SHUFFLES = "spark.sql.shuffle.partitions"
+
+
+def _at_once(spark: SparkSession) -> int:
+    """Tasks that can run at once, if a shuffle has so many."""
+    return max(1, min(int(spark.conf.get(_SHUFFLES)), spark.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def _stream_settings(spark: SparkSession) -> Iterator[None]:
     """State in RocksDB, of which a batch uploads what it changed, in no more stores than tasks can run at once: every store is opened
     and committed in every batch, whatever it holds."""
-    number = "spark.sql.shuffle.partitions"
-    stores = max(1, min(int(spark.conf.get(number)), spark.sparkContext.defaultParallelism))
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", number: str(stores)}
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", _SHUFFLES: str(_at_once(spark))}
     before = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -552,14 +558,14 @@ def _stream_settings(spark: SparkSession) -> Iterator[None]:
 
 
 def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None, most_rows: int = MOST_ROWS) -> DataFrame | None:
-    """All rows that a stream makes of a table that is recorded and read file by file, each a range of ``order``.
+    """All rows that a stream makes of a table that is recorded in order of ``order`` and read batch by batch, each of some files.
 
     ``start`` (rows, checkpoint) starts a query with sinks of its own instead.
     """
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    write_in_order(source, order, f"{root}/in", BATCH_ROWS, BATCHES, most_rows)
+    write_in_order(source, order, f"{root}/in", BATCH_ROWS, BATCHES, most_rows, _at_once(spark))
     with _stream_settings(spark):
-        rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+        rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", _at_once(spark)).parquet(f"{root}/in"))
         if start:
             run = start(rows, f"{root}/state")
         else:
@@ -569,7 +575,12 @@ def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[Dat
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, fixture.levels(spark, sf_dir), "seq", live_book)
+    return _run(spark, _levels_table(spark, sf_dir), "seq", live_book)
+
+
+def _levels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level table, written once for what counts, samples and records it."""
+    return materialize(fixture.levels(spark, sf_dir), "stream-levels")
 
 
 @query(f"{sql.FULL} SELECT * FROM diffs")
@@ -588,7 +599,7 @@ def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["session_l2_diffs"])
 def stream_session_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diffs of ``session_l2_diffs``, from raw texts in one stream."""
-    found = _run(spark, session_fixture.raw_texts(spark, sf_dir), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)), most_rows=MOST_ROWS // 4)  # a text has several levels
+    found = _run(spark, materialize(session_fixture.raw_texts(spark, sf_dir), "stream-texts"), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)), most_rows=MOST_ROWS // 4)  # a text has several levels
     return found.where("row_kind = 'DIFF'").select("book", F.expr(_PLACE.replace("recv_seq", "seq")).alias("seq"), "book_seq", "side", "price_raw", "size_raw")
 
 
@@ -614,7 +625,7 @@ def stream_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{scratch(spark)}/outputs-{uuid.uuid4().hex}"
     kinds = {"diffs": "DIFF", "tops": "BBO", "live": "LIVE"}
     outputs = {name: lambda batch, kind=kind: batch.where(F.col("row_kind") == kind) for name, kind in kinds.items()}
-    _run(spark, fixture.levels(spark, sf_dir), "seq", live_book, lambda rows, checkpoint: stream_outputs(rows, root, checkpoint, outputs, availableNow=True))
+    _run(spark, _levels_table(spark, sf_dir), "seq", live_book, lambda rows, checkpoint: stream_outputs(rows, root, checkpoint, outputs, availableNow=True))
     side = lambda s: F.max(F.when(F.col("side") == s, F.struct("price_raw", "size_raw")))
     tops = read_output(spark, root, "tops").groupBy("book", "seq", "book_seq").agg(side("BID").alias("b"), side("ASK").alias("a"))
     return tops.selectExpr("book", "seq", "book_seq", "b.price_raw AS bid_price_raw", "b.size_raw AS bid_size_raw", "a.price_raw AS ask_price_raw", "a.size_raw AS ask_size_raw")

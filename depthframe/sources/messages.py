@@ -22,18 +22,19 @@ def read_rest_snapshots(spark: SparkSession, path: str, fmt: str = "json", strea
     return read_raw_messages(spark, path, fmt, stream).where("source = 'REST' AND request_symbol IS NOT NULL")
 
 
-def write_in_order(rows: DataFrame, order: str, path: str, rows_per_file: int, files: int | None = None, most_rows: int | None = None) -> None:
+def write_in_order(rows: DataFrame, order: str, path: str, rows_per_file: int, files: int | None = None, most_rows: int | None = None, parts: int = 1) -> None:
     """Record rows as Parquet files that a stream reads one after another: each a range of ``order``, stamped in that order.
 
     A recording of more than ``files`` such files gets larger ones, of ``most_rows`` rows at most: what a micro-batch costs beside
-    its rows is then paid for about so many times.
+    its rows is then paid for about so many times. Each is cut in ``parts`` files, for a stream that takes so many at once and
+    reads them in as many tasks. Rows should be a table, as they are counted and sampled before they are written.
     One job writes all files; the file source reads the oldest first, so their times, a second apart, are then set by name.
     """
     spark = rows.sparkSession
     total = rows.count()
     if files:
         rows_per_file = max(rows_per_file, min(-(-total // files), most_rows or total))
-    n = max(1, -(-total // rows_per_file))
+    n = max(1, -(-total // rows_per_file)) * parts
     rows.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -6,7 +6,7 @@ applied up to. A micro-batch reads the cells that its messages touch, point by p
 comes or goes, the levels of a venue that is reset. So a batch costs its rows, whatever the depth of the book. Where reading
 all in a row costs less than so many points (``POINT``), the batch reads all, and is applied by arrays (``whole_batch``). Only what changed is written back.
 
-Rows of a micro-batch are applied in the order of (seq, ord, pos). Batches must not overlap in that order; rows at or before
+Rows reach the state in packets (``packets``), as their number is what costs on the way. Those of a micro-batch are applied in the order of (seq, ord, pos). Batches must not overlap in that order; rows at or before
 the applied place come late and are dropped. A message with a bad level on either side is void, and so is what its venue
 held: it counts as an invalidation of the venue. A DROPPED row invalidates its venue and says that what comes of that
 connection (conn_epoch) after seq ``since`` is void too.
@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from depthframe.operators.bbo import Side
 from depthframe.types import DELTA, DROPPED, INVALIDATE, SNAPSHOT
 
-from . import whole_batch
+from . import packets, whole_batch
 from .price_index import KEY, VALUE, PriceIndex
 
 OUTPUT = "book {book}, seq bigint, ord int, book_seq bigint, row_kind string, side string, price_raw bigint, size_raw bigint, live_venues string"
@@ -34,6 +34,8 @@ OUTPUT_ROWS = 50_000
 #: Cells that are read in a row in the time of one read by key, about.
 POINT = 20
 SIDES = ("BID", "ASK")
+#: Columns of a level row in a packet.
+PACKED = ["venue", "seq", "ord", "kind", "conn_epoch", "since", "pos", "side", "price_raw", "size_raw"]
 #: Owner of the index of aggregate prices; a venue owns its own.
 ALL = ""
 #: Output columns with their pandas types: whole numbers stay exact beside missing ones, and texts are plain objects.
@@ -276,6 +278,13 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
+class PackedBookProcessor(BookProcessor):
+    """The same of rows in packets."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        return super().handleInputRows(key, iter([packets.opened(rows).to_pandas()]), timerValues)
+
+
 def _frame(book, rows: list[tuple]) -> pd.DataFrame:
     columns = zip(*rows, strict=True) if rows else [()] * len(_COLUMNS)
     made = {c: pd.Series(x, dtype=kind) for (c, kind), x in zip(_COLUMNS.items(), columns, strict=True)}
@@ -288,17 +297,22 @@ def live_book(levels: DataFrame, heartbeat_ms: int | None = None, initial: DataF
     ``initial``: the books to begin with, as from ``books_at``; a book that isn't in it begins empty. Its rows' messages
     are those at or before the revisions given there, and come late where the stream holds them too.
     """
-    kind = {n: levels.schema[n].dataType.simpleString() for n in ("book", "venue")}
     # No nulls: pandas would turn the columns that have any into floats, which don't hold all 64-bit numbers.
     filled = {c: F.coalesce(c, F.lit(-1)) if c in levels.columns else F.lit(-1).cast("bigint") for c in ("conn_epoch", "since")}
     filled |= {c: F.coalesce(c, F.lit(0)) for c in ("price_raw", "size_raw")} | {"ord": F.col("ord") if "ord" in levels.columns else F.lit(0)}
-    rows = levels.withColumns(filled).select("book", "venue", "seq", "ord", "kind", "conn_epoch", "since", "pos", "side", "price_raw", "size_raw")
+    rows = levels.withColumns(filled).select("book", *PACKED)
+    return packed_book(packets.packed(rows, ["book"]), levels.schema["venue"].dataType.simpleString(), heartbeat_ms, initial, point)
+
+
+def packed_book(rows: DataFrame, venue: str, heartbeat_ms: int | None = None, initial: DataFrame | None = None, point: int = POINT) -> DataFrame:
+    """``live_book`` of level rows in packets by book, of the columns ``PACKED`` without nulls in numbers; ``venue``: that column's type."""
+    book = rows.schema["book"].dataType.simpleString()
     clock = "processingTime" if heartbeat_ms else "none"
     begun = None
     if initial is not None:
         numbers = {c: F.coalesce(c, F.lit(0)) for c in ("price_raw", "size_raw")}
         begun = initial.withColumns(numbers).select("book", "seq", "ord", "book_seq", "venue", "side", "price_raw", "size_raw").groupBy("book")
-    return rows.groupBy("book").transformWithStateInPandas(BookProcessor(heartbeat_ms, kind["venue"], point), OUTPUT.format(**kind), "append", clock, initialState=begun)
+    return rows.groupBy("book").transformWithStateInPandas(PackedBookProcessor(heartbeat_ms, venue, point), OUTPUT.format(book=book), "append", clock, initialState=begun)
 
 
 def silent_sessions(messages: DataFrame, watermark: str = "1 minute", timeout: str = "timeout") -> DataFrame:
