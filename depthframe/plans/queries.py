@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -539,11 +540,20 @@ def _at_once(spark: SparkSession) -> int:
     return max(1, min(int(spark.conf.get(_SHUFFLES)), spark.sparkContext.defaultParallelism))
 
 
+def _stores(spark: SparkSession, keys: DataFrame | None) -> int:
+    """State stores of a stream: as many as tasks can run at once, as every store is opened and committed in every batch, whatever it
+    holds. Where few keys have all the work, somewhat fewer if fewer of them fall to one store then."""
+    most = _at_once(spark)
+    hashes = [] if keys is None else [r[0] for r in keys.distinct().select(F.hash(*keys.columns)).limit(10 * most).collect()]
+    if not 0 < len(hashes) < 10 * most:
+        return most
+    return min(range(max(1, most // 2), most + 1), key=lambda n: (max(Counter(h % n for h in hashes).values()), -n))
+
+
 @contextmanager
-def _stream_settings(spark: SparkSession) -> Iterator[None]:
-    """State in RocksDB, of which a batch uploads what it changed, in no more stores than tasks can run at once: every store is opened
-    and committed in every batch, whatever it holds."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", _SHUFFLES: str(_at_once(spark))}
+def _stream_settings(spark: SparkSession, stores: int) -> Iterator[None]:
+    """State in RocksDB, of which a batch uploads what it changed."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", _SHUFFLES: str(stores)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -557,15 +567,15 @@ def _stream_settings(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None, most_rows: int = MOST_ROWS) -> DataFrame | None:
+def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], start: Callable | None = None, most_rows: int = MOST_ROWS, keys: DataFrame | None = None) -> DataFrame | None:
     """All rows that a stream makes of a table that is recorded in order of ``order`` and read batch by batch, each of some files.
 
-    ``start`` (rows, checkpoint) starts a query with sinks of its own instead.
+    ``start`` (rows, checkpoint) starts a query with sinks of its own instead. ``keys``: those of the state with most of the work.
     """
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    write_in_order(source, order, f"{root}/in", BATCH_ROWS, BATCHES, most_rows, _at_once(spark))
-    with _stream_settings(spark):
-        rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", _at_once(spark)).parquet(f"{root}/in"))
+    root, parts = f"{scratch(spark)}/stream-{uuid.uuid4().hex}", _at_once(spark)
+    write_in_order(source, order, f"{root}/in", BATCH_ROWS, BATCHES, most_rows, parts)
+    with _stream_settings(spark, _stores(spark, keys)):
+        rows = make(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", parts).parquet(f"{root}/in"))
         if start:
             run = start(rows, f"{root}/state")
         else:
@@ -575,7 +585,8 @@ def _run(spark: SparkSession, source: DataFrame, order: str, make: Callable[[Dat
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _levels_table(spark, sf_dir), "seq", live_book)
+    levels = _levels_table(spark, sf_dir)
+    return _run(spark, levels, "seq", live_book, keys=levels.select("book"))
 
 
 def _levels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -599,7 +610,9 @@ def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["session_l2_diffs"])
 def stream_session_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diffs of ``session_l2_diffs``, from raw texts in one stream."""
-    found = _run(spark, materialize(session_fixture.raw_texts(spark, sf_dir), "stream-texts"), "recv_seq", lambda raw: live_session(raw, session_fixture.subscriptions(spark)), most_rows=MOST_ROWS // 4)  # a text has several levels
+    texts, subscribed = materialize(session_fixture.raw_texts(spark, sf_dir), "stream-texts"), session_fixture.subscriptions(spark)
+    books = subscribed.select(symbols.book_to_string(F.col("base"), F.col("quote"), F.col("market")).alias("book"))
+    found = _run(spark, texts, "recv_seq", lambda raw: live_session(raw, subscribed), most_rows=MOST_ROWS // 4, keys=books)  # a text has several levels
     return found.where("row_kind = 'DIFF'").select("book", F.expr(_PLACE.replace("recv_seq", "seq")).alias("seq"), "book_seq", "side", "price_raw", "size_raw")
 
 
@@ -609,12 +622,11 @@ SELECT book, CAST(n AS BIGINT) AS book_seq, 'SNAPSHOT' AS row_kind, side, price_
 UNION ALL SELECT d.book, book_seq, 'DIFF', side, price_raw, size_raw FROM diffs d JOIN p ON d.book = p.book AND d.book_seq > p.n""")
 def stream_snapshot_then_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every book at a third of its revisions, then what a stream that begins with it makes of all later messages."""
-    levels = fixture.levels(spark, sf_dir)
-    diffs = materialize(book.l2_diffs(levels), "stream-diffs")
-    at = diffs.groupBy("book").agg(F.expr("max(book_seq) div 3").alias("book_seq")).join(diffs.select("book", "book_seq", "seq").distinct(), ["book", "book_seq"])
-    at = materialize(at.select("book", "seq", "book_seq"), "stream-at")
-    initial = materialize(book.venue_books_at(levels, at), "stream-initial")
-    later = _run(spark, levels, "seq", lambda rows: live_book(rows, initial=initial)).where("row_kind = 'DIFF'").select("book", "book_seq", "row_kind", "side", "price_raw", "size_raw")
+    levels = _levels_table(spark, sf_dir)
+    intervals = materialize(book.level_intervals(levels), "stream-intervals")
+    at = materialize(book.messages_of_revisions(intervals, lambda n: F.floor(n / 3)), "stream-at")
+    initial = materialize(book.venue_books_at(levels, at, intervals=intervals), "stream-initial")
+    later = _run(spark, levels, "seq", lambda rows: live_book(rows, initial=initial), keys=levels.select("book")).where("row_kind = 'DIFF'").select("book", "book_seq", "row_kind", "side", "price_raw", "size_raw")
     first = book.aggregate_book(initial.where("side IS NOT NULL"), "book_seq").withColumn("row_kind", F.lit("SNAPSHOT"))
     return first.select(*later.columns).unionByName(later)
 
@@ -625,7 +637,8 @@ def stream_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{scratch(spark)}/outputs-{uuid.uuid4().hex}"
     kinds = {"diffs": "DIFF", "tops": "BBO", "live": "LIVE"}
     outputs = {name: lambda batch, kind=kind: batch.where(F.col("row_kind") == kind) for name, kind in kinds.items()}
-    _run(spark, _levels_table(spark, sf_dir), "seq", live_book, lambda rows, checkpoint: stream_outputs(rows, root, checkpoint, outputs, availableNow=True))
+    levels = _levels_table(spark, sf_dir)
+    _run(spark, levels, "seq", live_book, lambda rows, checkpoint: stream_outputs(rows, root, checkpoint, outputs, availableNow=True), keys=levels.select("book"))
     side = lambda s: F.max(F.when(F.col("side") == s, F.struct("price_raw", "size_raw")))
     tops = read_output(spark, root, "tops").groupBy("book", "seq", "book_seq").agg(side("BID").alias("b"), side("ASK").alias("a"))
     return tops.selectExpr("book", "seq", "book_seq", "b.price_raw AS bid_price_raw", "b.size_raw AS bid_size_raw", "a.price_raw AS ask_price_raw", "a.size_raw AS ask_size_raw")
