@@ -528,7 +528,7 @@ def bbo_conflation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Level rows, or texts, of a micro-batch, about; a recording of more than ``BATCHES`` such batches has larger ones, up to ``MOST_ROWS``.
-BATCH_ROWS, BATCHES, MOST_ROWS = 100_000, 8, 1_000_000
+BATCH_ROWS, BATCHES, MOST_ROWS = 100_000, 8, 2_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -182,7 +182,7 @@ class BookProcessor(StatefulProcessor):
         kind = np.array(kinds, object)[number]
         rank = np.where(kind == SNAPSHOT, -np.arange(len(frame)), np.arange(len(frame)))  # a snapshot's first row of a price counts, a delta's last
         rows = frame.rename(columns={"price_raw": "price", "size_raw": "size"})[["venue", "side", "price", "size"]].assign(message=number, rank=rank)
-        changes, cells, totals = whole_batch.apply(self.sizes.now, rows[levels.to_numpy() & np.isin(kind, [SNAPSHOT, DELTA])], resets)
+        changes, cells, totals = whole_batch.apply(self.sizes.now, rows[levels.to_numpy() & ((kind == SNAPSHOT) | (kind == DELTA))], resets)
         # Revisions, and the best prices after each.
         changed, nth = np.unique(changes.message.to_numpy("int64"), return_inverse=True)
         ladders = {side: Side(-1 if side == "BID" else 1) for side in SIDES}
@@ -191,11 +191,13 @@ class BookProcessor(StatefulProcessor):
         tops, ends = [], np.append(np.flatnonzero(np.diff(nth)), len(nth) - 1).tolist()
         sides, prices, sizes, k = *[changes[c].tolist() for c in ("side", "price", "size")], 0
         for n, end in enumerate(ends if len(nth) else []):
+            bid, ask, touched = self.best["BID"][0], self.best["ASK"][0], False
             while k <= end:
                 ladders[sides[k]].put(prices[k], sizes[k])
+                # What lies behind a best price leaves it as it is.
+                touched = touched or (bid is None or prices[k] >= bid if sides[k] == "BID" else ask is None or prices[k] <= ask)
                 k += 1
-            now = {side: ladder.best() for side, ladder in ladders.items()}
-            if now != self.best:
+            if touched and (now := {side: ladder.best() for side, ladder in ladders.items()}) != self.best:
                 tops += [(*places[changed[n]], self.number + n + 1, "BBO", side, *now[side], None) for side in SIDES]
                 self.best = now
         seqs, ords = (np.array([p[i] for p in places], "int64") for i in (0, 1))

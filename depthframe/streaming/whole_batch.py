@@ -36,7 +36,9 @@ def apply(held: dict[tuple, int], writes: pd.DataFrame, resets: list[tuple[int,
         return pd.DataFrame(columns=["message", "side", "price", "size"]), pd.DataFrame(columns=[*CELL, "before", "after"]), pd.DataFrame(columns=["side", "price", "before", "after"])
     message, size = rows.message.to_numpy("int64"), rows["size"].to_numpy("int64")
     venue, venues = pd.factorize(rows.venue)
-    cell, place = (rows.groupby(by, sort=False).ngroup().to_numpy() for by in (CELL, CELL[1:]))
+    prices, bid = rows.price.to_numpy("int64"), (rows.side == "BID").to_numpy()
+    place = pd.factorize(prices)[0] * 2 + bid
+    cell = place * len(venues) + venue
     order = np.lexsort((rows["rank"].to_numpy("int64"), message, cell))
     order = order[_last_of_run(cell[order], message[order])]
     # The venue's next reset, if it comes before the cell's next write, ends a size.
@@ -67,7 +69,7 @@ def apply(held: dict[tuple, int], writes: pd.DataFrame, resets: list[tuple[int,
     sums = np.cumsum(delta)
     base = (sums - delta)[first]
     new = sums - np.repeat(base, np.diff(np.append(np.flatnonzero(first), len(at)))) + begin[place[at]]
-    spots = rows.loc[at, ["side", "price"]]
-    totals = spots[first].assign(before=begin[place[at[first]]], after=new[last])
-    changes = spots.assign(message=when, size=new).sort_values(["message", "side", "price"])
+    totals = rows.loc[at[first], ["side", "price"]].assign(before=begin[place[at[first]]], after=new[last])
+    by = np.lexsort((prices[at], bid[at], when))
+    changes = rows.loc[at[by], ["side", "price"]].assign(message=when[by], size=new[by])
     return changes, cells[cells.before != cells.after], totals[totals.before != totals.after]
